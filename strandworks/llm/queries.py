@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from strandworks.llm import mixing, sharding
+from strandworks.llm import decontaminate, mixing, quality_rules, sharding
 
 QUERIES = {
     "op1_pareto_mixing": mixing.op1_pareto_mixing,
+    "op4_suffix_decontamination": decontaminate.op4_suffix_decontamination,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op9_extendible_sharding": sharding.op9_extendible_sharding,
 }
 
 ORACLES = {
     "op1_pareto_mixing": mixing.OP1_SQL,
+    "op4_suffix_decontamination": decontaminate.OP4_SQL,
+    "op6_quality_rules": quality_rules.OP6_SQL,
     "op9_extendible_sharding": sharding.OP9_SQL,
 }
