@@ -29,7 +29,7 @@ FENCE = 6
 MEASURES = {
     "symbols": ("n_symbols", "n_words", 1000, 50, False),
     "word_length": ("word_chars", "n_words", 100, 50, True),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 50, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 100, False),
     "upper": ("n_upper", "word_chars", 1000, 30, False),
 }
 FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
