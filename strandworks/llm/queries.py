@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from strandworks.llm import decontaminate, mixing, quality_rules, sharding
+from strandworks.llm import decontaminate, html_extract, mixing, quality_classifier, quality_rules, sharding
 
 QUERIES = {
     "op1_pareto_mixing": mixing.op1_pareto_mixing,
+    "op2_quality_classifier": quality_classifier.op2_quality_classifier,
+    "op3_html_extraction": html_extract.op3_html_extraction,
     "op4_suffix_decontamination": decontaminate.op4_suffix_decontamination,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op9_extendible_sharding": sharding.op9_extendible_sharding,
