@@ -35,7 +35,10 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField], kernel
     names = {f.name for f in fields}
     keep = [c for c in df.columns if c not in names]
     # the text comes first as bytes, under a name of its own
-    inner = df.select(df[text].cast("binary").alias("__text"), *[df[c] for c in keep])
+    own = "__bytes"
+    while own in keep:
+        own += "_"
+    inner = df.select(df[text].cast("binary").alias(own), *[df[c] for c in keep])
     schema = T.StructType([*[f for f in df.schema.fields if f.name in keep], *fields])
     types = [to_arrow_type(f.dataType) for f in fields]
 

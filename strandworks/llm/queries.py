@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandworks.llm import decontaminate, html_extract, mixing, quality_classifier, quality_rules, sharding
+from strandworks.llm import decontaminate, html_extract, minhash, mixing, quality_classifier, quality_rules, sharding
 
 QUERIES = {
     "op1_pareto_mixing": mixing.op1_pareto_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_html_extraction": html_extract.op3_html_extraction,
     "op4_suffix_decontamination": decontaminate.op4_suffix_decontamination,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op8_minhash_dedup": minhash.op8_minhash_dedup,
     "op9_extendible_sharding": sharding.op9_extendible_sharding,
 }
 
@@ -17,5 +18,6 @@ ORACLES = {
     "op1_pareto_mixing": mixing.OP1_SQL,
     "op4_suffix_decontamination": decontaminate.OP4_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
+    "op8_minhash_dedup": minhash.OP8_SQL,
     "op9_extendible_sharding": sharding.OP9_SQL,
 }
