@@ -39,7 +39,7 @@ ESTIMATE = 0.59
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORDS: dict[bytes, int] = {}
-_MANY = 1 << 20
+_MANY = 1 << 18
 
 
 def shingles(text: bytes | None) -> np.ndarray:

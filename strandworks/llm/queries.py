@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandworks.llm import decontaminate, html_extract, minhash, mixing, quality_classifier, quality_rules, sharding
+from strandworks.llm import decontaminate, html_extract, line_dedup, minhash, mixing, quality_classifier, quality_rules, sharding
 
 QUERIES = {
     "op1_pareto_mixing": mixing.op1_pareto_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_html_extraction": html_extract.op3_html_extraction,
     "op4_suffix_decontamination": decontaminate.op4_suffix_decontamination,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_line_edit_join": line_dedup.op7_line_edit_join,
     "op8_minhash_dedup": minhash.op8_minhash_dedup,
     "op9_extendible_sharding": sharding.op9_extendible_sharding,
 }
