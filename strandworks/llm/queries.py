@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandworks.llm import decontaminate, html_extract, line_dedup, minhash, mixing, quality_classifier, quality_rules, sharding
+from strandworks.llm import decontaminate, html_extract, line_dedup, minhash, mixing, quality_classifier, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op1_pareto_mixing": mixing.op1_pareto_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_line_edit_join": line_dedup.op7_line_edit_join,
     "op8_minhash_dedup": minhash.op8_minhash_dedup,
     "op9_extendible_sharding": sharding.op9_extendible_sharding,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
 ORACLES = {
