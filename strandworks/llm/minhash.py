@@ -34,6 +34,8 @@ SKETCH, NEED = 48, 26
 WHOLE = 60
 #: Classes in an inverted list of which all pairs are made.
 LIST = 24
+#: Values of a full set's prefix that a row of the exact index carries at most.
+PREFIX = 64
 #: Pairs whose estimate is lower (five standard deviations below the threshold) are not verified.
 ESTIMATE = 0.59
 
@@ -155,7 +157,7 @@ def _links(docs: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame]:
     live = post.join(df, "value").groupBy("class", "n", "s").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
     need = F.when(F.col("n") <= 50, F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.lit(NEED))
     live = live.withColumn("left", (F.col("s") - need + 1 - (F.col("s") - F.size("v"))).cast("int")).where("left > 0")
-    index = live.select("class", "n", (F.col("s") - F.size("v")).alias("alone"), F.explode(F.expr("slice(v, 1, left)")).alias("x")).select("class", "n", "alone", "x.value")
+    index = live.select("class", "n", (F.col("s") - F.size("v")).alias("alone"), F.explode(F.expr("slice(v, 1, greatest(left, 0))")).alias("x")).select("class", "n", "alone", "x.value")
     index = materialize(index, "minhash-index")
     lists = index.groupBy("value").agg(F.count("*").alias("members"), F.min(F.struct(F.col("alone") / F.col("n"), "class", "n")).alias("c")).where("members > 1")
     lists = materialize(lists.select("value", "members", F.col("c.class").alias("center"), F.col("c.n").alias("center_n")), "minhash-lists")
@@ -193,10 +195,15 @@ def _exact_pairs(docs: DataFrame, open_: DataFrame) -> DataFrame:
     shared = F.size("v")
     live = live.withColumn("shared", shared).withColumn("left", F.expr(f"cast(n - ceil({PERCENT} * n / 100) + 1 - (n - size(v)) as int)")).where("left > 0")
     live = live.join(open_, "class")
-    index = live.select("class", "n", "shared", "comp", F.explode(F.expr("slice(v, 1, left)")).alias("x")).select("class", "n", "shared", "comp", "x.value")
+    # A pair is made once, in the list of its first common value, where the values before it are known
+    # not to be shared; prefixes beyond PREFIX values do without, and distinct() drops what they repeat.
+    live = live.withColumn("v", F.expr("transform(slice(v, 1, greatest(left, 0)), x -> x.value)"))
+    short = F.when(F.size("v") <= PREFIX, F.col("v"))
+    index = live.select("class", "n", "shared", "comp", short.alias("v"), F.posexplode("v").alias("pos", "value"))
     index = materialize(index, "minhash-exact")
-    bound = f"{100 + PERCENT} * least(x.shared, y.shared) >= {PERCENT} * (x.n + y.n)"
-    return _pairs_of(index, f"and x.comp <> y.comp and {bound}").distinct()
+    bound = f"{100 + PERCENT} * if(x.v is null or y.v is null, least(x.shared, y.shared), least(x.shared - x.pos, y.shared - y.pos)) >= {PERCENT} * (x.n + y.n)"
+    first = "(x.v is null or y.v is null or get(array_intersect(x.v, y.v), 0) = x.value)"
+    return _pairs_of(index, f"and x.comp <> y.comp and {bound} and {first}").distinct()
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, estimate: bool) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from strandworks.llm import decontaminate, html_extract, line_dedup, minhash, mixing, quality_classifier, quality_rules, sharding, token_counts
+from strandworks.llm import decontaminate, html_extract, line_dedup, minhash, mixing, pfp_dedup, quality_classifier, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op1_pareto_mixing": mixing.op1_pareto_mixing,
     "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op3_html_extraction": html_extract.op3_html_extraction,
     "op4_suffix_decontamination": decontaminate.op4_suffix_decontamination,
+    "op5_pfp_substrings": pfp_dedup.op5_pfp_substrings,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_line_edit_join": line_dedup.op7_line_edit_join,
     "op8_minhash_dedup": minhash.op8_minhash_dedup,
@@ -19,6 +20,7 @@ QUERIES = {
 ORACLES = {
     "op1_pareto_mixing": mixing.OP1_SQL,
     "op4_suffix_decontamination": decontaminate.OP4_SQL,
+    "op5_pfp_substrings": pfp_dedup.OP5_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op8_minhash_dedup": minhash.OP8_SQL,
     "op9_extendible_sharding": sharding.OP9_SQL,
