@@ -1,16 +1,58 @@
-"""A corpus pipeline of five stages over ``documents``.
+"""A corpus pipeline of five stages over ``documents``: rules, near-duplicates, benchmarks, mix, shards.
 
 Each stage takes (spark, docs, sf_dir), works on everything its predecessor kept, and returns a
-DataFrame that is written as Parquet and read again as the next stage's docs.
+DataFrame that is written as Parquet and read again as the next stage's docs. All but the last return
+the columns of ``documents``; the last adds the shard of every row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from strandworks.llm import decontaminate, minhash, mixing, quality_rules, sharding
+from strandworks.llm.common import materialize, table
+
+
+def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within the base rules and the fences of their language and source."""
+    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+
+
+def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every near-duplicate component."""
+    return minhash.deduplicate(docs)
+
+
+def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of the benchmark."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.repeated(mixing.mix(docs)).select(*docs.columns)
+
+
+def stage_shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows with their shard."""
+    return sharding.assign_shards(docs)
+
+
+STAGES = [
+    ("quality_rules", stage_quality_rules),
+    ("near_dedup", stage_near_dedup),
+    ("decontaminate", stage_decontaminate),
+    ("mix_sources", stage_mix),
+    ("shard", stage_shard),
+]
+
+#: The components of near-duplicates take an open number of steps over all pairs; tests compare the
+#: stages with brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
