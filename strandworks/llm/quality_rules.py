@@ -158,12 +158,12 @@ def quality_rules(docs: DataFrame, text: str = "text", *, lang: str = "lang", so
     """Append the measures, base_failed and kept to every row; keeps all columns and rows.
 
     Null language and null source form groups of their own. A null text has no words and fails the
-    base rules. The measured rows are written once, so the texts are measured once. Columns with the
-    names of the appended ones are replaced.
+    base rules. The texts are measured twice, for the sketches and for the verdicts, rather than
+    written in between. Columns with the names of the appended ones are replaced.
     """
     if (lang, source) != ("lang", "source"):
         docs = docs.withColumns({"lang": docs[lang], "source": docs[source]})
-    return judge(materialize(measured(docs, text), "rules-measured"))
+    return judge(measured(docs, text))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
