@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A table is broadcast only if it has at most so many rows (each a few dozen bytes wide).
 BROADCAST_ROWS = 50_000
+#: The same for a table of one integer column: some 20 MB as a hash table.
+ID_ROWS = 500_000
 
 #: Words as runs of anything but ASCII white space.
 WS_WORD = r"[^\x20\x09-\x0D]+"
@@ -55,15 +57,15 @@ def release(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", rows: int | None = None) -> DataFrame:
-    """Join with ``right`` broadcast if it has at most BROADCAST_ROWS rows, else shuffled.
+def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with ``right`` broadcast if it has at most ``limit`` rows, else shuffled.
 
     ``rows``: the row count of ``right`` if it is known; else it is counted, so ``right`` should be
     a materialized table.
     """
     if rows is None:
-        rows = right.limit(BROADCAST_ROWS + 1).count()
-    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
+        rows = right.limit(limit + 1).count()
+    return left.join(F.broadcast(right) if rows <= limit else right, on, how)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandworks.llm.arrow_map import append_columns
-from strandworks.llm.common import materialize, release, small_join, table
+from strandworks.llm.common import ID_ROWS, materialize, release, small_join, table
 from strandworks.llm.components import components
 
 #: Words in a shingle; least Jaccard similarity of linked texts, in %.
@@ -110,7 +110,7 @@ def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(class, text as bytes): the first row of each wanted class."""
     wanted = classes.select(F.col("class").alias("__id"))
     return (
-        small_join(docs.select(F.col("__id"), F.col("__text").cast("binary").alias("text")), wanted, ["__id"], "inner")
+        small_join(docs.select(F.col("__id"), F.col("__text").cast("binary").alias("text")), wanted, ["__id"], "inner", limit=ID_ROWS)
         .withColumnRenamed("__id", "class")
     )
 
@@ -227,7 +227,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """The documents that stay: of each component the one with the least key; repeated rows of it once."""
     found = near_duplicates(docs, key, text).where("not kept").select(F.col("doc_id").alias(key)).distinct()
     found = materialize(found, "minhash-dropped")
-    stay = small_join(docs, found, [key], "left_anti")
+    stay = small_join(docs, found, [key], "left_anti", limit=ID_ROWS)
     repeated = materialize(docs.where(docs[key].isNotNull()).groupBy(key).agg(F.count("*").alias("__c")).where("__c > 1").select(key), "minhash-repeated")
     if repeated.limit(1).count() == 0:
         return stay.select(*docs.columns)
