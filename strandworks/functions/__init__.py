@@ -1 +1 @@
-
+"""Column functions: packed alleles, clamps, log-space arithmetic."""
