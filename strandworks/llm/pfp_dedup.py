@@ -16,7 +16,8 @@ the id; between blocks and triggers only packed arrays travel:
     windows with that id, if some document of the block comes later;
 5.  in the block, windows whose id is less than the document's own are cut out of the text.
 
-The hashes have 64 bits; two windows are taken for equal only if trigger and bytes agree.
+The hashes have 64 bits (five bytes of them travel in steps 1 and 2, where a chance match costs a
+search only); two windows are taken for equal only if trigger and bytes agree.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,7 @@ LENGTH, GRAM = 50, 24
 #: Bytes of text in a block, and in a piece of it that is parsed at once.
 BLOCK, PIECE = 4 << 20, 1 << 20
 
+_LOW = (1 << 39) - 1
 _BYTE = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
@@ -136,6 +139,24 @@ def _pack(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def _pack5(x: np.ndarray) -> bytes:
+    """The low 40 bits of every value, five bytes each."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpack5(data: list[bytes]) -> np.ndarray:
+    b = np.frombuffer(b"".join(data), np.uint8).reshape(-1, 5)
+    out = np.zeros((len(b), 8), np.uint8)
+    out[:, :5] = b
+    return out.view(np.uint64).ravel()
+
+
+def _short(trigger: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """39 bits of a trigger, and its bucket above them. Triggers of a bucket that agree in those bits
+    are searched for needlessly, not taken for equal."""
+    return ((trigger >> np.uint64(1)) & np.uint64(_LOW)) | (bucket.astype(np.uint64) << np.uint64(39))
+
+
 def _cuts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of equal values."""
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
@@ -146,7 +167,7 @@ def _bucket(trigger: np.ndarray, buckets: int) -> np.ndarray:
     return ((trigger >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-ENTRY = "bucket long, block long, trigger binary, phrase binary, low binary, high binary, size binary, data binary"
+ENTRY = "bucket long, block long, n long, entries binary"
 
 
 def _rows(rows: list[tuple], names: str) -> pa.Table:
@@ -173,20 +194,24 @@ def _triggers(buckets: int):
         if not len(a):
             return _rows([], "bucket long, block long, trigger binary")
         several = np.minimum.reduceat(doc, a) != np.maximum.reduceat(doc, a)
-        entry = trigger[a] | several.astype(np.uint64)
-        bucket = _bucket(entry, buckets)
+        bucket = _bucket(trigger[a], buckets)
+        entry = (trigger[a] & np.uint64(2 * _LOW)) | several.astype(np.uint64)
         order = np.argsort(bucket, kind="stable")
         entry, bucket = entry[order], bucket[order]
-        return _rows([(int(bucket[i]), block, _pack(entry[i:j])) for i, j in zip(*_cuts(bucket), strict=True)], "bucket long, block long, trigger binary")
+        return _rows([(int(bucket[i]), block, _pack5(entry[i:j])) for i, j in zip(*_cuts(bucket), strict=True)], "bucket long, block long, trigger binary")
 
     return run
 
 
+SHARED = "block long, bucket long, trigger binary"
+
+
 def _shared(key, group):
     """Step 2: the triggers that another document has too, for every block."""
-    entries = [np.frombuffer(x, np.uint64) for x in group.column("trigger").to_pylist()]
-    blocks = np.repeat(np.array(group.column("block").to_pylist(), np.int64), [len(x) for x in entries])
-    entry = np.concatenate(entries)
+    bucket = key[0].as_py()
+    packed = group.column("trigger").to_pylist()
+    entry = _unpack5(packed)
+    blocks = np.repeat(np.array(group.column("block").to_pylist(), np.int64), [len(x) // 5 for x in packed])
     order = np.argsort(entry, kind="stable")
     entry, blocks = entry[order], blocks[order]
     a, b = _cuts(entry >> np.uint64(1))
@@ -195,7 +220,7 @@ def _shared(key, group):
     entry, blocks = entry[keep] >> np.uint64(1), blocks[keep]
     order = np.argsort(blocks, kind="stable")
     entry, blocks = entry[order], blocks[order]
-    return _rows([(int(blocks[i]), _pack(np.sort(entry[i:j]))) for i, j in zip(*_cuts(blocks), strict=True)], "block long, trigger binary")
+    return _rows([(int(blocks[i]), bucket, _pack5(entry[i:j])) for i, j in zip(*_cuts(blocks), strict=True)], SHARED)
 
 
 def _among(x: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,6 +229,23 @@ def _among(x: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (ordered[at] == x if len(ordered) else np.zeros(len(x), bool)), at
 
 
+def _pack_entries(trigger, phrase, low, high, texts: list[bytes]) -> bytes:
+    """Phrases of a block: ids as places in a list of them, everything but the hashes compressed."""
+    ids, at = np.unique(np.concatenate((low, high)), return_inverse=True)
+    size = np.array([len(t) for t in texts], np.int32)
+    rest = b"".join((np.int32(len(ids)).tobytes(), _pack(ids), _pack(at.astype(np.int32)), _pack(size), b"".join(texts)))
+    return _pack(trigger) + _pack(phrase) + zstandard.ZstdCompressor(level=3).compress(rest)
+
+
+def _unpack_entries(n: int, data: bytes):
+    trigger, phrase = np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.uint64, n, 8 * n)
+    rest = zstandard.ZstdDecompressor().decompress(data[16 * n :])
+    k = int(np.frombuffer(rest, np.int32, 1)[0])
+    ids, at = np.frombuffer(rest, np.int64, k, 4), np.frombuffer(rest, np.int32, 2 * n, 4 + 8 * k)
+    size = np.frombuffer(rest, np.int32, n, 4 + 8 * k + 8 * n)
+    return trigger, phrase, ids[at[:n]], ids[at[n:]], size, rest[4 + 8 * k + 12 * n :]
+
+
 def _dictionary(buckets: int):
     """Step 3: distinct phrases of a block whose trigger is shared."""
 
@@ -211,11 +253,13 @@ def _dictionary(buckets: int):
         if not docs.num_rows or not replies.num_rows:
             return _rows([], ENTRY)
         block = key[0].as_py()
-        shared = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in replies.column("trigger").to_pylist()]))
+        packed = replies.column("trigger").to_pylist()
+        of = np.repeat(np.array(replies.column("bucket").to_pylist(), np.int64), [len(x) // 5 for x in packed])
+        shared = np.sort(_short(_unpack5(packed) << np.uint64(1), of))
         got: list[list] = [[], [], [], [], []]
         for _, ids, texts in _texts(docs):
             p = Piece(texts)
-            some = np.flatnonzero(_among(p.trigger >> np.uint64(1), shared)[0])
+            some = np.flatnonzero(_among(_short(p.trigger, _bucket(p.trigger, buckets)), shared)[0])
             if not len(some):
                 continue
             phrase, doc = p.fingerprints(some), np.array(ids, np.int64)[p.doc[some]]
@@ -236,13 +280,12 @@ def _dictionary(buckets: int):
         low, high = np.minimum.reduceat(low[order], a), np.maximum.reduceat(high[order], a)
         one = order[a]
         trigger, phrase = trigger[one], phrase[one]
-        bucket = _bucket(trigger & ~np.uint64(1), buckets)
+        bucket = _bucket(trigger, buckets)
         order = np.argsort(bucket, kind="stable")
         rows = []
         for i, j in zip(*_cuts(bucket[order]), strict=True):
             k = order[i:j]
-            mine = [text[one[x]] for x in k]
-            rows.append((int(bucket[k[0]]), block, _pack(trigger[k] >> np.uint64(1)), _pack(phrase[k]), _pack(low[k]), _pack(high[k]), _pack(np.array([len(t) for t in mine], np.int32)), b"".join(mine)))
+            rows.append((int(bucket[k[0]]), block, len(k), _pack_entries(trigger[k], phrase[k], low[k], high[k], [text[one[x]] for x in k])))
         return _rows(rows, ENTRY)
 
     return run
@@ -277,10 +320,13 @@ def _expand(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _order(key, group):
     """Step 4: for the phrases of each block, runs of windows with the least id that has them."""
-    col = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in group.column(name).to_pylist()])
-    trigger, phrase, low, high, size = col("trigger", np.uint64), col("phrase", np.uint64), col("low", np.int64), col("high", np.int64), col("size", np.int32).astype(np.int64)
-    data = np.frombuffer(b"".join(group.column("data").to_pylist()), np.uint8)
-    block = np.repeat(np.array(group.column("block").to_pylist(), np.int64), [len(x) // 8 for x in group.column("trigger").to_pylist()])
+    counts = group.column("n").to_pylist()
+    parts = [_unpack_entries(n, x) for n, x in zip(counts, group.column("entries").to_pylist(), strict=True)]
+    trigger, phrase, low, high, size = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:5])
+    size = size.astype(np.int64)
+    data = np.frombuffer(b"".join(x[5] for x in parts), np.uint8)
+    block = np.repeat(np.array(group.column("block").to_pylist(), np.int64), counts)
+    del parts
     offset = np.cumsum(size) - size
     order = np.lexsort((phrase, trigger))
     # distinct phrases: trigger, least id, place of their bytes
@@ -387,7 +433,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     base = base.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "text")
     by_block = base.groupBy("block")
     entries = by_block.applyInArrow(_triggers(blocks), "bucket long, block long, trigger binary")
-    shared = entries.groupBy("bucket").applyInArrow(_shared, "block long, trigger binary")
+    shared = entries.groupBy("bucket").applyInArrow(_shared, SHARED)
     phrases = by_block.cogroup(shared.groupBy("block")).applyInArrow(_dictionary(blocks), ENTRY)
     runs = phrases.groupBy("bucket").applyInArrow(_order, RUNS)
     out = by_block.cogroup(runs.groupBy("block")).applyInArrow(_cut(keep_text), RESULT + ", kept binary" * keep_text)
