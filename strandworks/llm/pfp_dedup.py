@@ -159,7 +159,9 @@ def _short(trigger: np.ndarray, bucket: np.ndarray) -> np.ndarray:
 
 def _cuts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of equal values."""
-    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     return start, np.append(start[1:], len(key))
 
 
