@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     moved = moved.withColumn("component", F.coalesce("component", "class")).where("copies > 1 or component <> class")
     moved = materialize(moved.select("s1", "s2", "component"), "minhash-moved")
     out = small_join(made.drop("sketch"), moved, ["s1", "s2"])
-    component = F.when(F.col("n") > 0, F.coalesce("component", "__id")).otherwise(F.col("__id"))
+    component = F.when((F.col("n") > 0) & F.col("__id").isNotNull(), F.coalesce("component", "__id")).otherwise(F.col("__id"))
     return out.select(F.col("__id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )

@@ -70,8 +70,12 @@ def statistics(text: bytes | None) -> list[float]:
     ]
 
 
+#: Number of statistics.
+WIDTH = len(statistics(None))
+
+
 def features(texts: list[bytes | None]) -> np.ndarray:
-    return np.array([statistics(t) for t in texts], np.float64).reshape(len(texts), -1)
+    return np.array([statistics(t) for t in texts], np.float64).reshape(-1, WIDTH)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, limit: int):
@@ -85,7 +89,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     kernel = lambda texts: {"x": features(texts).tolist()}
     got = append_columns(rows, "__t", [T.StructField("x", T.ArrayType(T.DoubleType()))], kernel).select("__k", "__y", "x").toPandas()
     got = got.assign(k=got["__k"].astype(str)).sort_values(["k", "__y"], kind="stable").drop_duplicates("k")
-    return np.array(got["x"].tolist(), np.float64).reshape(len(got), -1), got["__y"].to_numpy(np.float64)
+    return np.array(got["x"].tolist(), np.float64).reshape(-1, WIDTH), got["__y"].to_numpy(np.float64)
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", limit: int = TRAIN_ROWS) -> gbt.Trees:
