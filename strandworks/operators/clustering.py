@@ -149,7 +149,7 @@ def dp_medians(x: np.ndarray, u: np.ndarray, s: Settings) -> tuple[np.ndarray, n
     if (n > 0).sum() > 2:
         if s.prune and (n > 2).sum() > 2:
             n = np.where(n <= 2, 0, n)
-        before = None
+        before = z.copy()
         for _ in range(s.max_iterations + len(r)):
             fresh_n, c = _counts(x, u, z, len(r))
             r = np.where((n > 0)[:, None] & (fresh_n > 0)[:, None], median(fresh_n, c), r)
@@ -165,7 +165,7 @@ def dp_medians(x: np.ndarray, u: np.ndarray, s: Settings) -> tuple[np.ndarray, n
                 if (n > 0).sum() == 2:
                     z, _ = nearest(r, n > 0)
                     break
-            elif before is not None and (z == before).all():
+            elif (z == before).all():
                 break
             before = z.copy()
     used = np.unique(z)
