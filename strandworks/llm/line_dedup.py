@@ -3,8 +3,9 @@
 Distinct lines are the rows of the join. A line of length l is cut into TAU + 1 segments; a line
 within TAU edits must contain one of them at nearly its place, so it probes the segment index with
 the few substrings that the multi-match-aware bounds leave, for each length from its own down to TAU
-less. Both sides carry hashes only, and counts of some letters: two lines within TAU edits differ by
-at most 2 * TAU in the sum of their counts, and that test inside the join keeps lines which merely
+less. A first pass finds the keys that two lines share, by the least and the largest id of each; a
+second keeps the rows of those keys, a small part of all. Two lines within TAU edits differ by at most
+2 * TAU in the sum of their letters' counts, and that test inside the join keeps lines which merely
 share a passage from becoming pairs. What is left is verified with the banded bit-parallel edit
 distance: one word holds the band's vertical differences, so a column costs the same for any length.
 """
@@ -14,53 +15,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandworks.llm.common import materialize, small_join, table
+from strandworks.llm.common import ID_ROWS, materialize, small_join, table
 
 #: Most edits between linked lines; shorter lines link only with copies of themselves.
 TAU, MIN_CHARS = 2, 24
-#: Letters that are counted, eight in each of two words of eight-bit counts (modulo 256).
-LETTERS = ("eatonisr", "hdlu, .c")
+#: Broadcast limit of the table of shared keys, one integer column: some 60 MB as a hash table.
+KEY_ROWS = 1_500_000
+#: Letters that are counted, six to a word, ten bits each.
+LETTERS = (" etaon", "isrhdl", "ucmfwy", "pgbvk,")
 
 
-def _counts(line: str, letters: str) -> str:
-    return " | ".join(f"shiftleft(cast((length({line}) - length(replace({line}, '{c}', ''))) % 256 as bigint), {7 * k})" for k, c in enumerate(letters)).replace("% 256", "% 128")
+def letter_counts(line: str, letters: str) -> Column:
+    """Counts of some letters, each at most 1023, in one word."""
+    each = f"transform(array({', '.join(repr(c) for c in letters)}), c -> cast(least(1023, length({line}) - length(replace({line}, c, ''))) as bigint))"
+    return F.expr(f"aggregate({each}, 0L, (w, n) -> shiftleft(w, 10) | n)")
 
 
 def _apart(a: str, b: str) -> str:
-    """Sum of the differences of packed counts, each modulo 128."""
-    each = lambda k: f"abs(cast(shiftright({a}, {7 * k}) & 127 as int) - cast(shiftright({b}, {7 * k}) & 127 as int))"
-    return " + ".join(f"least({each(k)}, 128 - {each(k)})" for k in range(8))
-
-
-def _segment(length: str, i: int, tau: int) -> tuple[str, str]:
-    """Start (from 1) and length of segment i (from 0) of a line: even parts, the longer ones last."""
-    part, longer = f"({length} div {tau + 1})", f"({length} % {tau + 1})"
-    start = f"({i} * {part} + greatest(0, {i} - ({tau + 1} - {longer})) + 1)"
-    return start, f"({part} + if({i} >= {tau + 1} - {longer}, 1, 0))"
-
-
-def segment_keys(tau: int) -> Column:
-    """Keys under which a line is indexed."""
-    out = []
-    for i in range(tau + 1):
-        start, size = _segment("len", i, tau)
-        out.append(f"xxhash64(len, {i}, substring(line, {start}, {size}))")
-    return F.expr(f"array({', '.join(out)})")
-
-
-def probe_keys(tau: int) -> Column:
-    """Keys that a line looks up: for every length from len - tau to len and every segment of that
-    length, the substrings whose shift leaves enough edits for the parts before and after it."""
-    out = []
-    for delta in range(tau + 1):
-        for i in range(tau + 1):
-            start, size = _segment(f"(len - {delta})", i, tau)
-            # with i + 1 segments counted from either side: at most i edits before it, tau - i after it
-            for shift in range(-tau, tau + 1):
-                if max(-i, delta - (tau - i)) <= shift <= min(i, delta + (tau - i)):
-                    at = f"({start} + {shift})"
-                    out.append(f"if({at} >= 1 and {at} + {size} - 1 <= len, xxhash64(len - {delta}, {i}, substring(line, {at}, {size})), null)")
-    return F.expr(f"array_distinct(array_compact(array({', '.join(out)})))")
+    """Sum of the differences of packed counts."""
+    return " + ".join(f"abs((shiftright({a}, {10 * k}) & 1023) - (shiftright({b}, {10 * k}) & 1023))" for k in range(6))
+
+
+def probes(tau: int) -> list[tuple[int, int, int]]:
+    """(d, i, s): what a line looks up: segment i of a line that is d shorter, moved by s. With i segments
+    before it and tau - i behind, a match leaves at most i edits there and tau - i here. The segments of
+    the line itself, with which it is indexed, are among them: those with d = s = 0."""
+    return [
+        (d, i, s)
+        for d in range(tau + 1)
+        for i in range(tau + 1)
+        for s in range(-tau, tau + 1)
+        if max(-i, d - (tau - i)) <= s <= min(i, d + (tau - i))
+    ]
+
+
+def keyed(lines: DataFrame, tau: int) -> DataFrame:
+    """(id, key, own): a row for every probe of every line; own: it is a segment of the line itself.
+
+    The key hashes (length, segment, text); the segments of a length are even parts, the longer ones
+    last. lines: (id, line), of at least 2 * (tau + 1) characters, which keeps all probes inside.
+    """
+    specs = ", ".join(f"named_struct('d', {d}, 'i', {i}, 's', {s})" for d, i, s in probes(tau))
+    df = lines.select("id", "line", F.length("line").alias("len"), F.explode(F.expr(f"array({specs})")).alias("q"))
+    part, longer = f"((len - q.d) div {tau + 1})", f"((len - q.d) % {tau + 1})"
+    at = f"cast(q.i * {part} + greatest(0, q.i - ({tau + 1} - {longer})) + 1 + q.s as int)"
+    size = f"cast({part} + if(q.i >= {tau + 1} - {longer}, 1, 0) as int)"
+    return df.select("id", F.expr(f"xxhash64(len - q.d, q.i, substring(line, {at}, {size}))").alias("key"), F.expr("q.d = 0 and q.s = 0").alias("own"))
 
 
 def banded_distance(a: str, b: str, tau: int) -> Column:
@@ -106,17 +106,23 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def edit_join(lines: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Links (a, b) between distinct lines within ``tau`` edits, a < b. lines: (id, line), ids distinct."""
-    some = lines.where(F.length("line") >= max(min_chars, 2 * (tau + 1))).withColumn("len", F.length("line"))
-    packed = [F.expr(_counts("line", x)).alias(f"c{k}") for k, x in enumerate(LETTERS)]
-    keyed = materialize(some.select("id", "len", *packed, segment_keys(tau).alias("seg"), probe_keys(tau).alias("probe")), "lines-keys")
-    index = keyed.select(F.explode("seg").alias("key"), "id", "len", "c0", "c1").alias("x")
-    probes = keyed.select(F.explode("probe").alias("key"), "id", "len", "c0", "c1").alias("y")
-    near = f"({_apart('x.c0', 'y.c0')} + {_apart('x.c1', 'y.c1')}) <= {2 * tau}"
-    pairs = probes.join(index, F.expr(f"x.key = y.key and x.id <> y.id and y.len - x.len between 0 and {tau} and (x.len < y.len or x.id < y.id) and {near}"))
+    """Links (a, b), a < b, between different lines within ``tau`` edits. lines: (id, line), where rows of
+    one id have one text; ids may repeat. ``lines`` is read three times."""
+    lines = lines.where(F.length("line") >= max(min_chars, 2 * (tau + 1)))
+    keys = keyed(lines, tau).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
+    keys = materialize(keys, "lines-keys")
+    rows = small_join(keyed(lines, tau), keys, ["key"], "left_semi", limit=KEY_ROWS).groupBy("id", "key").agg(F.max("own").alias("own"))
+    rows = materialize(rows, "lines-rows")
+    wanted = materialize(rows.select("id").distinct(), "lines-ids")
+    texts = small_join(lines, wanted, ["id"], "left_semi", limit=ID_ROWS).groupBy("id").agg(F.first("line").alias("line"))
+    counts = [letter_counts("line", x).alias(f"c{k}") for k, x in enumerate(LETTERS)]
+    texts = materialize(texts.select("id", "line", *counts), "lines-texts")
+    names = [f"c{k}" for k in range(len(LETTERS))]
+    rows = rows.join(texts.select("id", *names), "id")
+    index, probe = rows.where("own").alias("x"), rows.alias("y")
+    apart = " + ".join(_apart(f"x.{c}", f"y.{c}") for c in names)
+    pairs = probe.join(index, F.expr(f"x.key = y.key and x.id <> y.id and ({apart}) <= {2 * tau}"))
     pairs = materialize(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "lines-pairs")
-    wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "lines-wanted")
-    texts = materialize(small_join(lines, wanted, ["id"], "inner"), "lines-texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
     return materialize(both.where(banded_distance("la", "lb", tau) <= tau).select("a", "b"), "lines-links")
 
@@ -125,28 +131,28 @@ def line_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ta
     """One row per key: n_lines, n_dropped, n_links, dropped_lines.
 
     A line is dropped if its text, or a text within ``tau`` edits, first occurs before it (by key, then
-    line number); lines of fewer than ``min_chars`` characters only for equal texts. n_links sums, over the document's lines, the different texts
-    within ``tau`` edits. White space at a line's ends does not count, lines without a word are no
-    lines; a null text has none. Keys must be integers that do not repeat (rows that share one are
-    treated as one document); a null key is a key of its own, first in order. Texts are told apart by
-    two 64-bit hashes.
+    line number); lines of fewer than ``min_chars`` characters only for equal texts. n_links sums, over
+    the document's lines, the different texts within ``tau`` edits. White space at a line's ends does
+    not count, lines without a word are no lines; a null text has none. Keys are integers (rows that
+    share one are treated as one document); a null key is a key of its own, first in order. Texts are
+    told apart by two 64-bit hashes. An empty table gives an empty result.
     """
     base = docs.select(docs[key].cast("long").alias("__k"), docs[text].alias("__t"))
     keys = base.select("__k").distinct()
-    rows = lines_of(base, "__k", "__t").select("doc", "no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    hashes = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2")]
+    rows = lines_of(base, "__k", "__t").select("doc", "no", "line", *hashes)
     narrow = materialize(rows.select("doc", "no", "h1", "h2"), "lines")
-    first = F.min(F.struct("doc", "no"))
-    texts = narrow.groupBy("h1", "h2").agg(first.alias("at"), F.count("*").alias("copies"))
-    texts = materialize(texts.select("h1", "h2", "at", "copies", F.xxhash64("h1", "h2").alias("id")), "lines-texts")
-    # the text of each distinct line, from its first place
-    own = rows.join(texts.select("h1", "h2", "id", F.col("at.doc").alias("doc0"), F.col("at.no").alias("no")), ["h1", "h2", "no"]).where("doc <=> doc0").select("id", "line").dropDuplicates(["id"])
-    links = edit_join(own, tau, min_chars)
+    texts = narrow.groupBy("h1", "h2").agg(F.min(F.struct("doc", "no")).alias("at"), F.count("*").alias("copies"))
+    texts = materialize(texts.withColumn("id", F.xxhash64("h1", "h2")), "lines-distinct")
+    links = edit_join(rows.select(F.xxhash64("h1", "h2").alias("id"), "line"), tau, min_chars)
     ends = links.union(links.select("b", "a")).toDF("id", "other")
-    at = texts.select("id", "at")
+    # first places of the linked lines
+    linked = materialize(ends.select("id").distinct(), "lines-linked")
+    at = materialize(small_join(texts.select("id", "at"), linked, ["id"], "left_semi", limit=ID_ROWS), "lines-places")
     per = ends.join(at.toDF("other", "other_at"), "other").join(at, "id").groupBy("id").agg(
         F.count("*").alias("links"), F.max(F.col("other_at") < F.col("at")).alias("late")
     )
-    notable = texts.join(per, "id", "left").where("copies > 1 or links > 0").select("h1", "h2", "at", "links", "late")
+    notable = texts.select("h1", "h2", "id", "at", "copies").join(per, "id", "left").where("copies > 1 or links > 0").select("h1", "h2", "at", "links", "late")
     notable = materialize(notable, "lines-notable")
     judged = small_join(narrow, notable, ["h1", "h2"])
     dropped = F.coalesce(F.col("late"), F.lit(False)) | F.coalesce(F.col("at") < F.struct("doc", "no"), F.lit(False))
