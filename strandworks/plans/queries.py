@@ -66,6 +66,23 @@ def _(t):
     return codecs.decode_medians(codecs.encode_medians(t.md, fx.SIZE), w)
 
 
+@query("scan_loglik", f"{CW}, c1 long, c2 long, ll double", f"SELECT chrom, {W}, c1, c2, round(ll::FLOAT::DOUBLE, 4) AS ll FROM ll")
+def _(t):
+    ll = clustering.median_loglik(t.counts, clustering.medians_of(t.near, fx.SIZE))
+    k = t.near.groupBy("chrom", "window").agg(F.count_distinct("cluster").alias("k"))
+    return codecs.decode_loglik(codecs.encode_loglik(ll), k).withColumn("ll", F.round("ll", 4))
+
+
+@query("detect_phase", "chrom string, phased boolean", "SELECT DISTINCT chrom, TRUE AS phased FROM h")
+def _(t):
+    return codecs.is_phased(codecs.vcf_lines(t.h))
+
+
+@query("scan_labels", "sample long, pop long", "SELECT * FROM lb")
+def _(t):
+    return codecs.checked_labels(t.labels.select("sample", F.col("pop").cast("string").alias("value")), 4)
+
+
 BIM = f"SELECT chrom, chrom || '_W' || ({W} + 1) || '_K' || (cluster + 1) || '_B' || size AS id, 0 AS cm, start AS pos, 'K' AS a1, '0' AS a2 FROM md JOIN mt USING (chrom, {W})"
 BIM_T = "chrom string, id string, cm long, pos long, a1 string, a2 string"
 

@@ -45,6 +45,19 @@ def vcf_haplotypes(lines: DataFrame) -> DataFrame:
     return df.select("chrom", "pos", (2 * F.col("sample") + F.col("i")).alias("hap"), "sample", F.expr("try_cast(nullif(a, '.') as bigint)").alias("allele"))
 
 
+def is_phased(lines: DataFrame) -> DataFrame:
+    """(chrom, phased): whether the first sample's call of a file's first record is."""
+    first = F.min_by("phased", F.struct("pos", "sample"))
+    return parse_vcf(lines).groupBy("chrom").agg(first.alias("phased"))
+
+
+def checked_labels(lines: DataFrame, sources: int) -> DataFrame:
+    """(sample, pop) of (sample, value) lines: integers from 0 (none) to the number of sources."""
+    pop = F.expr("try_cast(trim(value) as bigint)")
+    bad = pop.isNull() | ~pop.between(0, sources)
+    return lines.select("sample", F.when(bad, F.raise_error(F.concat(F.lit("not a population label: "), F.coalesce("value", F.lit("null"))))).otherwise(pop).cast("long").alias("pop"))
+
+
 def genotypes(haplotypes: DataFrame) -> DataFrame:
     """(chrom, snp, pos, sample, dosage): null if either allele is."""
     keys = ["chrom", "snp", "pos", "sample"]
@@ -143,6 +156,37 @@ def decode_medians(files: DataFrame, windows: DataFrame) -> DataFrame:
     return df.select("chrom", "window", "cluster", "j", F.conv(F.hex(F.substring("content", at, F.lit(1))), 16, 10).cast("long").alias("allele"))
 
 
+def encode_loglik(ll: DataFrame) -> DataFrame:
+    """(chrom, content): magic, then each window's matrix row by row, four bytes a value."""
+
+    def run(it):
+        for pdf in it:
+            for chrom, v in zip(pdf["chrom"], pdf["v"], strict=True):
+                yield pd.DataFrame({"chrom": [chrom], "content": [MAGIC + np.array([x["ll"] for x in v], "<f4").tobytes()]})
+
+    rows = ll.groupBy("chrom").agg(F.sort_array(F.collect_list(F.struct("window", "c1", "c2", "ll"))).alias("v"))
+    return rows.mapInPandas(run, "chrom string, content binary")
+
+
+def decode_loglik(files: DataFrame, windows: DataFrame) -> DataFrame:
+    """(chrom, window, c1, c2, ll); windows: (chrom, window, k)."""
+    shape = windows.groupBy("chrom").agg(F.sort_array(F.collect_list(F.struct("window", "k"))).alias("w"))
+
+    def run(it):
+        for pdf in it:
+            for chrom, content, w in zip(pdf["chrom"], pdf["content"], pdf["w"], strict=True):
+                if bytes(content[:3]) != MAGIC:
+                    raise ValueError("not a log-likelihood file")
+                values, at = np.frombuffer(content, "<f4", offset=3).astype(float), 0
+                for x in w:
+                    k = x["k"]
+                    c = np.arange(k * k)
+                    yield pd.DataFrame({"chrom": chrom, "window": x["window"], "c1": c // k, "c2": c % k, "ll": values[at : at + k * k]})
+                    at += k * k
+
+    return files.join(shape, "chrom").select("chrom", "content", "w").mapInPandas(run, "chrom string, window long, c1 long, c2 long, ll double")
+
+
 # --- text -----------------------------------------------------------------------------------------
 
 def to_lines(df: DataFrame, sep: str = "\t") -> DataFrame:
