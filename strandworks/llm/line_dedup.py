@@ -100,7 +100,8 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, no, line): the lines that hold a word, numbered from 0, without white space at their ends."""
     return (
         docs.select(docs[key].alias("doc"), F.posexplode(F.split(docs[text], "\n")).alias("no", "line"))
-        .withColumn("line", F.expr("trim(both ' \t\r\x0b\x0c' from line)"))
+        # trimming a set of characters walks the whole line, so only lines that need it
+        .withColumn("line", F.expr("if(ascii(line) <= 32 or ascii(right(line, 1)) <= 32, trim(both ' \t\r\x0b\x0c' from line), line)"))
         .where("line <> ''")
     )
 
