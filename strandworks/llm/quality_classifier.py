@@ -87,14 +87,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
         labels = labels.where(hash60(F.concat(F.lit("train"), F.col("__k").cast("string"))) < int((1 << 60) * limit / n))
     rows = small_join(docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")), labels, ["__k"], "inner", rows=min(n, limit) + 1)
     kernel = lambda texts: {"x": features(texts).tolist()}
-    got = append_columns(rows, "__t", [T.StructField("x", T.ArrayType(T.DoubleType()))], kernel).select("__k", "__y", "x").toPandas()
-    got = got.assign(k=got["__k"].astype(str)).sort_values(["k", "__y"], kind="stable").drop_duplicates("k")
+    made = append_columns(rows, "__t", [T.StructField("x", T.ArrayType(T.DoubleType()))], kernel)
+    got = made.groupBy("__k").agg(F.max("__y").alias("__y"), F.min("x").alias("x")).toPandas()
+    got = got.assign(k=got["__k"].astype(str)).sort_values("k", kind="stable")
     return np.array(got["x"].tolist(), np.float64).reshape(-1, WIDTH), got["__y"].to_numpy(np.float64)
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", limit: int = TRAIN_ROWS) -> gbt.Trees:
     """Fit on the labelled documents (labels other than 0 and 1, and null ids, are ignored; of several
-    labels of one id the largest counts, of several texts the first in hash order)."""
+    labels of one id the largest counts, of several texts the one of least features)."""
     x, y = training_rows(docs, labels, key, text, label, limit)
     return gbt.fit(x, y, trees=80, depth=4)
 
