@@ -56,11 +56,15 @@ def keyed(lines: DataFrame, tau: int) -> DataFrame:
     last. lines: (id, line), of at least 2 * (tau + 1) characters, which keeps all probes inside.
     """
     specs = ", ".join(f"named_struct('d', {d}, 'i', {i}, 's', {s})" for d, i, s in probes(tau))
-    df = lines.select("id", "line", F.length("line").alias("len"), F.explode(F.expr(f"array({specs})")).alias("q"))
+    bytes_ = F.expr("if(octet_length(line) = length(line), cast(line as binary), null)")
+    df = lines.select("id", "line", F.length("line").alias("len"), bytes_.alias("bytes"), F.explode(F.expr(f"array({specs})")).alias("q"))
     part, longer = f"((len - q.d) div {tau + 1})", f"((len - q.d) % {tau + 1})"
     at = f"cast(q.i * {part} + greatest(0, q.i - ({tau + 1} - {longer})) + 1 + q.s as int)"
     size = f"cast({part} + if(q.i >= {tau + 1} - {longer}, 1, 0) as int)"
-    return df.select("id", F.expr(f"xxhash64(len - q.d, q.i, substring(line, {at}, {size}))").alias("key"), F.expr("q.d = 0 and q.s = 0").alias("own"))
+    # where characters are bytes, a part is cut out of the bytes without counting characters; the hash
+    # is of the bytes either way
+    part_hash = f"xxhash64(len - q.d, q.i, if(bytes is null, cast(substring(line, {at}, {size}) as binary), substring(bytes, {at}, {size})))"
+    return df.select("id", F.expr(part_hash).alias("key"), F.expr("q.d = 0 and q.s = 0").alias("own"))
 
 
 def banded_distance(a: str, b: str, tau: int) -> Column:
