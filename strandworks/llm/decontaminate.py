@@ -4,9 +4,10 @@ Every piece of a partition (some MB of documents) is a shard. Its words become i
 vocabulary; stretches of known words that are shorter than the shortest window cannot hold one and
 are left out. The rest gets a suffix array by prefix doubling, and all suffixes of the benchmark are
 searched in it at once, one more word per round, each round a binary search inside the range that the
-words so far have left. A suffix's last range gives its longest verbatim match and the places; its
-range at window length gives the hits. Shards are independent, so nothing is shuffled and a lost
-executor costs only its own tasks.
+words so far have left. A suffix's range at window length gives the hits. Every hit that no other one
+extends to the left is then followed to the right, word by word, which gives each document its own
+longest verbatim match, whatever else the shard holds. Shards are independent, so nothing is shuffled
+and a lost executor costs only its own tasks.
 """
 
 from __future__ import annotations
@@ -79,13 +80,12 @@ def suffix_array(a: np.ndarray, depth: int) -> np.ndarray:
 
 
 def search(a: np.ndarray, order: np.ndarray, bench: Benchmark):
-    """(longest, lo, hi, wlo, whi) of every benchmark suffix: its longest match, that match's range of
-    the suffix array, and the range of its window (empty if there is none)."""
+    """(wlo, whi) of every benchmark suffix: its window's range of the suffix array (empty if there is none)."""
     m, n = len(bench.ids), len(order)
     padded = np.concatenate((a, np.zeros(1, a.dtype)))
     tests = np.concatenate((bench.ids, np.zeros(1, np.int64)))
     lo, hi = np.zeros(m, np.int64), np.full(m, n, np.int64)
-    longest, wlo, whi = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64)
+    wlo, whi = np.zeros(m, np.int64), np.zeros(m, np.int64)
     active, d = np.flatnonzero(bench.ids), 0
     while len(active):
         word = tests[active + d]
@@ -106,10 +106,21 @@ def search(a: np.ndarray, order: np.ndarray, bench: Benchmark):
         active, x, y = active[found], x[found], y[found]
         lo[active], hi[active] = x, y
         d += 1
-        longest[active] = d
-        at_window = active[bench.window[active] == d]
-        wlo[at_window], whi[at_window] = lo[at_window], hi[at_window]
-    return longest, lo, hi, wlo, whi
+        at_window = bench.window[active] == d
+        done, active = active[at_window], active[~at_window]
+        wlo[done], whi[done] = lo[done], hi[done]
+    return wlo, whi
+
+
+def match_lengths(a: np.ndarray, start: np.ndarray, bench: Benchmark, suffix: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Words that ``a`` from ``start`` and the item from ``suffix`` share, the first ``known`` of which are known to be equal."""
+    length = known.copy()
+    live = np.arange(len(length))
+    while len(live):
+        word = a[start[live] + length[live]]
+        live = live[(word > 0) & (word == bench.ids[suffix[live] + length[live]])]
+        length[live] += 1
+    return length
 
 
 def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,24 +154,26 @@ def find(texts: list[bytes | None], bench: Benchmark) -> list[tuple[int, list[tu
     _, place = _expand(begin, end + 1)  # with the 0 after each stretch
     a = ids[place]
     order = suffix_array(a, bench.longest)
-    longest, lo, hi, wlo, whi = search(a, order, bench)
+    wlo, whi = search(a, order, bench)
     hit = np.flatnonzero(whi > wlo)
     if not len(hit):
         return out
     row, at = _expand(wlo[hit], whi[hit])
-    where = place[order[at]]
+    start, suffix = order[at], hit[row]
+    where = place[start]
     doc = np.searchsorted(starts, where, "right") - 1
-    width = bench.window[hit][row]
+    width = bench.window[suffix]
     diff = np.zeros(len(ids) + 1, np.int64)
     np.add.at(diff, where, 1)
     np.add.at(diff, where + width, -1)
     covered = np.concatenate(([0], (np.cumsum(diff[:-1]) > 0).astype(np.int8), [0]))
     edge = np.flatnonzero(np.diff(covered))
-    pairs = np.unique(np.stack((doc, bench.item[hit][row])), axis=1)
-    best: dict[int, int] = {}
-    row2, at2 = _expand(lo[hit], hi[hit])
-    for d, n in zip((np.searchsorted(starts, place[order[at2]], "right") - 1).tolist(), longest[hit][row2].tolist(), strict=True):
-        best[d] = max(best.get(d, 0), n)
+    pairs = np.unique(np.stack((doc, bench.item[suffix])), axis=1)
+    # a hit with an equal word before it is part of a longer one; both arrays end with 0, also read before their start
+    before = a[start - 1]
+    head = np.flatnonzero((before == 0) | (before != bench.ids[suffix - 1]))
+    best = np.zeros(len(counts), np.int64)
+    np.maximum.at(best, doc[head], match_lengths(a, start[head], bench, suffix[head], width[head]))
     spans: dict[int, list] = {}
     for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
         d = int(np.searchsorted(starts, s, "right") - 1)
@@ -168,7 +181,7 @@ def find(texts: list[bytes | None], bench: Benchmark) -> list[tuple[int, list[tu
     items: dict[int, list] = {}
     for d, i in pairs.T.tolist():
         items.setdefault(d, []).append(bench.names[i])
-    return [(n, spans.get(d, []), sorted(set(items.get(d, []))), best.get(d, 0)) for d, (n, *_) in enumerate(out)]
+    return [(n, spans.get(d, []), sorted(set(items.get(d, []))), longest) for d, (n, longest) in enumerate(zip(counts, best.tolist(), strict=True))]
 
 
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])

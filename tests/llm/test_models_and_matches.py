@@ -163,6 +163,35 @@ def test_suffix_array_and_longest_match():
     assert [(x[0], x[2], x[3]) for x in decontaminate.find([b"z A b c d e f g h i j k l n", b"a b c", None], b)] == [(14, ["x"], 12), (3, [], 0), (0, [], 0)]
 
 
+def test_longest_match_is_each_documents_own():
+    quoted = [f"w{i}" for i in range(40)]
+    b = decontaminate.Benchmark([("x", " ".join(quoted).encode())])
+    cuts = [(0, 30), (0, 12), (5, 40), (5, 15), (20, 29)]
+    texts = [" ".join(["no", *quoted[i:j], "no"]).encode() for i, j in cuts]
+    together = decontaminate.find(texts, b)
+    assert [x[3] for x in together] == [30, 12, 35, 10, 0]
+    assert together == [decontaminate.find([t], b)[0] for t in texts]
+
+    r = random.Random(4)
+    text = lambda n: " ".join(r.choice("ab") for _ in range(n)).encode()
+    items = [(str(i), text(r.choice([3, 9, 10, 14, 30]))) for i in range(8)]
+    texts = [b" c ".join([text(r.randint(0, 15)), items[r.randrange(8)][1][: 2 * r.randint(1, 30)]]) for _ in range(40)]
+
+    def longest(d):
+        out = 0
+        for w in (decontaminate.words_of(t) for _, t in items):
+            for i in range(len(d)):
+                for j in range(len(w)):
+                    n = 0
+                    while i + n < len(d) and j + n < len(w) and d[i + n] == w[j + n]:
+                        n += 1
+                    out = max(out, n if n >= min(10, len(w)) else 0)
+        return out
+
+    got = decontaminate.find(texts, decontaminate.Benchmark(items))
+    assert [x[3] for x in got] == [longest(decontaminate.words_of(t)) for t in texts]
+
+
 def test_trees_of_pieces_count_like_full_encoding():
     count = token_counts.counter(open(token_counts.VOCABULARY, "rb").read())
     r = random.Random(1)
