@@ -10,8 +10,9 @@
     class. The Jaccard estimate of the union's sketch filters the pairs, the full sets confirm them.
 4.  Where a longer list still holds several components, its classes are compared exactly: the same
     rarest-first index over their full sets, with the bounds on size and on shared shingles that the
-    threshold implies, and only between components. So no list is capped, and a large group of copies
-    costs pairs in proportion to its size, unless its texts really are that close but not linked.
+    threshold implies, and only between components; no estimate filters these pairs. So no list is
+    capped, and a large group of copies costs pairs in proportion to its size, unless its texts really
+    are that close but not linked.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ WHOLE = 60
 LIST = 24
 #: Values of a full set's prefix that a row of the exact index carries at most.
 PREFIX = 64
-#: Pairs whose estimate is lower (five standard deviations below the threshold) are not verified.
-ESTIMATE = 0.59
+#: Pairs of short lists and of central classes whose estimate is lower are not verified; the cut is that of the index.
+ESTIMATE = NEED / SKETCH
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORDS: dict[bytes, int] = {}
@@ -174,7 +175,7 @@ def _links(docs: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = long_.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value")
     open_ = materialize(long_.join(mixed, "value", "left_semi").groupBy("class").agg(F.first("comp").alias("comp")), "minhash-open")
     if open_.limit(1).count():
-        more = _verified(docs, classes, _exact_pairs(docs, open_), estimate=True)
+        more = _verified(docs, classes, _exact_pairs(docs, open_), estimate=False)
         links = links.union(more)
     # rows that share a key but not a text: their classes are linked by the key itself
     keyed = made.where("n > 0 and __id is not null").groupBy("__id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("__id")
@@ -206,16 +207,22 @@ def _exact_pairs(docs: DataFrame, open_: DataFrame) -> DataFrame:
     return _pairs_of(index, f"and x.comp <> y.comp and {bound} and {first}").distinct()
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, estimate: bool) -> DataFrame:
-    pairs = materialize(pairs, "minhash-pairs")
+def _likely(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose sketches allow the threshold."""
     sk = classes.select("class", "n", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("k"))
     both = pairs.join(sk.toDF("a", "na", "ka"), "a").join(sk.toDF("b", "nb", "kb"), "b")
     # of the union's sketch, how many values both hold; whole sets are compared whole
     size = F.when((F.col("na") <= WHOLE) & (F.col("nb") <= WHOLE), F.size(F.array_union("ka", "kb"))).otherwise(F.lit(SKETCH))
     union = F.slice(F.sort_array(F.array_union("ka", "kb")), F.lit(1), size)
     est = F.size(F.array_intersect(union, F.array_intersect("ka", "kb"))) / size
-    likely = materialize(both.where(est >= ESTIMATE).select("a", "b"), "minhash-likely")
-    release(pairs)
+    return both.where(est >= ESTIMATE).select("a", "b")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, estimate: bool) -> DataFrame:
+    likely = pairs = materialize(pairs, "minhash-pairs")
+    if estimate:
+        likely = materialize(_likely(classes, pairs), "minhash-likely")
+        release(pairs)
     wanted = materialize(likely.select(F.col("a").alias("class")).union(likely.select("b")).distinct(), "minhash-wanted")
     texts = materialize(_texts(docs, wanted).dropDuplicates(["class"]), "minhash-texts")
     links = materialize(_confirm(likely, texts), "minhash-links")

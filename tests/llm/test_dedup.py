@@ -66,6 +66,27 @@ def test_components_against_brute_force(spark, monkeypatch, limit):
     assert sorted(r.doc_id for r in stay) == sorted(i for i, c in want.items() if i == c)
 
 
+def test_pairs_down_to_the_cut_of_the_index(spark):
+    # the last words make the least shingles, so that leaving them out costs the sketch far more than the set
+    r = random.Random(3)
+    w = [f"w{r.randrange(10**6)}" for _ in range(380)]
+    while len(w) < 380 + 21:
+        w.append(min((f"w{r.randrange(10**6)}" for _ in range(400)), key=lambda x: minhash.shingles(" ".join([*w[-4:], x]).encode())[0]))
+    a, b = " ".join(w), " ".join(w[:380])
+    sa, sb = (minhash.shingles(t.encode())[: minhash.SKETCH] for t in (a, b))
+    assert len(set(sa) & set(sb)) == 27 and len(w) * 0.85 < 380
+    got = minhash.near_duplicates(spark.createDataFrame([(1, a), (2, b)], SCHEMA)).collect()
+    assert {x.doc_id: x.component_id for x in got} == {1: 1, 2: 1}
+
+
+def test_long_lists_do_without_estimates(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LIST", 1)
+    monkeypatch.setattr(minhash, "ESTIMATE", 1.1)
+    data = list(enumerate(texts(1, 80)))
+    got = minhash.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect()
+    assert {x.doc_id: x.component_id for x in got} == brute_components(data)[1]
+
+
 def test_repeated_rows_null_keys_and_empty(spark):
     t = "a b c d e f g h"
     df = spark.createDataFrame([(1, t), (1, t), (2, t), (None, t)], SCHEMA)
