@@ -107,13 +107,20 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
-def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, text as bytes): the first row of each wanted class."""
-    wanted = classes.select(F.col("class").alias("__id"))
-    return (
-        small_join(docs.select(F.col("__id"), F.col("__text").cast("binary").alias("text")), wanted, ["__id"], "inner", limit=ID_ROWS)
-        .withColumnRenamed("__id", "class")
-    )
+def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, several: bool) -> DataFrame:
+    """(class, text as bytes): a row of each wanted class. several: an id may have other texts than its class's."""
+    ids = wanted.select("class", F.col("class").alias("__id"))
+    if several:
+        ids = materialize(wanted.select("class").join(classes.select("class", F.col("least").alias("__id")), "class"), "minhash-ids")
+    texts = small_join(docs.select("__id", F.col("__text").cast("binary").alias("text")), ids, ["__id"], "inner", limit=ID_ROWS)
+    if several:
+        texts = append_columns(texts, "text", MEASURED, _measure).where(_name() == F.col("class"))
+    return texts.select("class", "text").dropDuplicates(["class"])
+
+
+def _name():
+    """Name of a class where ids have several texts: then two classes may have the same least id."""
+    return F.xxhash64("s1", "s2")
 
 
 def _pairs_of(index: DataFrame, extra: str = "") -> DataFrame:
@@ -133,12 +140,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     docs = docs.select(docs[key].cast("long").alias("__id"), docs[text].alias("__text"))
     made = materialize(append_columns(docs, "__text", MEASURED, _measure).select("__id", "n", "s1", "s2", "sketch"), "minhash-docs")
-    links, classes = _links(docs, made)
-    comp = components(links)
-    comp = materialize(comp, "minhash-components")
+    links, classes, several = _links(docs, made)
+    comp = materialize(components(links), "minhash-components")
+    if several:
+        first = comp.join(classes.select(F.col("class").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("first"))
+        comp = materialize(comp.join(first, "component").select("node", F.col("first").alias("component")), "minhash-named")
     # classes of more than one document, or in a component of another
-    moved = classes.select("class", "s1", "s2", "copies").join(comp.withColumnRenamed("node", "class"), "class", "left")
-    moved = moved.withColumn("component", F.coalesce("component", "class")).where("copies > 1 or component <> class")
+    moved = classes.select("class", "least", "s1", "s2", "copies").join(comp.withColumnRenamed("node", "class"), "class", "left")
+    moved = moved.withColumn("component", F.coalesce("component", "least")).where("copies > 1 or component <> least")
     moved = materialize(moved.select("s1", "s2", "component"), "minhash-moved")
     out = small_join(made.drop("sketch"), moved, ["s1", "s2"])
     component = F.when((F.col("n") > 0) & F.col("__id").isNotNull(), F.coalesce("component", "__id")).otherwise(F.col("__id"))
@@ -147,11 +156,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
-def _links(docs: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _links(docs: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """(links between classes, the classes, whether an id has several texts). A class is named by its least id if not."""
+    keyed = made.where("__id is not null").groupBy("__id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("__id")
+    keyed = materialize(keyed, "minhash-keys")
+    several = keyed.limit(1).count() > 0
     classes = made.where("n > 0 and __id is not null").groupBy("s1", "s2").agg(
-        F.min("__id").alias("class"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
+        F.min("__id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
-    classes = materialize(classes, "minhash-classes")
+    classes = materialize(classes.withColumn("class", _name() if several else F.col("least")), "minhash-classes")
     post = classes.select("class", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
     df = post.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     live = post.join(df, "value").groupBy("class", "n", "s").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
@@ -166,7 +179,7 @@ def _links(docs: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame]:
     long_ = index.join(lists.where(f"members > {LIST}"), "value").where("class <> center")
     stars = long_.where(f"100 * least(n, center_n) >= {PERCENT} * greatest(n, center_n)").select(F.least("class", "center").alias("a"), F.greatest("class", "center").alias("b"))
     pairs = _pairs_of(short).union(stars).distinct()
-    links = _verified(docs, classes, pairs, estimate=True)
+    links = _verified(docs, classes, pairs, several, estimate=True)
 
     # longer lists that hold more than one component
     comp = materialize(components(links), "minhash-first")
@@ -175,20 +188,19 @@ def _links(docs: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = long_.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value")
     open_ = materialize(long_.join(mixed, "value", "left_semi").groupBy("class").agg(F.first("comp").alias("comp")), "minhash-open")
     if open_.limit(1).count():
-        more = _verified(docs, classes, _exact_pairs(docs, open_), estimate=False)
+        more = _verified(docs, classes, _exact_pairs(docs, classes, open_, several), several, estimate=False)
         links = links.union(more)
     # rows that share a key but not a text: their classes are linked by the key itself
-    keyed = made.where("n > 0 and __id is not null").groupBy("__id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("__id")
-    keyed = materialize(keyed, "minhash-keys")
-    if keyed.limit(1).count():
-        same = small_join(made.select("__id", "s1", "s2"), keyed, ["__id"], "inner").join(classes.select("s1", "s2", "class"), ["s1", "s2"])
-        links = links.union(same.where("class <> __id").select(F.col("class").alias("a"), F.col("__id").alias("b")))
-    return links, classes
+    if several:
+        same = small_join(made.where("n > 0"), keyed, ["__id"], "inner").select("__id", _name().alias("b")).distinct()
+        same = materialize(same, "minhash-same")
+        links = links.union(same.join(same.groupBy("__id").agg(F.min("b").alias("a")), "__id").where("a <> b").select("a", "b"))
+    return links, classes, several
 
 
-def _exact_pairs(docs: DataFrame, open_: DataFrame) -> DataFrame:
+def _exact_pairs(docs: DataFrame, classes: DataFrame, open_: DataFrame, several: bool) -> DataFrame:
     """Pairs between components of the given classes that the full sets do not rule out."""
-    texts = _texts(docs, open_).dropDuplicates(["class"])
+    texts = _texts(docs, classes, open_, several)
     full = append_columns(texts, "text", [T.StructField("set", T.ArrayType(T.LongType()))], lambda ts: {"set": [shingles(t) for t in ts]})
     full = materialize(full.select("class", F.size("set").alias("n"), F.explode("set").alias("value")), "minhash-full")
     df = full.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
@@ -218,13 +230,13 @@ def _likely(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(est >= ESTIMATE).select("a", "b")
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, estimate: bool) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, several: bool, estimate: bool) -> DataFrame:
     likely = pairs = materialize(pairs, "minhash-pairs")
     if estimate:
         likely = materialize(_likely(classes, pairs), "minhash-likely")
         release(pairs)
     wanted = materialize(likely.select(F.col("a").alias("class")).union(likely.select("b")).distinct(), "minhash-wanted")
-    texts = materialize(_texts(docs, wanted).dropDuplicates(["class"]), "minhash-texts")
+    texts = materialize(_texts(docs, classes, wanted, several), "minhash-texts")
     links = materialize(_confirm(likely, texts), "minhash-links")
     release(texts)
     return links

@@ -97,6 +97,24 @@ def test_repeated_rows_null_keys_and_empty(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [24, 1])
+def test_several_texts_under_one_id(spark, monkeypatch, limit):
+    monkeypatch.setattr(minhash, "LIST", limit)
+    r = random.Random(8)
+    text = lambda: [f"w{r.randrange(10**6)}" for _ in range(90)]
+    data = []
+    for i in range(1, 13):
+        one, other = text(), text()
+        data += [(i, one), (i, other), (100 + i, one[:-3]), (200 + i, other[:-3])]
+    # an empty text of the same id; an id whose second text belongs to a lesser one
+    one, other = text(), text()
+    data += [(50, []), (50, one), (51, one[:-3]), (60, other[:-3]), (70, text()), (70, other)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in data], SCHEMA)
+    got = {(x.doc_id, x.n_shingles): x.component_id for x in minhash.near_duplicates(df).collect()}
+    home = {50: 50, 51: 50, 60: 60, 70: 60}
+    assert got == {(i, max(0, len(w) - 4)): home.get(i, i % 100) for i, w in data}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges).collect()}
