@@ -411,7 +411,7 @@ def _(t):
 @query("admix_init", "sample long, k long, q double")
 def _(t):
     rows, n = _rows(t)
-    _, q = linalg.als_init(rows, n, fx.K, iterations=100)
+    _, q = linalg.als_init(rows, n, fx.K)
     return t.spark.createDataFrame(pd.DataFrame({"sample": np.repeat(np.arange(n), fx.K), "k": np.tile(np.arange(fx.K), n), "q": q.ravel()}))
 
 

@@ -3,10 +3,12 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 from strandworks import registry
+from strandworks.operators import linalg
 
 SF = "/root/testdata/sf0.001"
 TABLES = "lineitem embeddings documents benchmark".split()
@@ -40,3 +42,10 @@ def test_query_equals_sql(spark, con, key):
 def test_entry_and_keys(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_als_query_runs_to_the_default_limit(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(linalg, "als_init", lambda rows, n, k, **more: seen.append(more) or (None, np.full((n, k), 1 / k)))
+    assert registry.QUERIES["admix_init"](spark, SF).count() > 0
+    assert seen == [{}]
