@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from strandworks.llm.common import ID_ROWS, materialize, small_join, table
 
-#: Most edits between linked lines; shorter lines link only with copies of themselves.
+#: Most edits between linked lines of so many characters.
 TAU, MIN_CHARS = 2, 24
+#: From so many characters on, shorter lines link within one edit; below, only with copies of themselves.
+SHORT_CHARS = 12
 #: Broadcast limit of the table of shared keys, one integer column: some 60 MB as a hash table.
 KEY_ROWS = 1_500_000
 #: Letters that are counted, six to a word, ten bits each.
@@ -49,18 +51,23 @@ def probes(tau: int) -> list[tuple[int, int, int]]:
     ]
 
 
-def keyed(lines: DataFrame, tau: int) -> DataFrame:
+def keyed(lines: DataFrame, tau: int, short: int, full: int) -> DataFrame:
     """(id, key, own): a row for every probe of every line; own: it is a segment of the line itself.
 
     The key hashes (length, segment, text); the segments of a length are even parts, the longer ones
-    last. lines: (id, line), of at least 2 * (tau + 1) characters, which keeps all probes inside.
+    last. Lines of at least ``full`` characters are cut for tau edits, shorter ones for one; those of
+    exactly ``full`` also look for lines that are one shorter. lines: (id, line), of at least
+    ``short`` characters, 2 * (edits + 1) or more, which keeps all probes inside.
     """
-    specs = ", ".join(f"named_struct('d', {d}, 'i', {i}, 's', {s})" for d, i, s in probes(tau))
+    specs = lambda t, least=0: ", ".join(f"named_struct('t', {t}, 'd', {d}, 'i', {i}, 's', {s})" for d, i, s in probes(t) if d >= least)
     bytes_ = F.expr("if(octet_length(line) = length(line), cast(line as binary), null)")
-    df = lines.select("id", "line", F.length("line").alias("len"), bytes_.alias("bytes"), F.explode(F.expr(f"array({specs})")).alias("q"))
-    part, longer = f"((len - q.d) div {tau + 1})", f"((len - q.d) % {tau + 1})"
-    at = f"cast(q.i * {part} + greatest(0, q.i - ({tau + 1} - {longer})) + 1 + q.s as int)"
-    size = f"cast({part} + if(q.i >= {tau + 1} - {longer}, 1, 0) as int)"
+    q = f"array({specs(tau)})"
+    if short < full:
+        q = f"case when len > {full} then {q} when len = {full} then array({specs(tau)}, {specs(1, 1)}) else array({specs(1)}) end"
+    df = lines.select("id", "line", F.length("line").alias("len"), bytes_.alias("bytes")).select("*", F.explode(F.expr(q)).alias("q"))
+    part, longer = "((len - q.d) div (q.t + 1))", "((len - q.d) % (q.t + 1))"
+    at = f"cast(q.i * {part} + greatest(0, q.i - (q.t + 1 - {longer})) + 1 + q.s as int)"
+    size = f"cast({part} + if(q.i >= q.t + 1 - {longer}, 1, 0) as int)"
     # where characters are bytes, a part is cut out of the bytes without counting characters; the hash
     # is of the bytes either way
     part_hash = f"xxhash64(len - q.d, q.i, if(bytes is null, cast(substring(line, {at}, {size}) as binary), substring(bytes, {at}, {size})))"
@@ -111,12 +118,15 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def edit_join(lines: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Links (a, b), a < b, between different lines within ``tau`` edits. lines: (id, line), where rows of
-    one id have one text; ids may repeat. ``lines`` is read three times."""
-    lines = lines.where(F.length("line") >= max(min_chars, 2 * (tau + 1)))
-    keys = keyed(lines, tau).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
+    """Links (a, b), a < b, between different lines within ``tau`` edits, or within one if the shorter has
+    fewer than ``min_chars`` characters. lines: (id, line), where rows of one id have one text; ids may
+    repeat. ``lines`` is read three times."""
+    full = max(min_chars, 2 * (tau + 1))
+    short = min(SHORT_CHARS, full) if tau else full
+    lines = lines.where(F.length("line") >= short)
+    keys = keyed(lines, tau, short, full).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     keys = materialize(keys, "lines-keys")
-    rows = small_join(keyed(lines, tau), keys, ["key"], "left_semi", limit=KEY_ROWS).groupBy("id", "key").agg(F.max("own").alias("own"))
+    rows = small_join(keyed(lines, tau, short, full), keys, ["key"], "left_semi", limit=KEY_ROWS).groupBy("id", "key").agg(F.max("own").alias("own"))
     rows = materialize(rows, "lines-rows")
     wanted = materialize(rows.select("id").distinct(), "lines-ids")
     texts = small_join(lines, wanted, ["id"], "left_semi", limit=ID_ROWS).groupBy("id").agg(F.first("line").alias("line"))
@@ -129,15 +139,16 @@ def edit_join(lines: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> D
     pairs = probe.join(index, F.expr(f"x.key = y.key and x.id <> y.id and ({apart}) <= {2 * tau}"))
     pairs = materialize(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "lines-pairs")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-    return materialize(both.where(banded_distance("la", "lb", tau) <= tau).select("a", "b"), "lines-links")
+    limit = F.when(F.least(F.length("la"), F.length("lb")) < full, min(1, tau)).otherwise(tau)
+    return materialize(both.where(banded_distance("la", "lb", tau) <= limit).select("a", "b"), "lines-links")
 
 
 def line_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per key: n_lines, n_dropped, n_links, dropped_lines.
 
     A line is dropped if its text, or a text within ``tau`` edits, first occurs before it (by key, then
-    line number); lines of fewer than ``min_chars`` characters only for equal texts. n_links sums, over
-    the document's lines, the different texts within ``tau`` edits. White space at a line's ends does
+    line number); lines of SHORT_CHARS to ``min_chars`` characters for texts within one edit, still
+    shorter ones only for equal texts. n_links sums, over the document's lines, the different texts so near. White space at a line's ends does
     not count, lines without a word are no lines; a null text has none. Keys are integers (rows that
     share one are treated as one document); a null key is a key of its own, first in order. Texts are
     told apart by two 64-bit hashes. An empty table gives an empty result.

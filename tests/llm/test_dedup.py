@@ -191,6 +191,20 @@ def test_banded_distance(spark, tau):
     assert all(min(x.d, tau + 1) == min(edits(x.a, x.b), tau + 1) for x in got)
 
 
+def test_short_lines_within_one_edit(spark):
+    r = random.Random(5)
+    lines = set()
+    for n in [*range(10, 28)] * 3:
+        x = "".join(r.choice("abcdeé") for _ in range(n))
+        lines |= {x, *(mutate(r, x, k).strip() for k in (1, 1, 1, 2))}
+    lines = sorted(x for x in lines if x)
+    near = lambda x, y: edits(x, y) <= (2 if min(len(x), len(y)) >= 24 else 1 if min(len(x), len(y)) >= 12 else 0)
+    want = {i: sum(y != x and abs(len(x) - len(y)) < 3 and near(x, y) for y in lines) for i, x in enumerate(lines)}
+    got = line_dedup.line_duplicates(spark.createDataFrame(list(enumerate(lines)), SCHEMA)).collect()
+    assert {x.doc_id: x.n_links for x in got} == want
+    assert any(want[i] and 12 <= len(x) < 23 for i, x in enumerate(lines))
+
+
 def test_lines_against_brute_force(spark):
     r = random.Random(8)
     base = ["".join(r.choice("abcde ") for _ in range(r.randint(24, 50))).strip() for _ in range(15)]
