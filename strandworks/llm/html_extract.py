@@ -16,6 +16,8 @@ import functools
 import html
 import random
 import re
+from bisect import bisect_right
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -26,20 +28,28 @@ from strandworks.llm.arrow_map import append_columns
 from strandworks.llm.common import table
 
 #: Pages that the trees are fitted on.
-EXAMPLES = 500
+EXAMPLES = 700
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|>|->)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
+#: A tag behind its "<" or "</": name and attributes. A quote opens a value only straight after "=".
+_TAG_RE = re.compile(r"([a-zA-Z][^\s/>]*)((?:[^=>]|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]*+))*+)>")
+_EMPTY = re.compile(r"(?:^|[\s\"'])/\s*$")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORD = re.compile(r"[a-z]+")
 _CAPITALS = re.compile(r"[A-Z]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg iframe object math canvas select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
+#: Elements whose content is no text of the page. Without an end tag the first two run to their parent's
+#: end, the others are taken for empty.
+CODE = frozenset("script style".split())
+RAW = CODE | frozenset("textarea title iframe noembed noframes".split())
+#: Elements whose closed content is not shown; drawings and formulas, in which every element is inline.
+HIDDEN = frozenset("template desc metadata".split())
+FOREIGN = frozenset("svg math".split())
+INLINE = FOREIGN | frozenset("a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i ins kbd label map mark meter object output picture progress q rp rt ruby s samp slot small span strike strong sub sup time tt u var video wbr br img".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-HOLDS = frozenset("ul ol table div article section main nav aside header footer form body dl".split())
+HOLDS = frozenset("ul ol table div article section main nav aside header footer form body dl select".split())
 
-TAGS = ("p", "h1", "h2", "h3", "h4", "li", "ul", "ol", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "table", "tr", "td", "th", "blockquote", "figure", "pre", "button", "fieldset", "dl", "dd", "body", "html", "head")
+TAGS = ("p", "h1", "h2", "h3", "h4", "li", "ul", "ol", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "table", "tr", "td", "th", "blockquote", "figure", "pre", "button", "fieldset", "dl", "dd", "body", "html", "head", "noscript", "select")
 #: Words in class, id and role by what they tell.
 CUES = {
     "content": "article body content copy entry main post prose story text paragraph blog".split(),
@@ -57,82 +67,159 @@ _FLAG_TAGS = ("nav", "header", "footer", "aside", "form", "article", "main")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "depth", "index")
+    __slots__ = ("tag", "attrs", "parent", "children", "depth", "index", "inline")
 
-    def __init__(self, tag: str, attrs: str, parent: Node | None):
-        self.tag, self.attrs, self.parent = tag, attrs, parent
+    def __init__(self, tag: str, attrs: str, parent: Node | None, inline: bool = False):
+        self.tag, self.attrs, self.parent, self.inline = tag, attrs, parent, inline
         self.children: list = []  # elements and text, in page order
         self.depth = parent.depth + 1 if parent else 0
 
 
+class _Open:
+    """The open elements, with the places of every tag, so that no tag has to walk over them."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.blocks, self.holds = [0], [0]  # places of block elements, and of those that p and li stay inside
+
+    def push(self, node: Node) -> None:
+        i = len(self.nodes)
+        self.nodes.append(node)
+        self.at[node.tag].append(i)
+        if not node.inline:
+            self.blocks.append(i)
+        if node.tag in HOLDS:
+            self.holds.append(i)
+
+    def cut(self, i: int) -> None:
+        """Close the element at place i and all inside it."""
+        while len(self.nodes) > i:
+            self.at[self.nodes.pop().tag].pop()
+        for places in (self.blocks, self.holds):
+            while places[-1] >= i:
+                places.pop()
+
+    def last(self, tag: str) -> int:
+        return self.at[tag][-1] if self.at.get(tag) else 0
+
+    def first_above(self, tag: str, place: int) -> int:
+        """The outermost element of the tag inside the one at ``place``; 0 if there is none."""
+        places = self.at.get(tag) or []
+        k = bisect_right(places, place)
+        return places[k] if k < len(places) else 0
+
+
 def parse(page: str) -> Node:
-    """The element tree. Comments, scripts, styles and other raw text are left out."""
+    """The element tree, in time linear in the page. Comments, scripts, styles and other raw text are left
+    out up to their ends; nothing else is."""
     root = Node("html", "", None)
-    stack, at = [root], 0
+    open_ = _Open(root)
+    text = at = 0  # where the text since the last tag begins; where to look on
     limit = page.rfind(">") + 1
-    lower = None
-    while at < limit:
-        m = _TOKEN.search(page, at, limit)
+    missing: set[str] = set()  # end tags that the rest of the page does not hold
+
+    def end_tag(tag: str, start: int) -> tuple[int, int] | None:
+        if tag in missing:
+            return None
+        m = _end_of(tag).search(page, start)
         if not m:
+            missing.add(tag)
+            return None
+        close = page.find(">", m.end())
+        return m.start(), len(page) if close < 0 else close + 1
+
+    while (at := page.find("<", at, limit)) >= 0:
+        sign = page[at + 1]
+        if sign in "!?" or sign == "/" and not page[at + 2 : at + 3].isalpha():
+            # a comment, or what counts as one
+            end = -1
+            if page.startswith("<!--", at):
+                if page.startswith((">", "->"), at + 4):
+                    end = page.index(">", at) + 1
+                elif "-->" not in missing:
+                    end = page.find("-->", at + 4) + 3
+                    if end < 3:
+                        missing.add("-->")
+                        end = -1
+            if end < 0:
+                end = page.index(">", at) + 1
+            if at > text:
+                open_.nodes[-1].children.append(page[text:at])
+            text = at = end
+            continue
+        closing = sign == "/"
+        if not closing and not ("a" <= sign <= "z" or "A" <= sign <= "Z"):
+            at += 1
+            continue
+        m = _TAG_RE.match(page, at + 1 + closing, limit)
+        if not m:  # no tag ends behind this place
             break
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        if m[1]:
-            tag = m[1].lower()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE:
-                    break  # an inline end tag does not close blocks
-                if tag == "p" and stack[i].tag in HOLDS:
-                    break
+        if at > text:
+            open_.nodes[-1].children.append(page[text:at])
+        tag = m[1].lower()
+        if closing:
+            _close(open_, tag)
+            text = at = m.end()
             continue
-        if not m[2]:
-            continue  # comment or declaration
-        tag = m[2].lower()
+        text = at = m.end()
+        attrs = m[2]
+        empty = _EMPTY.search(attrs) is not None
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
-                lower = page.lower() if lower is None else lower
-                if len(lower) != len(page):  # rare letters change length in lower case
-                    end = re.compile(f"</{tag}", re.I).search(page, at)
-                    stop = end.start() if end else -1
-                else:
-                    stop = lower.find(f"</{tag}", at)
-                if stop < 0:
-                    at = limit = len(page)
-                else:
-                    close = page.find(">", stop)
-                    at = len(page) if close < 0 else close + 1
+            found = None if empty else end_tag(tag, at)
+            if found:
+                text = at = found[1]
+            elif tag in CODE and not empty:
+                up = end_tag(open_.nodes[-1].tag, at)
+                text = at = up[0] if up else len(page)
             continue
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+        if tag == "html" or tag == "body" and open_.last("body"):
             continue
         if tag in ENDS_P or tag == "body":
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p" or tag == "body" and stack[i].tag == "head":
-                    del stack[i:]
-                    break
-                if stack[i].tag in HOLDS:
-                    break
+            # blocks end drawings, formulas and choices that were left open
+            outer = min((x for x in (open_.first_above(t, 0) for t in ("svg", "math", "select")) if x), default=0)
+            if outer:
+                open_.cut(outer)
+            if (i := open_.last("p")) > open_.holds[-1]:
+                open_.cut(open_.first_above("p", open_.holds[-1]))
+            if tag == "body" and (i := open_.last("head")):
+                open_.cut(i)
         if tag in SAME:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in SAME[tag]:
-                    del stack[i:]
-                    break
-                if stack[i].tag in HOLDS:
-                    break
-        node = Node(tag, m[3], stack[-1])
-        stack[-1].children.append(node)
-        if tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
-    if at < len(page):
-        rest = page[at:]
-        cut = re.search(r"<(?:[a-zA-Z/!?]|$)", rest)  # a tag that the page's end cuts off
-        stack[-1].children.append(rest[: cut.start()] if cut else rest)
+            i = min((x for x in (open_.first_above(t, open_.holds[-1]) for t in SAME[tag]) if x), default=0)
+            if i:
+                open_.cut(i)
+        node = Node(tag, attrs, open_.nodes[-1], tag in INLINE or bool(open_.at.get("svg") or open_.at.get("math")))
+        open_.nodes[-1].children.append(node)
+        if tag not in VOID and not empty:
+            open_.push(node)
+    if text < len(page):
+        rest = page[text:]
+        # a tag that the page's end cuts off
+        cut = re.search(r"<(?:[a-zA-Z/!?]|$)", rest)
+        open_.nodes[-1].children.append(rest[: cut.start()] if cut else rest)
     return root
 
 
+@functools.lru_cache(256)
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I)
+
+
+def _close(open_: _Open, tag: str) -> None:
+    """An end tag: closes its element if one is open, but inline ones close no block, and p no container."""
+    if tag == "br":
+        open_.nodes[-1].children.append(Node(tag, "", open_.nodes[-1], True))
+        return
+    i = open_.last(tag)
+    if tag == "p" and i <= open_.holds[-1]:
+        open_.nodes[-1].children.append(Node(tag, "", open_.nodes[-1]))  # an empty paragraph
+    elif i and not (open_.nodes[i].inline and i < open_.blocks[-1]):
+        node = open_.nodes[i]
+        open_.cut(i)
+        if tag in HIDDEN:
+            node.children.clear()
+
+
 @functools.lru_cache(4096)
 def _cues(attrs: str) -> int:
     """A bit for each group of cues that the attributes name, and the last bit if they hide the element."""
@@ -180,7 +267,7 @@ def blocks_of(root: Node) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         if isinstance(child, str):
             buffer.append(child)
             links += len(child.strip()) if linked else 0
-        elif child.tag in INLINE:
+        elif child.inline:
             if child.tag in ("br", "wbr"):
                 buffer.append(" " if child.tag == "br" else "")
             else:
@@ -307,9 +394,15 @@ def _boiler(r: random.Random, kind: str) -> str:
         return f'<{(t := r.choice(["div", "div", "section", "aside", "p"]))} {r.choice(["class", "id"])}="{r.choice(CUES["advert"])}{r.choice(["", "", "-box", " slot", "-1"])}">{inner}</{t}>'
     if kind == "notice":
         inner = r.choice([f"<p>{_prose(r)}</p>", _prose(r) + " <button>OK</button>"])
+        if r.random() < 0.15:
+            return f"<noscript>{inner}</noscript>"
         return f'<{(t := r.choice(["div", "section", "aside", "p"]))} {r.choice(["class", "id", "role"])}="{r.choice(CUES["notice"])}{r.choice(["", "-bar", " box"])}">{inner}</{t}>'
     if kind == "form":
         inner = f'<label>{_sentence(r, 1, 3)}</label><input type="text" name="q"><p>{_prose(r, r.random() < 0.6)}</p><button>{_sentence(r, 1, 2)}</button>'
+        choice = "<select>" + "".join(f"<option>{_sentence(r, 1, 2)}</option>" for _ in range(r.randint(2, 6))) + "</select>"
+        if r.random() < 0.2:
+            return choice
+        inner += choice if r.random() < 0.3 else ""
         return r.choice([f"<form{_cue(r, 'form')}>{inner}</form>", f'<div class="{r.choice(["newsletter", "login", "search", "subscribe"])}"><form>{inner}</form></div>'])
     if kind == "comment":
         one = lambda: r.choice([f"<div{_cue(r, 'comment')}><b>{_sentence(r, 1, 2)}</b><p>{_prose(r)}</p></div>", f"<li><p>{_prose(r)}</p></li>", f"<p>{_prose(r)}</p>"])
