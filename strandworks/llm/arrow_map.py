@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from strandworks.llm.common import free_name, staying
+
 #: A batch of texts is cut into pieces of about so many bytes, so that a kernel's arrays stay small.
 PIECE_BYTES = 8 << 20
 
@@ -32,13 +34,9 @@ def len_or_0(scalar: pa.Scalar) -> int:
 
 def append_columns(df: DataFrame, text: str, fields: list[T.StructField], kernel: Callable[[list], dict]) -> DataFrame:
     """``kernel(texts)`` (UTF-8 bytes or None) gives a list or array per field; fields replace columns of their names."""
-    names = {f.name for f in fields}
-    keep = [c for c in df.columns if c not in names]
+    keep = staying(df, [f.name for f in fields])
     # the text comes first as bytes, under a name of its own
-    own = "__bytes"
-    while own in keep:
-        own += "_"
-    inner = df.select(df[text].cast("binary").alias(own), *[df[c] for c in keep])
+    inner = df.select(df[text].cast("binary").alias(free_name(df, "__bytes")), *[df[c] for c in keep])
     schema = T.StructType([*[f for f in df.schema.fields if f.name in keep], *fields])
     types = [to_arrow_type(f.dataType) for f in fields]
 

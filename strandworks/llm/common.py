@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,26 @@ def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
     return left.join(F.broadcast(right) if rows <= limit else right, on, how)
 
 
+def staying(df: DataFrame, made: list[str]) -> list[str]:
+    """The columns that appended ones of the given names do not replace; case does not count, as in Spark."""
+    lower = {m.lower() for m in made}
+    return [c for c in df.columns if c.lower() not in lower]
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """The table with columns c0, c1, ..., and a function that gives the new name of each: no other name,
+    such as an operator's own ones, can clash with a column of the caller's."""
+    at = {c.lower(): f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*at.values()), lambda c: at[c.lower()]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column has it."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,9 +7,10 @@ water-filled, over one row per source and class). The whole part is allotted for
 fraction p is its inclusion probability, and documents are taken in the order of random odds over
 inclusion odds, u/(1-u) : p/(1-p), until the source's remaining words are used up.
 
-The order is never sorted in whole: words are summed per (source, slice of the order), the slices
-are accumulated, and only the one slice in which a source's target falls is sorted. What remains is
-a cut per source, so the decision on each document is a comparison beside its text, without moving it.
+The order is never sorted in whole: words are summed per (source, slice of the order), the slices are
+accumulated, the one slice in which a source's target falls is sliced again, and only the slice of that
+one in which the target falls is sorted, some 1 in 16 million of the order. What remains is a cut per
+source, so the decision on each document is a comparison beside its text, without moving it.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandworks.llm.common import hash60, materialize, n_words, small_join, table
+from strandworks.llm.common import free_name, hash60, materialize, n_words, numbered, small_join, staying, table
 
 #: Share of all words to take, weights by rank of the source, most copies of a document.
 TOTAL, WEIGHTS, MAX_COPIES = 1.5, (5, 2, 1), 2
 #: A document of b-bit length weighs LENGTH_BASE + b: longer documents repeat a little more often.
 LENGTH_BASE = 16
+#: Slices of the order, and of the slice that holds the cut; a power of two, so that both lie alike.
 SLICES = 4096
 
 
@@ -60,17 +62,18 @@ def mix(
     ``copies`` (0 .. max_copies) is how often the mix holds the document, ``taken`` its words times
     copies. Sources are weighed in code point order, null last. Null and word-less texts have size 0
     and are not taken. The random number of a document comes from its key and ``seed``, so reruns
-    agree; rows that share key and length class are taken or left together. A source's taken words
-    end within half a document of its target. Input columns named like appended ones are replaced.
+    agree; rows that share key and length class are taken or left together, so a source's taken words
+    end within half a document (or half such a group) of its target. A very long text is one row whose
+    words are counted in the JVM. An empty table stays empty. Input columns named like appended ones are replaced.
     """
-    made = ["size", "source_size", "target", "copies", "taken"]
-    keep = [c for c in docs.columns if c not in made]
-    base = docs.select(*keep, n_words(docs[text]).alias("size"))
-    base = base.withColumn("__s", F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("~")))
-    base = base.withColumn("__null", F.col(source).isNull())
+    keep = staying(docs, ["size", "source_size", "target", "copies", "taken"])
+    base, at = numbered(docs)
+    base = base.withColumn("size", n_words(F.col(at(text))))
+    base = base.withColumn("__s", F.coalesce(F.concat(F.lit("s"), F.col(at(source))), F.lit("~")))
+    base = base.withColumn("__null", F.col(at(source)).isNull())
     base = base.withColumn("__bits", F.length(F.bin("size")))
-    base = base.withColumn("__u", (F.shiftright(hash60(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}"))), 8) + 0.5) / F.lit(float(1 << 52)))
-    narrow = materialize(base.select(F.col(key).alias("__k"), "__s", "__null", "size", "__bits", "__u"), "mix-sizes")
+    base = base.withColumn("__u", (F.shiftright(hash60(F.concat(F.coalesce(F.col(at(key)).cast("string"), F.lit("")), F.lit(f":{seed}"))), 8) + 0.5) / F.lit(float(1 << 52)))
+    narrow = materialize(base.select(F.col(at(key)).alias("__k"), "__s", "__null", "size", "__bits", "__u"), "mix-sizes")
 
     classes = materialize(narrow.groupBy("__s", "__null", "__bits").agg(F.sum("size").alias("words")), "mix-classes")
     sources = classes.groupBy("__s", "__null").agg(F.sum("words").alias("source_size"))
@@ -92,14 +95,22 @@ def mix(
     def ordered(df: DataFrame) -> DataFrame:
         df = small_join(df, plan, ["__s", "__bits"])
         df = df.withColumn("__q", F.when((F.col("__p") > 0) & (F.col("size") > 0), _pareto(F.col("__u"), F.col("__p"))))
-        return df.withColumn("__slice", F.floor(F.col("__q") / (1 + F.col("__q")) * SLICES))
+        return df.withColumn("__slice", F.floor(F.col("__q") / (1 + F.col("__q")) * (SLICES * SLICES)))
+
+    def last_slice(rows: DataFrame, slice_, words: str) -> DataFrame:
+        """(source, __cut, __before): the last slice that begins within the source's words, and the words before it."""
+        slices = rows.groupBy("__s", slice_.alias("__n")).agg(F.sum("size").alias("words"), F.first("__rest").alias("__rest"), F.first(F.expr(words)).alias("__from"))
+        before = F.col("__from") + F.coalesce(F.sum("words").over(Window.partitionBy("__s").orderBy("__n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        m = slices.withColumn("__before", before).where("__before <= __rest").groupBy("__s").agg(F.max(F.struct("__n", "__before")).alias("m"))
+        return m.select("__s", F.col("m.__n").alias("__cut"), F.col("m.__before").alias("__before"))
 
     ranked = ordered(narrow).where("__q is not null")
-    slices = ranked.groupBy("__s", "__slice").agg(F.sum("size").alias("words"), F.first("__rest").alias("__rest"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("__s").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = slices.withColumn("__before", before).where("__before <= __rest").groupBy("__s").agg(F.max(F.struct("__slice", "__before")).alias("m"))
-    last = materialize(last.select("__s", F.col("m.__slice").alias("__cut"), F.col("m.__before").alias("__before")), "mix-slices")
-    inside = small_join(ranked, last, ["__s"], "inner").where("__slice = __cut")
+    coarse = F.expr(f"__slice div {SLICES}")
+    last = materialize(last_slice(ranked, coarse, "0L"), "mix-coarse")
+    inside = small_join(ranked, last, ["__s"], "inner").where(coarse == F.col("__cut"))
+    last = materialize(last_slice(inside, F.col("__slice"), "__before"), "mix-slices")
+    # rows of one key and class have one place in the order, so they are one row of it
+    inside = small_join(ranked, last, ["__s"], "inner").where("__slice = __cut").groupBy("__s", "__q", "__k", "__before", "__rest").agg(F.sum("size").alias("size"))
     upto = F.sum("size").over(Window.partitionBy("__s").orderBy("__q", "__k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inside = inside.withColumn("__mid", F.col("__before") + upto - F.col("size") / 2).where("__mid <= __rest")
     ends = inside.groupBy("__s").agg(F.max(F.struct("__q", F.col("__k").cast("string").alias("k"))).alias("__end"))
@@ -108,14 +119,14 @@ def mix(
     out = small_join(ordered(base), cuts, ["__s"])
     more = (F.col("__slice") < F.col("__cut")) | ((F.col("__slice") == F.col("__cut")) & (F.col("__q") <= F.col("__endq")))
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("__whole") + F.coalesce(more, F.lit(False)).cast("long")).otherwise(F.lit(0)).cast("long"))
-    return out.select(*keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(*[F.col(at(c)).alias(c) for c in keep], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
-    """The mix itself: every row as often as its copies say."""
-    return mixed.where("copies > 0").withColumn(
-        "__i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    ).drop("__i")
+    """The mix itself: every row as often as its copies say; rows of no copies (null and word-less texts
+    among them) are left out. Repeated rows are repeated each by its own copies."""
+    i = free_name(mixed, "__i")
+    return mixed.where("copies > 0").withColumn(i, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop(i)
 
 
 def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
