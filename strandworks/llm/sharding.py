@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandworks.llm.common import hash60, materialize, small_join, table
+from strandworks.llm.common import hash60, materialize, numbered, small_join, staying, table
 
 BITS = 60
 #: Bits of one directory level at most: 65,536 prefixes, whose table is a few MB.
@@ -58,19 +58,17 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", max_
     shard_id is ``b`` and the bits of the bucket's prefix (``b`` alone: the whole hash space fits).
     Rows of one key always share a shard. Null texts have 0 bytes; a null key hashes as the empty
     string. A bucket that holds a single hash value (one key, or copies of it) cannot split: it is
-    kept whole and, if it is beyond the limit, marked ``oversized``. An empty table stays empty.
+    kept whole and, if it is beyond the limit, marked ``oversized``; so is a text beyond the limit, of
+    which only the length is read. Repeated rows count each with their bytes. An empty table stays empty.
     Input columns with the names of the appended ones are replaced.
     """
-    made = ["n_bytes", "shard_id", "shard_depth", "shard_bytes", "oversized"]
-    keep = [c for c in docs.columns if c not in made]
-    sizes = materialize(
-        docs.select(hash60(docs[key]).alias("__h"), F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long").alias("__b")),
-        "shard-sizes",
-    )
+    keep = staying(docs, ["n_bytes", "shard_id", "shard_depth", "shard_bytes", "oversized"])
+    docs, at = numbered(docs)
+    docs = docs.withColumns({"__h": hash60(F.col(at(key))), "n_bytes": F.coalesce(F.octet_length(F.col(at(text))), F.lit(0)).cast("long")})
+    sizes = materialize(docs.select("__h", F.col("n_bytes").alias("__b")), "shard-sizes")
     total = sizes.agg(F.coalesce(F.sum("__b"), F.lit(0))).first()[0]
     bits = min(LEVEL_BITS, max(3, math.ceil(math.log2(max(1, total / max_bytes))) + 4))
-    out = docs.select(*keep, hash60(docs[key]).alias("__h"), F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long").alias("n_bytes"))
-    out = out.withColumn("__s", F.lit(None).cast("struct<depth:int,leaf:bigint,shard_bytes:bigint,shard_docs:bigint>"))
+    out = docs.withColumn("__s", F.lit(None).cast("struct<depth:int,leaf:bigint,shard_bytes:bigint,shard_docs:bigint>"))
     base, left = 0, sizes
     while True:
         level = _level(left, base, bits, max_bytes)
@@ -92,7 +90,7 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", max_
         base, bits = base + bits, min(8, BITS - base - bits)
     s = F.col("__s")
     return out.select(
-        *keep,
+        *[F.col(at(c)).alias(c) for c in keep],
         "n_bytes",
         F.concat(F.lit("b"), F.when(s.depth > 0, F.lpad(F.bin(s.leaf), s.depth, F.lit("0"))).otherwise(F.lit(""))).alias("shard_id"),
         s.depth.alias("shard_depth"),
