@@ -2,8 +2,9 @@
 
 One pass measures every text. Each measure is sketched as counts of log-linear bins (exact below 32,
 then 32 bins per doubling: at most 1/32 off), so sketches merge by adding counts, in any order, and
-are the same on every run. A group with too few documents uses the merged sketch of its language,
-then that of the corpus. The fences are joined back to the measured rows.
+are the same on every run. The quartiles of a group are drawn towards those of its language, and these
+towards the corpus's, by PRIOR documents' weight each, so that a small group leans on the larger ones
+and none jumps as it grows. The fences are joined back to the measured rows.
 """
 
 from __future__ import annotations
@@ -14,15 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandworks.llm.arrow_map import append_columns
-from strandworks.llm.common import materialize, small_join, table
+from strandworks.llm.common import materialize, small_join, staying, table
 
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
 #: Base rules: fewest words, most words (in %) inside repeated windows of WINDOW words.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: Groups of fewer documents fall back to the sketch one level up.
-MIN_DOCS = 50
+#: Weight of the quartiles one level up, in documents.
+PRIOR = 50
 #: Fence: median +- FENCE times the larger of the quartile distance and the slack.
 FENCE = 6
 #: Measure: numerator, denominator, scale, slack, also a lower fence.
@@ -94,13 +95,13 @@ def _bin(v: str) -> str:
 
 
 def sketches(df: DataFrame) -> DataFrame:
-    """Counts (lang, source, measure, bin, value, n) of the documents that passed the base rules.
+    """Counts (__lang, __source, measure, bin, value, n) of the documents that passed the base rules.
 
     Two sketches merge by adding the counts of their bins; ``value`` is a bin's lower edge.
     """
     ok = df.where("not base_failed").select(
-        _key("lang").alias("__lang"),
-        _key("source").alias("__source"),
+        "__lang",
+        "__source",
         F.explode(F.array(*[
             F.struct(F.lit(name).alias("measure"), F.expr(f"cast({scale} * {a} div greatest({b}, 1) as bigint)").alias("v"))
             for name, (a, b, scale, _, _) in MEASURES.items()
@@ -110,8 +111,8 @@ def sketches(df: DataFrame) -> DataFrame:
     return ok.groupBy("__lang", "__source", "measure", "bin", "value").agg(F.count("*").alias("n"))
 
 
-def _key(c: str):
-    return F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("~"))
+def _key(c):
+    return F.coalesce(F.concat(F.lit("="), c), F.lit("~"))
 
 
 def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
@@ -125,13 +126,15 @@ def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """(lang, source) -> lo and hi of every measure, from the finest grouping with MIN_DOCS documents."""
+    """(__lang, __source) -> lo and hi of every measure, from quartiles weighed over the three levels."""
     own = quartiles(sketch, ["__lang", "__source"])
     lang = quartiles(sketch, ["__lang"]).select("__lang", "measure", F.struct("n", "q1", "q2", "q3").alias("__l"))
     all_ = quartiles(sketch, []).select("measure", F.struct("n", "q1", "q2", "q3").alias("__a"))
     df = own.join(lang, ["__lang", "measure"]).join(F.broadcast(all_), "measure")  # one row per measure
-    q = F.when(F.col("n") >= MIN_DOCS, F.struct("n", "q1", "q2", "q3")).when(F.col("__l.n") >= MIN_DOCS, F.col("__l")).otherwise(F.col("__a"))
-    df = df.withColumn("q", q)
+    drawn = lambda n, q, up: (n * q + PRIOR * up) / (n + PRIOR)
+    df = df.withColumn("q", F.struct(*[
+        drawn(F.col("n"), F.col(q), drawn(F.col("__l.n"), F.col(f"__l.{q}"), F.col(f"__a.{q}"))).alias(q) for q in ("q1", "q2", "q3")
+    ]))
     slack = F.create_map(*[F.lit(x) for k, v in MEASURES.items() for x in (k, v[3])])[F.col("measure")]
     df = df.withColumn("hi", F.col("q.q2") + FENCE * F.greatest(F.col("q.q2") - F.col("q.q1"), slack))
     df = df.withColumn("lo", F.col("q.q2") - FENCE * F.greatest(F.col("q.q3") - F.col("q.q2"), slack))
@@ -140,18 +143,22 @@ def fences(sketch: DataFrame) -> DataFrame:
     )
 
 
-def judge(df: DataFrame) -> DataFrame:
+def judge(df: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """Append kept to a measured table: false if base_failed or a measure lies outside its fence."""
-    sketch = materialize(sketches(df), "rules-sketch")
+    made = [*FIELDS, "base_failed"]
+    rest = staying(df, [*made, "kept"])
+    # the caller's columns are numbered, so that no name of this function can clash with them
+    own = df.select(_key(df[lang]).alias("__lang"), _key(df[source]).alias("__source"), *[df[c].alias(f"c{i}") for i, c in enumerate(rest)], *made)
+    sketch = materialize(sketches(own), "rules-sketch")
     limits = materialize(fences(sketch), "rules-fences")
-    out = small_join(df.withColumns({"__lang": _key("lang"), "__source": _key("source")}), limits, ["__lang", "__source"])
+    out = small_join(own, limits, ["__lang", "__source"])
     kept = ~F.col("base_failed")
     for k, (a, b, scale, _, lower) in MEASURES.items():
         v, f = F.expr(f"{scale} * {a} div greatest({b}, 1)"), F.col(f"__f_{k}")
         kept = kept & F.coalesce(v <= f.hi, F.lit(True))
         if lower:
             kept = kept & F.coalesce(v >= f.lo, F.lit(True))
-    return out.withColumn("kept", kept).select(*df.columns, "kept")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], *made, kept.alias("kept"))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", *, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -159,11 +166,11 @@ def quality_rules(docs: DataFrame, text: str = "text", *, lang: str = "lang", so
 
     Null language and null source form groups of their own. A null text has no words and fails the
     base rules. The texts are measured twice, for the sketches and for the verdicts, rather than
-    written in between. Columns with the names of the appended ones are replaced.
+    written in between; a very long text costs some ten times its bytes in the worker that measures it. Repeated
+    rows are judged alike, each counted. An empty table stays empty. Columns with the names of the
+    appended ones are replaced.
     """
-    if (lang, source) != ("lang", "source"):
-        docs = docs.withColumns({"lang": docs[lang], "source": docs[source]})
-    return judge(measured(docs, text))
+    return judge(measured(docs, text), lang, source)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +210,7 @@ b AS (SELECT *, greatest(length(bin(v)) - 6, 0) AS s FROM m),
 sk AS (SELECT lang, source, measure, (v >> s) << s AS value, count(*) AS n FROM b GROUP BY ALL),
 own AS {quart("lang, source,")}, lg AS {quart("lang,")}, al AS {quart("")},
 q AS (SELECT o.lang, o.source, o.measure,
-             CASE WHEN o.n >= {MIN_DOCS} THEN [o.q1, o.q2, o.q3] WHEN lg.n >= {MIN_DOCS} THEN [lg.q1, lg.q2, lg.q3] ELSE [al.q1, al.q2, al.q3] END AS q
+             [{", ".join(f"(o.n * o.q{i} + {PRIOR} * ((lg.n * lg.q{i} + {PRIOR} * al.q{i}) / (lg.n + {PRIOR}))) / (o.n + {PRIOR})" for i in (1, 2, 3))}] AS q
       FROM own o JOIN lg ON o.lang IS NOT DISTINCT FROM lg.lang AND o.measure = lg.measure JOIN al ON al.measure = o.measure),
 f AS (SELECT lang, source, measure, q[2] + {FENCE} * greatest(q[2] - q[1], CASE measure {slack} END) AS hi,
              q[2] - {FENCE} * greatest(q[3] - q[2], CASE measure {slack} END) AS lo FROM q)

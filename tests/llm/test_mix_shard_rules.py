@@ -138,3 +138,64 @@ def test_rules_equal_sql_with_odd_rows(spark, tmp_path):
     df.write.parquet(str(tmp_path / "documents.parquet"))
     got = quality_rules.op6_quality_rules(spark, str(tmp_path)).collect()
     assert {r.doc_id: (r.doc_id, r.n_words, r.n_repeat_words, r.kept) for r in got} == want
+
+
+def odd_columns(spark, names):
+    """A table whose extra columns have the names that the operators use inside."""
+    df = spark.createDataFrame([(i, "some words and more of them " * (5 + i), "en", "a" if i % 3 else None) for i in range(9)] + [(8, "some words and more of them " * 13, "en", "a")], SCHEMA)
+    return df.withColumns({n: F.lit(f"own {n}") for n in names})
+
+
+@pytest.mark.parametrize(
+    "op, names",
+    [
+        (mixing.mix, ["__s", "__u", "__bits", "__p", "__slice", "__k", "__null", "__cut", "c0", "c1", "fill", "words"]),
+        (lambda d: mixing.repeated(mixing.mix(d)), ["__i", "__s", "c2"]),
+        (sharding.assign_shards, ["__h", "__s", "__fine", "__t", "c0", "fine", "leaf"]),
+        (quality_rules.quality_rules, ["__lang", "__source", "__f_upper", "__bytes", "c0", "c1", "n", "q1"]),
+    ],
+)
+def test_internal_names_do_not_clash(spark, op, names):
+    df = odd_columns(spark, names)
+    got = op(df).collect()
+    assert got and all(r[n] == f"own {n}" for r in got for n in names)
+    assert {r.doc_id for r in got} <= set(range(9))
+    if op is not None and len(names) > 3:
+        assert len(got) == 10
+
+
+def test_rules_leave_the_caller_s_columns(spark):
+    df = odd_columns(spark, ["language"]).withColumn("Kept", F.lit(5))
+    got = quality_rules.quality_rules(df, lang="language").collect()
+    assert {r.lang for r in got} == {"en"} and all(isinstance(r.kept, bool) for r in got)
+
+
+def test_small_groups_lean_on_larger_ones(spark):
+    # symbols in a tenth of the words are usual for this language, so a new source with them stays
+    data = [(i, " ".join("ab*" if k % 5 == i % 5 else f"w{i}x{k}" for k in range(60)), "de", "big") for i in range(200)]
+    data += [(1000 + i, " ".join("ab*" if k % 5 == 0 else f"w{i}x{k}" for k in range(60)), "de", f"new{i}") for i in range(3)]
+    data += [(2000, " ".join(f"w{k}****" for k in range(60)), "de", "bad")]
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert all(got[1000 + i] for i in range(3)) and not got[2000]
+
+
+def test_mix_cuts_inside_one_place_of_the_order(spark):
+    # a third of the rows share one key and length, so they share one place in the order
+    data = [(i, "w " * (5 + i % 7), "en", "a") for i in range(400)] + [(-1, "w " * 9, "en", "a")] * 200 + [(i, "v " * 8, "en", "b") for i in range(900, 960)]
+    got = mixing.mix(spark.createDataFrame(data, SCHEMA)).collect()
+    assert len({(r.copies, r.taken) for r in got if r.doc_id == -1}) == 1
+    for s in "ab":
+        rows = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= (200 * 9 if s == "a" else 8)
+
+
+@pytest.mark.parametrize("op", [mixing.mix, sharding.assign_shards, quality_rules.quality_rules])
+def test_very_long_text(spark, op):
+    long = ("many words of one long text " * 200_000)[:5_000_000]
+    df = spark.createDataFrame([(1, long, "en", "a"), (2, "short text " * 20, "en", "a")], SCHEMA)
+    got = {r.doc_id: r for r in op(df).drop("text").collect()}
+    assert len(got) == 2
+    if op is sharding.assign_shards:
+        assert got[1].n_bytes == 5_000_000
+    else:
+        assert got[1]["size" if op is mixing.mix else "n_words"] == len(long.split())
