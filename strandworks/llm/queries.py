@@ -22,6 +22,7 @@ ORACLES = {
     "op4_suffix_decontamination": decontaminate.OP4_SQL,
     "op5_pfp_substrings": pfp_dedup.OP5_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
+    "op7_line_edit_join": line_dedup.OP7_SQL,
     "op8_minhash_dedup": minhash.OP8_SQL,
     "op9_extendible_sharding": sharding.OP9_SQL,
 }

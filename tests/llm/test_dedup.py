@@ -191,18 +191,40 @@ def test_banded_distance(spark, tau):
     assert all(min(x.d, tau + 1) == min(edits(x.a, x.b), tau + 1) for x in got)
 
 
-def test_short_lines_within_one_edit(spark):
+def near(x, y, tau=2):
+    """Whether two different lines are linked: an edit for every three characters of the shorter one, tau at most."""
+    limit = min(tau, min(len(x), len(y)) // 3)
+    return x != y and abs(len(x) - len(y)) <= limit and edits(x, y) <= limit
+
+
+@pytest.mark.parametrize("tau, hot", [(2, 6), (3, 64)])
+def test_lines_of_every_length(spark, monkeypatch, tau, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)  # a low one: most lists are cut again
     r = random.Random(5)
     lines = set()
-    for n in [*range(10, 28)] * 3:
-        x = "".join(r.choice("abcdeé") for _ in range(n))
-        lines |= {x, *(mutate(r, x, k).strip() for k in (1, 1, 1, 2))}
+    for n in [*range(1, 16), 18, 21, 24, 27, 40]:
+        for _ in range(4):
+            x = "".join(r.choice("abcdeé") for _ in range(n))
+            lines |= {x, *(mutate(r, x, k).strip() for k in (1, 1, 2, 2, 3))}
     lines = sorted(x for x in lines if x)
-    near = lambda x, y: edits(x, y) <= (2 if min(len(x), len(y)) >= 24 else 1 if min(len(x), len(y)) >= 12 else 0)
-    want = {i: sum(y != x and abs(len(x) - len(y)) < 3 and near(x, y) for y in lines) for i, x in enumerate(lines)}
+    want = {i: sum(near(x, y, tau) for y in lines) for i, x in enumerate(lines)}
+    got = line_dedup.line_duplicates(spark.createDataFrame(list(enumerate(lines)), SCHEMA), tau=tau).collect()
+    assert {x.doc_id: x.n_links for x in got} == want
+    assert any(want[i] for i, x in enumerate(lines) if len(x) < 6) and any(want[i] for i, x in enumerate(lines) if len(x) > 20)
+
+
+def test_lines_of_a_template(spark, monkeypatch):
+    seen = []
+    plain = line_dedup._pairs
+    monkeypatch.setattr(line_dedup, "HOT", 16)
+    monkeypatch.setattr(line_dedup, "_pairs", lambda *a: seen.append(plain(*a)) or seen[-1])
+    r = random.Random(6)
+    lines = sorted({f"Posted by the user on the old forum, no. {k:08d}" for k in r.sample(range(20_000), 150)} | {f"{r.randrange(24):02d}:{r.randrange(60):02d} the service answered in {r.randrange(90)} ms" for _ in range(100)})
+    want = {i: sum(near(x, y) for y in lines) for i, x in enumerate(lines)}
     got = line_dedup.line_duplicates(spark.createDataFrame(list(enumerate(lines)), SCHEMA)).collect()
     assert {x.doc_id: x.n_links for x in got} == want
-    assert any(want[i] and 12 <= len(x) < 23 for i, x in enumerate(lines))
+    links, tried = sum(want.values()) / 2, sum(x.count() for x in seen)
+    assert links > 100 and tried < 0.5 * len(lines) ** 2 / 2, (links, tried)
 
 
 def test_lines_against_brute_force(spark):
@@ -219,9 +241,8 @@ def test_lines_against_brute_force(spark):
     for i, k, x in places:
         first.setdefault(x, (i, k))
     links = defaultdict(set)
-    long = [x for x in first if len(x) >= line_dedup.MIN_CHARS]
-    for x in long:
-        links[x] = {y for y in long if y != x and edits(x, y) <= 2}
+    for x in first:
+        links[x] = {y for y in first if near(x, y)}
     want = {i: [0, 0, 0, []] for i, _ in data}
     for i, k, x in places:
         w = want[i]

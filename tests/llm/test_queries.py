@@ -84,8 +84,8 @@ def test_line_query_against_brute_force(spark, tmp_path):
     first = {}
     for i, k, x in places:
         first.setdefault(x, (i, k))
-    long = [x for x in first if len(x) >= line_dedup.MIN_CHARS]
-    links = {x: [y for y in long if y != x and abs(len(x) - len(y)) < 3 and edits(x, y) <= line_dedup.TAU] for x in long}
+    near = lambda x, y: x != y and edits(x, y) <= min(line_dedup.TAU, min(len(x), len(y)) // line_dedup.PER_EDIT)
+    links = {x: [y for y in first if abs(len(x) - len(y)) < 3 and near(x, y)] for x in first}
     want = defaultdict(lambda: (0, 0, 0))
     for i, k, x in places:
         a, b, c = want[i]
