@@ -30,7 +30,7 @@ TAU, PER_EDIT = 2, 3
 #: Texts of so many characters are cut into segments.
 CUT = 6
 #: Lines of a key of which all pairs are tried.
-HOT = 64
+HOT = 512
 #: Broadcast limit of the table of shared keys, one integer column: some 60 MB as a hash table.
 KEY_ROWS = 1_500_000
 #: Characters that are counted, six to a word, ten bits each.
@@ -113,13 +113,27 @@ def _common(x: str, y: str) -> str:
     return f"aggregate(concat({grow}, {steps}), 0, (p, s) -> if(p + s <= least(length({x}), length({y})) and substring({x}, p + 1, s) = substring({y}, p + 1, s), p + s, p))"
 
 
+def _possible(tau: int) -> str:
+    """Whether two texts c.x, c.y (the shorter first) with different ends can be within tau edits: of two
+    edits one is at the first and one at the last character, so all between is equal."""
+    m, k = "length(c.x)", "length(c.y)"
+    if tau > 2:
+        return f"{k} - {m} <= {tau}"
+    if tau < 2:
+        return f"{k} <= 1"
+    return (
+        f"{k} <= 2 or {m} = {k} and (substring(c.x, 2, {m} - 2) = substring(c.y, 2, {m} - 2) or substring(c.x, 2) = substring(c.y, 1, {m} - 1) or substring(c.x, 1, {m} - 1) = substring(c.y, 2))"
+        f" or {k} = {m} + 1 and (substring(c.x, 2) = substring(c.y, 2, {m} - 1) or substring(c.x, 1, {m} - 1) = substring(c.y, 2, {m} - 1)) or {k} = {m} + 2 and c.x = substring(c.y, 2, {m})"
+    )
+
+
 def banded_distance(a: str, b: str, tau: int) -> Column:
     """Edit distance of two string columns, exact up to ``tau`` (above it: some number above tau).
 
     Bit k of a word stands for row j - tau + k in column j. The score follows the band's lowest
-    diagonal to the last row, then that row. Equal ends are cut off first, and if that leaves one text
-    empty or one character of each, the distance is plain; a common tail of tau characters lets the band
-    reach the last row.
+    diagonal to the last row, then that row. Equal ends are cut off first; if that leaves one text empty
+    or one character of each, the distance is plain, and what cannot be within tau edits for its ends is
+    left out. A common tail of tau characters lets the band reach the last row.
     """
     ones, top = (1 << (2 * tau + 1)) - 1, 2 * tau
     tail = "~" * tau
@@ -137,9 +151,9 @@ def banded_distance(a: str, b: str, tau: int) -> Column:
     cut = f"transform(array({_common(a, b)}), h -> named_struct('a', substring({a}, h + 1), 'b', substring({b}, h + 1)))[0]"
     rev = f"transform(array({cut}), x -> named_struct('a', reverse(x.a), 'b', reverse(x.b)))[0]"
     core = f"transform(array({rev}), x -> transform(array({_common('x.a', 'x.b')}), h -> named_struct('a', substring(x.a, h + 1), 'b', substring(x.b, h + 1)))[0])"
-    words = f"transform({core}, c -> if(length(c.a) = 0 or length(c.b) = 0, greatest(length(c.a), length(c.b)), if(length(c.a) = 1 and length(c.b) = 1, 1, {{}})))[0]"
-    band = f"transform(array(named_struct('p', split(concat(c.a, '{tail}'), ''), 't', split(concat(c.b, '{tail}'), ''))), s -> if(abs(size(s.p) - size(s.t)) > {tau}, {tau + 1}, {body}))[0]"
-    return F.expr(words.format(band))
+    core = f"transform({core}, c -> if(length(c.a) <= length(c.b), named_struct('x', c.a, 'y', c.b), named_struct('x', c.b, 'y', c.a)))"
+    band = f"transform(array(named_struct('p', split(concat(c.x, '{tail}'), ''), 't', split(concat(c.y, '{tail}'), ''))), s -> {body})[0]"
+    return F.expr(f"transform({core}, c -> if(length(c.x) = 0 or length(c.y) = 1, length(c.y), if({_possible(tau)}, {band}, {tau + 1})))[0]")
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -157,13 +171,15 @@ def _pairs(rows: DataFrame, counts: DataFrame, tau: int) -> DataFrame:
     names = [c for c in counts.columns if c != "id"]
     rows = rows.join(counts, "id")
     x, y = rows.where("own").alias("x"), rows.alias("y")
+    # the first word, of the most frequent characters, tells most pairs apart
+    first = _apart(f"x.{names[0]}", f"y.{names[0]}")
     apart = " + ".join(_apart(f"x.{c}", f"y.{c}") for c in names)
     if "parts" in rows.columns:
         # a list that cannot be cut again is dealt over tasks: the index once, the probes to every part
         x = rows.where("own").withColumn("part", F.expr("cast(pmod(xxhash64(id), parts) as int)")).alias("x")
         y = rows.withColumn("part", F.explode(F.expr("sequence(0, cast(parts as int) - 1)"))).alias("y")
     same = "x.key = y.key and x.part = y.part" if "parts" in rows.columns else "x.key = y.key"
-    found = y.join(x, F.expr(f"{same} and x.id <> y.id and ({apart}) <= {2 * tau}"))
+    found = y.join(x, F.expr(f"{same} and x.id <> y.id and ({first}) <= {2 * tau} and ({apart}) <= {2 * tau}"))
     return found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
