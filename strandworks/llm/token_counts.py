@@ -1,10 +1,13 @@
-"""Edit-aware token counts: a segment tree over the pre-tokens of every document.
+"""Edit-aware token counts: a segment tree over the pre-tokens of every document, kept as a table.
 
 A text is split once into pre-tokens, which the merges of byte-pair encoding never cross, so the
 text's count is the sum of theirs. The tree's leaves are blocks of pre-tokens, its nodes sums of
-characters and tokens. An edit descends to the block of its place, re-splits from a pre-token that
-cannot see the edit until the new pieces fall in step with the old ones behind it, and adds the
-differences along the paths to the root. Everything else keeps its counts.
+characters and tokens. ``trees`` makes a store: a row per document with its text and the sums of its
+leaves (some 12 bytes for 350 characters), from which the nodes above follow by addition. ``edited``
+takes edits to the store: an edit descends to the block of its place, splits that block again from a
+pre-token that cannot see the edit until the new pieces fall in step with the old ones behind it, and
+adds the differences along the paths to the root. Blocks without an edit are neither split nor encoded,
+and the new row takes the next edits.
 """
 
 from __future__ import annotations
@@ -20,14 +23,15 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from strandworks.llm.arrow_map import PIECE_BYTES
-from strandworks.llm.common import table
+from strandworks.llm.arrow_map import PIECE_BYTES, append_columns
+from strandworks.llm.common import materialize, numbered, staying, table
 
 #: A vocabulary file of ranks, and the pattern that splits texts before its merges (fixed value).
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pre-tokens of a new leaf; a leaf that grows beyond four times that is split by rebuilding.
+#: Pre-tokens of a new leaf; a leaf that grows beyond four times that is dealt to new ones.
 LEAF = 64
 #: Longest part of the vocabulary's file, and entries of a worker's cache of counts.
 VOCABULARY_BYTES, CACHE = 64 << 20, 1 << 18
@@ -63,25 +67,58 @@ def counter(ranks: bytes) -> Counter:
 
 
 class PieceTree:
-    """Pre-tokens in leaves, with sums of characters and tokens above them."""
+    """Texts of leaves, their numbers of pre-tokens, and sums of characters and tokens above them.
 
-    def __init__(self, text: str, count: Counter):
+    leaves: (characters, tokens, pre-tokens) of a stored tree, for the same text; else the text is split.
+    """
+
+    def __init__(self, text: str, count: Counter, leaves: list[tuple[int, int, int]] | None = None):
         self.count = count
         self.encoded = 0  # pre-tokens encoded after the first build
-        self._build(_SPLIT.findall(text))
-
-    def _build(self, pieces: list[str], tokens: list[int] | None = None) -> None:
-        tokens = self.count.all(pieces) if tokens is None else tokens
-        self.leaves = [(pieces[i : i + LEAF], tokens[i : i + LEAF]) for i in range(0, len(pieces), LEAF)] or [([], [])]
+        if leaves is None:
+            parts = self._dealt(_SPLIT.findall(text))
+        else:
+            parts, at = [], 0
+            for chars, tokens, pieces in leaves:
+                parts.append((text[at : at + chars], tokens, pieces))
+                at += chars
+        self._build(parts)
+
+    def _dealt(self, pieces: list[str]) -> list[tuple[str, int, int]]:
+        """(text, tokens, pre-tokens) of new leaves."""
+        tokens = self.count.all(pieces)
+        return [("".join(pieces[i : i + LEAF]), sum(tokens[i : i + LEAF]), len(pieces[i : i + LEAF])) for i in range(0, len(pieces), LEAF)]
+
+    def _build(self, parts: list[tuple[str, int, int]]) -> None:
+        parts = parts or [("", 0, 0)]
+        self.parts, self.pieces = [t for t, _, _ in parts], [n for _, _, n in parts]
         self.base = 1
-        while self.base < len(self.leaves):
+        while self.base < len(parts):
             self.base *= 2
-        self.chars, self.tokens = [0] * (2 * self.base), [0] * (2 * self.base)
-        for i, (p, t) in enumerate(self.leaves):
-            self.chars[self.base + i], self.tokens[self.base + i] = sum(map(len, p)), sum(t)
+        rest = [0] * (self.base - len(parts))
+        self.chars, self.tokens = [0] * self.base + [len(t) for t in self.parts] + rest, [0] * self.base + [n for _, n, _ in parts] + rest
         for i in range(self.base - 1, 0, -1):
             self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
 
+    def leaves(self) -> list[tuple[int, int, int]]:
+        """Characters, tokens and pre-tokens of the leaves that are not empty."""
+        return [(len(t), self.tokens[self.base + i], n) for i, (t, n) in enumerate(zip(self.parts, self.pieces, strict=True)) if n]
+
+    def _split(self, leaf: int) -> list[str]:
+        """The pre-tokens of a leaf; two characters behind it are all that its last one can see."""
+        text, after = self.parts[leaf], ""
+        for t in self.parts[leaf + 1 :]:
+            after += t[:2]
+            if len(after) > 1:
+                break
+        out, at = [], 0
+        for p in _SPLIT.findall(text + after[:2]):
+            if at >= len(text):
+                break
+            out.append(p)
+            at += len(p)
+        return out
+
     @property
     def n_tokens(self) -> int:
         return self.tokens[1]
@@ -92,10 +129,10 @@ class PieceTree:
 
     @property
     def n_pieces(self) -> int:
-        return sum(len(p) for p, _ in self.leaves)
+        return sum(self.pieces)
 
     def text(self) -> str:
-        return "".join(x for p, _ in self.leaves for x in p)
+        return "".join(self.parts)
 
     def tokens_before(self, at: int) -> int:
         """Tokens of the pre-tokens that end at or before character ``at``."""
@@ -105,7 +142,8 @@ class PieceTree:
             if i & 1:
                 total += self.tokens[i - 1]
             i >>= 1
-        for p, t in zip(*self.leaves[leaf], strict=True):
+        pieces = self._split(leaf)
+        for p, t in zip(pieces, self.count.all(pieces), strict=True):
             start += len(p)
             if start > at:
                 break
@@ -121,12 +159,12 @@ class PieceTree:
             if at - start >= self.chars[i]:
                 start += self.chars[i]
                 i += 1
-        return min(i - self.base, len(self.leaves) - 1), start
+        return min(i - self.base, len(self.parts) - 1), start
 
-    def _set(self, leaf: int, pieces: list[str], tokens: list[int]) -> None:
-        self.leaves[leaf] = (pieces, tokens)
+    def _set(self, leaf: int, text: str, tokens: int, pieces: int) -> None:
+        self.parts[leaf], self.pieces[leaf] = text, pieces
         i = self.base + leaf
-        chars, total = sum(map(len, pieces)) - self.chars[i], sum(tokens) - self.tokens[i]
+        chars, total = len(text) - self.chars[i], tokens - self.tokens[i]
         while i:
             self.chars[i] += chars
             self.tokens[i] += total
@@ -138,18 +176,17 @@ class PieceTree:
         end = max(start, min(end, self.n_chars))
         # The splitter looks at most two characters beyond a piece: pieces ending before start - 1 stand.
         leaf, begin = self._leaf(max(0, start - 2))
-        pieces, tokens = self.leaves[leaf]
+        pieces = self._split(leaf)
         k = 0
         while k < len(pieces) and begin + len(pieces[k]) < start - 1:
             begin += len(pieces[k])
             k += 1
-        kept, kept_tokens = pieces[:k], tokens[:k]
         # old pieces from begin on, taken leaf by leaf until the new ones are in step with them
-        old, old_tokens = pieces[k:], tokens[k:]
+        kept, old = pieces[:k], pieces[k:]
         last = leaf
         while True:
             length = sum(map(len, old))
-            whole = last == len(self.leaves) - 1
+            whole = last == len(self.parts) - 1
             if begin + length > end or whole:
                 joined = "".join(old)
                 made = _SPLIT.findall(joined[: start - begin] + new + joined[end - begin :])
@@ -157,16 +194,17 @@ class PieceTree:
                 if step is not None:
                     break
             last += 1
-            p, t = self.leaves[last]
-            old, old_tokens = old + p, old_tokens + t
+            old = old + self._split(last)
         n_old, n_new = step
-        fresh = self.count.all(made[:n_new])
-        self.encoded += n_new
-        self._set(leaf, kept + made[:n_new] + old[n_old:], kept_tokens + fresh + old_tokens[n_old:])
+        tokens = sum(self.tokens[self.base + i] for i in range(leaf, last + 1)) + sum(self.count.all(made[:n_new])) - sum(self.count.all(old[:n_old]))
+        self.encoded += n_new + n_old
+        now = kept + made[:n_new] + old[n_old:]
         for i in range(leaf + 1, last + 1):
-            self._set(i, [], [])
-        if len(self.leaves[leaf][0]) > 4 * LEAF:
-            self._build([x for p, _ in self.leaves for x in p], [x for _, t in self.leaves for x in t])
+            self._set(i, "", 0, 0)
+        self._set(leaf, "".join(now), tokens, len(now))
+        if len(now) > 4 * LEAF:
+            every = list(zip(self.parts, self.tokens[self.base :], self.pieces, strict=False))
+            self._build([*every[:leaf], *self._dealt(now), *every[leaf + 1 :]])
 
     @staticmethod
     def _step(old, made, begin: int, end: int, shift: int, length: int, whole: bool) -> tuple[int, int] | None:
@@ -185,49 +223,89 @@ class PieceTree:
         return (len(old), len(made)) if whole else None
 
 
-def _fields() -> list[T.StructField]:
-    return [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_tokens_edited", "n_pieces", "n_reencoded")]
+LEAVES = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("chars", "tokens", "pieces")]))
+_ARROW_LEAVES = to_arrow_type(LEAVES)
 
 
-def edited_counts(docs: DataFrame, edits: str = "edits", text: str = "text", *, vocabulary: str = VOCABULARY, digest: bool = False) -> DataFrame:
-    """Append n_tokens, n_tokens_edited, n_pieces, n_reencoded (and edited_sha256) to every row.
-
-    ``edits``: array of (start, end, new): characters start..end-1 are replaced, one edit after the
-    other, each counting on the text that the former leave. Null texts are empty, null edits none, a
-    null member is skipped, a null place is the start, a null replacement empty; places outside the
-    text mean its ends. Columns with the names of the appended ones are replaced. The vocabulary is
-    read on the driver and broadcast; it must not be larger than VOCABULARY_BYTES.
-    """
+def _shared(docs: DataFrame, vocabulary: str):
+    """The vocabulary, read on the driver and broadcast; never more than VOCABULARY_BYTES."""
     with open(vocabulary, "rb") as f:
         ranks = f.read(VOCABULARY_BYTES + 1)
     if len(ranks) > VOCABULARY_BYTES:
         raise ValueError(f"{vocabulary} is larger than {VOCABULARY_BYTES} bytes")
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    fields = _fields() + [T.StructField("edited_sha256", T.StringType())] * digest
-    names = {f.name for f in fields}
-    keep = [c for c in docs.columns if c not in names]
-    inner = docs.select(F.coalesce(docs[text], F.lit("")), docs[edits], *[docs[c] for c in keep])
-    schema = T.StructType([*[f for f in docs.schema.fields if f.name in keep], *fields])
-
-    def measure(t: str, wanted: list | None) -> tuple:
-        tree = PieceTree(t, counter(shared.value))
-        before, pieces = tree.n_tokens, tree.n_pieces
-        for e in wanted or ():
-            if e is not None:
-                tree.edit(e["start"] or 0, e["end"] or 0, e["new"] or "")
-        out = (before, tree.n_tokens, pieces, tree.encoded)
-        return (*out, hashlib.sha256(tree.text().encode()).hexdigest()) if digest else out
+    return docs.sparkSession.sparkContext.broadcast(ranks)
+
+
+def _rows(tree: PieceTree) -> list[dict]:
+    return [{"chars": c, "tokens": t, "pieces": p} for c, t, p in tree.leaves()]
+
+
+def trees(docs: DataFrame, text: str = "text", *, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Append ``tree``, the leaves of the text's tree, to every row: the store that ``edited`` works on.
+
+    A null or empty text has no leaves. Every row has its own tree, repeated rows equal ones; an empty table
+    stays empty. A column named tree is replaced. A very long text is split in one task, in time and memory
+    proportional to it.
+    """
+    shared = _shared(docs, vocabulary)
+    kernel = lambda texts: {"tree": [_rows(PieceTree((t or b"").decode("utf-8", "replace"), counter(shared.value))) for t in texts]}
+    return append_columns(docs, text, [T.StructField("tree", LEAVES)], kernel)
+
+
+def edited(store: DataFrame, edits: str = "edits", text: str = "text", *, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The store after the edits: text and tree replaced, n_reencoded (pre-tokens encoded) appended, the
+    edits left out; all other columns and all rows stay.
+
+    ``edits``: array of (start, end, new): characters start..end-1 are replaced, one edit after the
+    other, each counting on the text that the former leave. Null texts are empty, null edits none (then
+    the row keeps its text), a null member is skipped, a null place is the start, a null replacement empty;
+    places outside the text mean its ends.
+    """
+    shared = _shared(store, vocabulary)
+    keep = [c for c in staying(store, [text, "tree", edits, "n_reencoded"])]
+    schema = T.StructType([*[store.schema[c] for c in keep], T.StructField(text, T.StringType()), T.StructField("tree", LEAVES), T.StructField("n_reencoded", T.LongType())])
+
+    def change(t: str, leaves: list, wanted: list | None) -> tuple:
+        wanted = [e for e in wanted or () if e is not None]
+        if not wanted:
+            return t, leaves or [], 0
+        tree = PieceTree(t or "", counter(shared.value), [(x["chars"], x["tokens"], x["pieces"]) for x in leaves or ()])
+        for e in wanted:
+            tree.edit(e["start"] or 0, e["end"] or 0, e["new"] or "")
+        return tree.text(), _rows(tree), tree.encoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64()] * 4 + [pa.string()] * digest
         for batch in batches:
             step = max(1, batch.num_rows * PIECE_BYTES // max(1, batch.nbytes))
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
-                made = [measure(t, e) for t, e in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[2:], *[pa.array(x, type=t) for x, t in zip(zip(*made, strict=True), types, strict=True)]], names=[*keep, *[f.name for f in fields]])
+                made = [change(*x) for x in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True)]
+                columns = [pa.array(list(x), type=t) for x, t in zip(zip(*made, strict=True), (pa.string(), _ARROW_LEAVES, pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[3:], *columns], names=[*keep, text, "tree", "n_reencoded"])
 
-    return inner.toDF("__text", "__edits", *[f"__{i}" for i in range(len(keep))]).mapInArrow(run, schema)
+    names = ["__text", "__tree", "__edits", *[f"c{i}" for i in range(len(keep))]]
+    return store.select(store[text], store["tree"], store[edits], *[store[c] for c in keep]).toDF(*names).mapInArrow(run, schema)
+
+
+def total(tree: str, what: str) -> "F.Column":
+    """Sum of a stored tree's leaves: chars, tokens or pieces."""
+    return F.expr(f"aggregate({tree}, 0L, (a, x) -> a + x.{what})")
+
+
+def edited_counts(docs: DataFrame, edits: str = "edits", text: str = "text", *, vocabulary: str = VOCABULARY, digest: bool = False) -> DataFrame:
+    """Append n_tokens, n_tokens_edited, n_pieces, n_reencoded (and edited_sha256) to every row.
+
+    For a table that is edited once: its trees are made and edited in one pass and not kept. Edits and odd
+    values as in ``edited``. Columns with the names of the appended ones are replaced.
+    """
+    appended = ["n_tokens", "n_tokens_edited", "n_pieces", "n_reencoded"] + ["edited_sha256"] * digest
+    keep = staying(docs, appended)
+    inner, at = numbered(docs)
+    inner = inner.select(*[at(c) for c in keep], F.coalesce(at(text), F.lit("")).alias("text"), F.col(at(edits)).alias("edits"))
+    store = trees(inner, vocabulary=vocabulary)
+    store = store.withColumns({"n_tokens": total("tree", "tokens"), "n_pieces": total("tree", "pieces")})
+    out = edited(store, vocabulary=vocabulary).withColumns({"n_tokens_edited": total("tree", "tokens"), "edited_sha256": F.sha2("text", 256)})
+    return out.select(*[F.col(at(c)).alias(c) for c in keep], *appended)
 
 
 #: The registered query's edits: a redaction at a quarter, a cut at half, a quotation at three quarters.
@@ -242,6 +320,8 @@ def example_edits(text: str) -> "F.Column":
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of all documents before and after three edits each."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return edited_counts(docs.withColumn("edits", example_edits("text")), digest=True).drop("text", "edits")
+    """Token counts of all documents before and after three edits each, by the written store of their trees."""
+    store = materialize(trees(table(spark, sf_dir, "documents").select("doc_id", "text")), "token-trees")
+    store = store.withColumns({"n_tokens": total("tree", "tokens"), "n_pieces": total("tree", "pieces"), "edits": example_edits("text")})
+    out = edited(store)
+    return out.select("doc_id", "n_tokens", total("tree", "tokens").alias("n_tokens_edited"), "n_pieces", "n_reencoded", F.sha2(F.coalesce("text", F.lit("")), 256).alias("edited_sha256"))

@@ -226,3 +226,27 @@ def test_edited_counts_rows(spark):
     assert token_counts.edited_counts(df.limit(0)).count() == 0
     with pytest.raises(OSError):
         token_counts.edited_counts(df, vocabulary="/nowhere")
+
+
+def test_stored_trees_take_batch_after_batch(spark, tmp_path, monkeypatch):
+    count = token_counts.counter(open(token_counts.VOCABULARY, "rb").read()).bpe.encode_ordinary
+    r = random.Random(9)
+    parts = ["word ", "a", " ", "  ", "\n", "1", "'s", " the", "é", "!", "日本 ", "don't "]
+    now = {i: "".join(r.choice(parts) for _ in range(r.choice([0, 5, 3000]))) for i in range(12)} | {100: None}
+    docs = spark.createDataFrame(list(now.items()), "doc_id long, text string").withColumns({"c0": F.lit("own"), "__text": F.lit(1)})
+    token_counts.trees(docs).write.parquet(str(tmp_path / "store0"))
+    for batch in range(3):
+        wanted = []
+        for i, t in now.items():
+            if t is None or i % 3 == batch:
+                continue  # most documents keep their trees untouched
+            s, e, new = sorted([r.randint(0, len(t)), r.randint(0, len(t)) if batch else 0]) + ["".join(r.choice(parts) for _ in range(r.choice([0, 4, 600])))]
+            now[i] = t[:s] + new + t[e:]
+            wanted.append((i, [(s, e, new)]))
+        edits = spark.createDataFrame(wanted, "doc_id long, edits array<struct<start:int,end:int,new:string>>")
+        store = spark.read.parquet(str(tmp_path / f"store{batch}")).drop("n_reencoded").join(edits, "doc_id", "left")
+        token_counts.edited(store).write.parquet(str(tmp_path / f"store{batch + 1}"))
+        got = {x.doc_id: x for x in spark.read.parquet(str(tmp_path / f"store{batch + 1}")).withColumn("n", token_counts.total("tree", "tokens")).collect()}
+        assert {i: x.text for i, x in got.items()} == now
+        assert all(x.n == len(count(now[i] or "")) and x.c0 == "own" for i, x in got.items())
+        assert all(got[i].n_reencoded == 0 for i in now if i % 3 == batch)
