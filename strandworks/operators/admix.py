@@ -114,6 +114,11 @@ def quasi_step(z, p, q, fixed_p: bool = False, unit: str = "sample", labels: Dat
     return new_p, new_q
 
 
+def of_windows(p: DataFrame, z: DataFrame) -> DataFrame:
+    """The cells of p in the windows of z: a step over a batch must not see, or normalise, any other."""
+    return p.join(z.select("chrom", "window").distinct(), ["chrom", "window"], "left_semi")
+
+
 def supervised_p(z: DataFrame, labels: DataFrame, p: DataFrame) -> DataFrame:
     """p of source k from the samples labelled k + 1; sources without any keep theirs."""
     marked = z.join(labels.where("pop > 0"), "sample").withColumn("k", F.col("pop") - 1)
@@ -138,6 +143,9 @@ def rmse(a: DataFrame, b: DataFrame, key: list[str], value: str = "q") -> DataFr
     return d.select(F.pow(F.col("x") - F.col("y"), 2).alias("s")).agg(F.sqrt(F.avg("s")).alias("rmse"))
 
 
-def batch_of(z: DataFrame, batch: int, batches: int) -> DataFrame:
-    """Windows of one mini-batch: by a hash of the window, so no order has to be shuffled on the driver."""
+def batch_of(z: DataFrame, batch: int, batches: int, round_: int = 0) -> DataFrame:
+    """Windows of one mini-batch: by a hash of the window, so no order has to be shuffled on the driver.
+    Another round deals the windows anew."""
+    if round_:
+        return z.where(F.pmod(F.xxhash64("chrom", "window", F.lit(round_)), F.lit(batches)) == batch)
     return z.where(F.expr(f"(window * 31 + length(chrom) * 7 + ascii(substring(chrom, -1, 1))) % {batches} = {batch}"))

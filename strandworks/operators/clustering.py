@@ -29,9 +29,11 @@ def assign_nearest(unique: DataFrame, medians: DataFrame) -> DataFrame:
     return distances(unique, medians).groupBy(*KEY, "u_idx", "bits", "n_u").agg(best).select(*KEY, "u_idx", "bits", "n_u", "b.cluster", "b.d")
 
 
-def cluster_counts(assigned: DataFrame, size: int) -> DataFrame:
-    """(chrom, window, cluster, j, count, n): copies with allele 1 at each SNP, and all copies."""
-    df = assigned.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("j", F.col("j").cast("long"))
+def cluster_counts(assigned: DataFrame, size: int | None = None) -> DataFrame:
+    """(chrom, window, cluster, j, count, n): copies with allele 1 at each SNP, and all copies. Without
+    ``size`` every window has its own, in a column of that name."""
+    last = F.col("size").cast("int") - 1 if size is None else F.lit(size - 1)
+    df = assigned.withColumn("j", F.explode(F.sequence(F.lit(0), last))).withColumn("j", F.col("j").cast("long"))
     return df.groupBy(*KEY, "cluster", "j").agg(F.sum(F.col("n_u") * B.bit("bits", "j")).alias("count"), F.sum("n_u").alias("n"))
 
 
@@ -102,6 +104,11 @@ def _counts(x: np.ndarray, u: np.ndarray, z: np.ndarray, k: int) -> tuple[np.nda
     return n, c
 
 
+def _words(x: np.ndarray) -> list[np.ndarray]:
+    """Rows of 0 and 1 as words of up to 62 bits, one array per word."""
+    return [(x[:, k : k + 62] << np.arange(min(62, x.shape[1] - k))).sum(1) for k in range(0, x.shape[1], 62)]
+
+
 def dp_medians(x: np.ndarray, u: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Clusters (compact ids) of the distinct haplotypes ``x`` (rows in packed order, ``u`` copies each),
     and the medians they were last assigned to.
@@ -117,8 +124,12 @@ def dp_medians(x: np.ndarray, u: np.ndarray, s: Settings) -> tuple[np.ndarray, n
     def median(n, c):
         return (c > (n // 2)[:, None]).astype(np.int64)
 
+    packed = _words(x)
+
     def nearest(r, active):
-        d = (x[:, None, :] != r[None, active, :]).sum(2)
+        d = np.zeros((len(x), int(active.sum())), np.int64)
+        for a, b in zip(packed, _words(r[active]), strict=True):
+            d += np.bitwise_count(a[:, None] ^ b[None, :])
         at = d.shape[1] - 1 - d[:, ::-1].argmin(1)  # the highest of equals
         return np.flatnonzero(active)[at], d[np.arange(len(x)), at]
 

@@ -1,14 +1,17 @@
 """Local ancestry: emissions, transitions, hidden Markov decoding and voting over switch rates.
 
-Chains are one row per unit: arrays over blocks, folded by ``aggregate``, so decoding is one shuffle by
-haplotype and stays in the JVM.
+Chains are one row per unit: arrays over blocks, so decoding is one shuffle by haplotype and then one
+pass of numpy kernels over batches of chains (``chains``).
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandworks.operators import chains as kernels
+
 CELL = ["chrom", "window", "cluster"]
 
 
@@ -44,12 +47,16 @@ def softmax_loglik(ll: DataFrame) -> DataFrame:
     return e.select("chrom", "window", "c1", "c2", (F.col("l") / F.sum("l").over(Window.partitionBy("chrom", "window", "c1"))).alias("l"))
 
 
-def emissions_soft(z: DataFrame, p: DataFrame, soft: DataFrame, block: int = 1, compat: bool = False) -> DataFrame:
-    """Mixture emissions: log of the sum over clusters of l[z, c] * p[c]. compat: p of the own cluster only."""
+def emissions_soft(z: DataFrame, p: DataFrame, soft: DataFrame, block: int = 1, compat: bool = False, windows: DataFrame | None = None) -> DataFrame:
+    """Mixture emissions: log of the sum over clusters of l[z, c] * p[c]; filtered-out windows add 0. compat:
+    p of the own cluster only."""
     if compat:
-        return emissions_hard(z, p, block)
+        return emissions_hard(z, p, block, windows)
     mixed = soft.join(p.select("chrom", "window", F.col("cluster").alias("c2"), "k", "p"), ["chrom", "window", "c2"])
     cell = mixed.groupBy("chrom", "window", F.col("c1").alias("cluster"), "k").agg(F.ln(F.sum(F.col("l") * F.col("p"))).alias("e"))
+    if windows is not None:
+        cell = cell.join(windows.select("chrom", "window", F.lit(1).alias("use")), ["chrom", "window"], "left")
+        cell = cell.withColumn("e", F.when(F.col("use") == 1, F.col("e")).otherwise(F.lit(0.0))).drop("use")
     return z.join(cell, CELL).withColumn("block", F.expr(f"window div {block}")).groupBy("chrom", "hap", "block", "k").agg(F.sum("e").alias("e"))
 
 
@@ -74,64 +81,37 @@ def alpha_grid(spark, low: float = 4, high: float = 9, n: int = 5) -> DataFrame:
 
 
 def chains(emissions: DataFrame, q: DataFrame, alphas: DataFrame) -> DataFrame:
-    """(chrom, hap, alpha, q, e): arrays of q and of emissions e[block][k], one row per chain and rate. q: (hap, k, q)."""
+    """(chrom, hap, alpha, q, e): arrays of q and of emissions e[block][k], one row per chain and rate.
+    q: (hap, k, q), or (chrom, hap, k, q) where every chromosome has its own."""
     rows = emissions.groupBy("chrom", "hap", "block").agg(F.sort_array(F.collect_list(F.struct("k", "e"))).alias("v"))
     rows = rows.select("chrom", "hap", "block", F.transform("v", lambda x: x["e"]).alias("e"))
     e = rows.groupBy("chrom", "hap").agg(F.sort_array(F.collect_list(F.struct("block", "e"))).alias("v")).select("chrom", "hap", F.transform("v", lambda x: x["e"]).alias("e"))
-    qa = q.groupBy("hap").agg(F.sort_array(F.collect_list(F.struct("k", "q"))).alias("v")).select("hap", F.transform("v", lambda x: x["q"]).alias("q"))
-    return e.join(qa, "hap").crossJoin(F.broadcast(alphas.select("alpha")))
-
-
-#: log of moving from k2 to k1, as SQL over q, alpha.
-_T = "ln((1 - exp(-alpha)) * q[k1] + if(k1 = k2, exp(-alpha), 0D))"
-_T_SIMPLE = "if(k1 = k2, -alpha, ln((1 - exp(-alpha)) * q[k1]))"
-_KS = "sequence(0, size(q) - 1)"
-_FIRST = "zip_with(e[0], q, (x, y) -> x + ln(y))"
-_REST = "slice(e, 2, size(e) - 1)"
+    unit = [c for c in ("chrom", "hap") if c in q.columns]
+    qa = q.groupBy(*unit).agg(F.sort_array(F.collect_list(F.struct("k", "q"))).alias("v")).select(*unit, F.transform("v", lambda x: x["q"]).alias("q"))
+    return e.join(qa, unit).crossJoin(F.broadcast(alphas.select("alpha")))
 
 
-def _matrix(simple: bool) -> str:
-    return f"transform({_KS}, k1 -> transform({_KS}, k2 -> {_T_SIMPLE if simple else _T}))"
-
-
-def _lse(v: str) -> str:
-    return f"aggregate(array({v}), 0D, (z, s) -> array_max(s) + ln(aggregate(s, 0D, (a, x) -> a + exp(x - array_max(s)))))"
+def _run(chains_: DataFrame, kernel, name: str, kind: str, simple: bool) -> DataFrame:
+    arrow = {"double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<array<double>>": pa.list_(pa.list_(pa.float64()))}[kind]
+    run = kernels.over_batches(lambda e, q, alpha: kernel(e, q, alpha, simple), name, arrow)
+    return chains_.select("chrom", "hap", "alpha", "q", "e").mapInArrow(run, f"chrom string, hap long, alpha double, {name} {kind}")
 
 
 def viterbi(chains_: DataFrame, simple: bool = False) -> DataFrame:
     """(chrom, hap, alpha, block, k): the most likely path; of equals the lowest source."""
-    df = chains_.withColumn("t", F.expr(_matrix(simple)))
-    step = f"""transform({_KS}, k1 -> aggregate(sequence(1, size(q) - 1), named_struct('a', s.a[0] + t[k1][0], 'k', 0),
-      (b, k2) -> if(s.a[k2] + t[k1][k2] > b.a, named_struct('a', s.a[k2] + t[k1][k2], 'k', k2), b)))"""
-    fold = f"""aggregate({_REST}, named_struct('a', {_FIRST}, 'back', cast(array() as array<array<int>>)),
-      (s, x) -> aggregate(array({step}), s, (s2, m) -> named_struct('a', zip_with(m, x, (b, y) -> b.a + y), 'back', concat(s2.back, array(transform(m, b -> b.k))))))"""
-    df = df.withColumn("s", F.expr(fold))
-    last = "aggregate(sequence(1, size(q) - 1), 0, (b, k) -> if(s.a[k] > s.a[b], k, b))"
-    path = f"reverse(aggregate(reverse(s.back), array({last}), (p, b) -> concat(p, array(b[element_at(p, -1)]))))"
-    df = df.withColumn("path", F.expr(path))
-    return df.select("chrom", "hap", "alpha", F.posexplode("path").alias("block", "k")).select("chrom", "hap", "alpha", F.col("block").cast("long").alias("block"), F.col("k").cast("long").alias("k"))
-
-
-def _forward_arrays(chains_: DataFrame, simple: bool) -> DataFrame:
-    df = chains_.withColumn("t", F.expr(_matrix(simple)))
-    step = f"zip_with(transform({_KS}, k1 -> {_lse('zip_with(element_at(s, -1), t[k1], (a, b) -> a + b)')}), x, (a, b) -> a + b)"
-    return df.withColumn("fwd", F.expr(f"aggregate({_REST}, array({_FIRST}), (s, x) -> concat(s, array({step})))"))
+    path = _run(chains_, kernels.best_paths, "path", "array<long>", simple)
+    return path.select("chrom", "hap", "alpha", F.posexplode("path").alias("block", "k")).withColumn("block", F.col("block").cast("long"))
 
 
 def forward(chains_: DataFrame, simple: bool = False) -> DataFrame:
     """(chrom, hap, alpha, loglik)."""
-    return _forward_arrays(chains_, simple).select("chrom", "hap", "alpha", F.expr(_lse("element_at(fwd, -1)")).alias("loglik"))
+    return _run(chains_, kernels.likelihoods, "loglik", "double", simple)
 
 
 def posterior(chains_: DataFrame, simple: bool = False) -> DataFrame:
     """(chrom, hap, alpha, block, k, p): forward times backward over the total."""
-    df = _forward_arrays(chains_, simple)
-    terms = "transform(sequence(0, size(q) - 1), k1 -> t[k1][k2] + x[k1] + element_at(s, -1)[k1])"
-    step = f"transform({_KS}, k2 -> {_lse(terms)})"
-    back = f"reverse(aggregate(reverse({_REST}), array(transform(q, y -> 0D)), (s, x) -> concat(s, array({step}))))"
-    df = df.withColumn("bwd", F.expr(back)).withColumn("l", F.expr(_lse("element_at(fwd, -1)")))
-    df = df.withColumn("post", F.expr("zip_with(fwd, bwd, (a, b) -> zip_with(a, b, (x, y) -> exp(x + y - l)))"))
-    df = df.select("chrom", "hap", "alpha", F.posexplode("post").alias("block", "v")).select("chrom", "hap", "alpha", F.col("block").cast("long").alias("block"), F.posexplode("v").alias("k", "p"))
+    post = _run(chains_, kernels.posteriors, "post", "array<array<double>>", simple)
+    df = post.select("chrom", "hap", "alpha", F.posexplode("post").alias("block", "v")).select("chrom", "hap", "alpha", F.col("block").cast("long").alias("block"), F.posexplode("v").alias("k", "p"))
     return df.withColumn("k", F.col("k").cast("long"))
 
 

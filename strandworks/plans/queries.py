@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandworks.functions import bits as B
 from strandworks.functions.numeric import clamp, logsumexp
+from strandworks.functions.store import written
 from strandworks.operators import admix, clustering, dedup, lai, linalg, pheno, predict, stats, windows
 from strandworks.registry import CW, CWC, em, qn, query
 from strandworks.sources import codecs
@@ -73,6 +74,24 @@ def _(t):
     return codecs.decode_loglik(codecs.encode_loglik(ll), k).withColumn("ll", F.round("ll", 4))
 
 
+U5 = f""", h5 AS (SELECT chrom, least(snp // 5, 5) AS {W}, hap, sum(allele << (snp - 5 * least(snp // 5, 5)))::BIGINT AS bits FROM h GROUP BY ALL),
+u5 AS (SELECT chrom, {W}, bits, bits % 3 AS cluster, count(*) AS n_u, CASE WHEN {W} = 5 THEN 7 ELSE 5 END AS size FROM h5 GROUP BY ALL),
+c5 AS (SELECT chrom, {W}, cluster, j, sum(n_u * ((bits >> j) & 1))::BIGINT AS count, sum(n_u)::BIGINT AS n FROM u5, (SELECT unnest(range(0, 7)) AS j) WHERE j < size GROUP BY ALL),
+m5 AS (SELECT chrom, {W}, cluster, sum((CASE WHEN count > n // 2 THEN 1 ELSE 0 END) << j)::BIGINT AS bits FROM c5 GROUP BY ALL)"""
+
+
+@query("cluster_loglik_remainder", f"{CW}, c1 long, c2 long, ll double", U5 + f""";; SELECT m5.chrom, m5.{W}, m5.cluster AS c1, c5.cluster AS c2,
+sum(CASE WHEN (bits >> j) & 1 = 1 THEN ln(greatest(1e-5::DOUBLE, least(count::DOUBLE / n, 1 - 1e-5::DOUBLE))) ELSE ln(1 - greatest(1e-5::DOUBLE, least(count::DOUBLE / n, 1 - 1e-5::DOUBLE))) END) AS ll
+FROM m5 JOIN c5 USING (chrom, {W}) GROUP BY ALL""")
+def _(t):
+    w = windows.fixed(t.sn, 5)
+    sizes = w.groupBy("chrom", "window").agg(F.count("*").alias("size"))
+    u = dedup.unique(dedup.packed(windows.attach(t.h, w))).withColumn("cluster", F.expr("bits % 3")).join(sizes, ["chrom", "window"])
+    counts = clustering.cluster_counts(u)
+    medians = clustering.marginal_median(counts).groupBy("chrom", "window", "cluster").agg(B.pack(F.col("allele"), F.col("j")).alias("bits"))
+    return clustering.median_loglik(counts, medians)
+
+
 @query("detect_phase", "chrom string, phased boolean", "SELECT DISTINCT chrom, TRUE AS phased FROM h")
 def _(t):
     return codecs.is_phased(codecs.vcf_lines(t.h))
@@ -379,8 +398,8 @@ def _(t):
 # --- linear algebra ---
 
 def _rows(t):
-    z = t.z.cache()
-    return linalg.allele_rows(z, stats.frequency(z)).cache(), t.h.agg(F.max("sample") + 1).first()[0]
+    z = written(t.z)
+    return written(linalg.allele_rows(z, stats.frequency(z))), t.h.agg(F.max("sample") + 1).first()[0]
 
 
 @query("pca_eigenvalues", "pc long, val double")
@@ -460,6 +479,23 @@ def _(t):
     return admix.q_step(admix.batch_of(t.z, 0, 2), t.p, t.q)
 
 
+PB = BATCH + f", pb AS (SELECT pf.* FROM pf SEMI JOIN zb USING (chrom, {W}))" + em("a", "pb", "qf", "zb")
+
+
+@query("em_batch_step_p", P, PB + ";; SELECT * FROM ap")
+def _(t):
+    part = admix.batch_of(t.z, 0, 2)
+    return admix.p_step(part, admix.of_windows(t.p, part), t.q)
+
+
+@query("qn_batch", "c double", PB + em("b", "ap", "aq", "zb") + qn("y", "pb", "ap", "bp", CK, "p", f"chrom, {W}, k") + ";; SELECT c FROM yc")
+def _(t):
+    part = admix.batch_of(t.z, 0, 2)
+    p = admix.of_windows(t.p, part)
+    p1, q1 = admix.p_step(part, p, t.q), admix.q_step(part, p, t.q)
+    return admix.qn_factor(p, p1, admix.p_step(part, p1, q1), ["chrom", "window", "cluster", "k"], "p")
+
+
 QH = ", qh AS (SELECT DISTINCT hap, k, q FROM (SELECT DISTINCT hap, sample FROM z) JOIN qf USING (sample))"
 
 
@@ -580,6 +616,13 @@ def _(t):
     return lai.emissions_soft(t.z, t.p, lai.softmax_loglik(_ll(t)), 2)
 
 
+@query("emissions_soft_filtered", E, SOFT + f""", ce AS (SELECT sm.chrom, sm.{W}, c1 AS cluster, k, CASE WHEN max(length) <= 1005 THEN ln(sum(l * p)) ELSE 0 END AS e
+FROM sm JOIN pf ON pf.chrom = sm.chrom AND pf.{W} = sm.{W} AND pf.cluster = c2 JOIN mt ON mt.chrom = sm.chrom AND mt.{W} = sm.{W} GROUP BY ALL);;
+SELECT chrom, hap, {W} // 2 AS block, k, sum(e) AS e FROM z JOIN ce USING (chrom, {W}, cluster) GROUP BY ALL""")
+def _(t):
+    return lai.emissions_soft(t.z, t.p, lai.softmax_loglik(_ll(t)), 2, windows=lai.window_length_filter(t.meta, most=1005))
+
+
 TRANS = "sample long, alpha double, k1 long, k2 long, t double"
 ALPHAS = (0.05, 0.2, 1.0)
 AL = ", al AS (SELECT unnest([0.05, 0.2, 1.0]::DOUBLE[]) AS alpha)"

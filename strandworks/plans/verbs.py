@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandworks.functions.numeric import clamp
+from strandworks.functions.store import written
 from strandworks.operators import admix as em
 from strandworks.operators import clustering, dedup, lai, linalg, predict as prediction, stats, windows
 
@@ -59,15 +61,30 @@ def cluster(
         return pdf[["chrom", "window", "u_idx", "bits", "n_u", "cluster", "median"]]
 
     schema = "chrom string, window long, u_idx long, bits long, n_u long, cluster long, median long"
-    done = unique.groupBy("chrom", "window").applyInPandas(run, schema)
+    done = written(unique.groupBy("chrom", "window").applyInPandas(run, schema))
     md = done.groupBy("chrom", "window", "cluster").agg(F.first("median").alias("bits"))
     k = md.groupBy("chrom", "window").agg(F.count("*").alias("k"))
-    ll = clustering.median_loglik(clustering.cluster_counts(done, size), md) if medians and size and step is None else None
+    ll = clustering.median_loglik(clustering.cluster_counts(done.join(widths, ["chrom", "window"])), md) if medians else None
     return Clustered(dedup.assign_haplotypes(packed, done), md, windows.meta(w, k), ll)
 
 
-def predict(calls: DataFrame, medians: DataFrame, window_axis: DataFrame, *, phased: bool = True, compat: bool = False) -> DataFrame:
-    """Assign new haplotypes (allele, null if missing) or, unphased, genotypes (dosage) to stored medians."""
+def predict(
+    calls: DataFrame, medians: DataFrame, window_axis: DataFrame, *, phased: bool = True, compat: bool = False, reference: DataFrame | None = None,
+) -> DataFrame:
+    """Assign new haplotypes (allele, null if missing) or, unphased, genotypes (dosage) to stored medians.
+
+    reference: (chrom, window, start[, end]) of the medians' windows. Every one of them must open at the
+    same position in the new data, and the last one of a chromosome end there; else this raises.
+    """
+    if reference is not None:
+        opened = window_axis.groupBy("chrom", "window").agg(F.min("pos").alias("s"), F.max("pos").alias("e"))
+        bad = prediction.align(opened.select("chrom", "window", F.col("s").alias("start")), reference.select("chrom", "window", "start")).where("not ok")
+        if bad.limit(1).count():
+            raise ValueError(f"windows do not open where the reference's do: {bad.first()}")
+        if "end" in reference.columns:
+            ends = reference.groupBy("chrom").agg(F.max("end").alias("end")).join(opened.groupBy("chrom").agg(F.max("e").alias("e")), "chrom")
+            if ends.where("end <> e").limit(1).count():
+                raise ValueError("the new data do not end where the reference does")
     df = windows.attach(calls, window_axis)
     if phased:
         return prediction.phased(dedup.packed(df), medians).drop("d")
@@ -84,7 +101,7 @@ def struct_grm(z: DataFrame, *, centering: bool = True) -> DataFrame:
 def struct_pca(z: DataFrame, n: int, components: int, *, power: int = 11, seed: int = 42):
     """(eigenvalues, eigenvectors as arrays, loadings, frequencies)."""
     freqs = stats.frequency(z)
-    rows = linalg.allele_rows(z, freqs).cache()
+    rows = written(linalg.allele_rows(z, freqs))
     s, v, m = linalg.svd(rows, n, components, power=power, seed=seed)
     return s * s / m, v, linalg.loadings(rows, s, v), freqs
 
@@ -100,9 +117,39 @@ def em_iterations(z: DataFrame, p: DataFrame, q: DataFrame, n: int) -> tuple[Dat
     return p, q
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder, if the session has one."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+def admix_start(
+    z: DataFrame, k: int, *, labels: DataFrame | None = None, p: DataFrame | None = None, random: bool = False, windows: DataFrame | None = None,
+    seed: int = 42, iterations: int = 1000, tolerance: float = 1e-4, power: int = 11,
+) -> tuple[DataFrame, DataFrame]:
+    """(p, q) to start from: p as given (projection, its sums checked), from labelled samples (supervised), at
+    random, or else by least squares on the principal components, at the driver for ``windows`` only.
+
+    Random numbers come from a hash of the cell and the seed, so they are the same on every run.
+    """
+    noise = lambda *c: clamp((F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30))
+    sources = F.explode(F.expr(f"sequence(0L, {k - 1}L)")).alias("k")
+    cells = lambda: z.select("chrom", "window", "cluster").distinct().select("chrom", "window", "cluster", sources)
+    q = z.select("sample").distinct().select("sample", sources).withColumn("q", noise("sample", "k"))
+    q = q.withColumn("q", F.col("q") / F.sum("q").over(Window.partitionBy("sample")))
+    if p is not None:
+        if em.check_p(p).where("not ok").limit(1).count():
+            raise ValueError("frequencies do not sum to 1")
+        return p, written(q)
+    if labels is not None:
+        if labels.where(~F.coalesce(F.col("pop").between(0, k), F.lit(False))).limit(1).count():
+            raise ValueError(f"labels must be in 0..{k}")
+        start = em.create_p(cells().withColumn("p", noise("chrom", "window", "cluster", "k")))
+        return written(em.supervised_p(z, labels, start)), written(em.supervised_q(q, labels))
+    if random:
+        return written(em.create_p(cells().withColumn("p", noise("chrom", "window", "cluster", "k")))), written(q)
+    ids = written(z.select("sample").distinct())
+    n = ids.agg(F.max("sample") + 1).first()[0]
+    rows = written(linalg.allele_rows(z, stats.frequency(z)))
+    start, own = linalg.als_init(rows, n, k, iterations=iterations, tolerance=tolerance, power=power, seed=seed, windows=windows)
+    # alleles that do not vary have no row of their own: they keep their frequency in every source
+    fixed = cells().join(start, ["chrom", "window", "cluster", "k"], "left").withColumn("p", F.coalesce("p", F.lit(1.0)))
+    q = z.sparkSession.createDataFrame([(i, j, float(own[i, j])) for i in range(n) for j in range(k)], "sample long, k long, q double")
+    return written(em.project_p(fixed)), written(q.join(ids, "sample", "left_semi"))
 
 
 def admix(
@@ -111,7 +158,7 @@ def admix(
 ) -> tuple[DataFrame, DataFrame, float]:
     """Accelerated EM from the given start; (p, q, log-likelihood).
 
-    Mini-batches of windows, halved whenever a check finds no progress, then full steps until the
+    Mini-batches of windows, dealt anew in every iteration and halved whenever a check finds no progress, then full steps until the
     log-likelihood gains less than the tolerance. Everything is one row per parameter; a step's tables
     are cut from their lineage before the next.
     """
@@ -119,15 +166,15 @@ def admix(
     super_ = (lambda x: em.supervised_q(x, labels)) if labels is not None else (lambda x: x)
 
     def step(p, q):
-        return (p if projection else _kept(em.p_step(z, p, q, unit))), _kept(super_(em.q_step(z, p, q, unit)))
+        return (p if projection else written(em.p_step(z, p, q, unit))), written(super_(em.q_step(z, p, q, unit)))
 
     def quasi(p, q, part=None):
-        new_p, new_q = em.quasi_step(z if part is None else part, p, q, projection, unit, labels)
+        # the factor of a batch, like its steps, is of the batch's windows alone
+        new_p, new_q = em.quasi_step(z if part is None else part, p if part is None or projection else em.of_windows(p, part), q, projection, unit, labels)
         if part is not None and not projection:
             key = ["chrom", "window"]
-            seen = part.select(*key).distinct()
-            new_p = new_p.join(seen, key, "left_semi").unionByName(p.join(seen, key, "left_anti"))
-        return (new_p if projection else _kept(new_p)), _kept(new_q)
+            new_p = new_p.unionByName(p.join(part.select(*key).distinct(), key, "left_anti"))
+        return (new_p if projection else written(new_p)), written(new_q)
 
     n_windows = z.select("chrom", "window").distinct().count()
     batches = max(1, min(batches, n_windows))
@@ -138,7 +185,7 @@ def admix(
     for it in range(1, iterations + 1):
         if batches > 1:
             for b in range(batches):
-                part = em.batch_of(z, b, batches)
+                part = em.batch_of(z, b, batches, it)
                 if part.limit(1).count():
                     p, q = quasi(p, q, part)
             p, q = quasi(p, q)
@@ -157,15 +204,33 @@ def admix(
     return p, q, value(p, q)
 
 
+def chromosome_q(z: DataFrame, p: DataFrame, q: DataFrame, **options) -> DataFrame:
+    """(chrom, hap, k, q): proportions of every haplotype on each chromosome, by projection on p from q."""
+    out = None
+    for row in z.select("chrom").distinct().orderBy("chrom").collect():  # a row per chromosome
+        on = F.col("chrom") == row.chrom
+        _, own, _ = admix(z.where(on), p.where(on), q, projection=True, unit="hap", **options)
+        own = own.select(F.lit(row.chrom).alias("chrom"), "hap", "k", "q")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def local_ancestry(
     z: DataFrame, p: DataFrame, q: DataFrame, meta: DataFrame, *, block: int = 1, min_length: float | None = None, max_length: float | None = None,
     quantile: float | None = None, alpha: float | None = None, alpha_min: float = 4, alpha_max: float = 9, alpha_num: int = 5,
     loglik: DataFrame | None = None, use_viterbi: bool = False, simple: bool = False, posteriors: bool = False,
+    genome_wide: bool = True, **admix_options,
 ) -> DataFrame:
-    """(chrom, window, hap, k[, prob]): the ancestry of every haplotype along the windows. q: (hap, k, q)."""
+    """(chrom, window, hap, k[, prob]): the ancestry of every haplotype along the windows. q: (hap, k, q).
+
+    genome_wide=False: every chromosome's own proportions are estimated first, from its windows, with p
+    fixed and q as the start; admix_options (iterations, tolerance, batches, check) are for that.
+    """
+    if not genome_wide:
+        q = chromosome_q(z, p, q, **admix_options)
     use = lai.window_length_filter(meta, min_length, max_length, quantile)
     if loglik is not None:
-        e = lai.emissions_soft(z, p, lai.softmax_loglik(loglik), block)
+        e = lai.emissions_soft(z, p, lai.softmax_loglik(loglik), block, windows=use)
     else:
         e = lai.emissions_hard(z, p, block, use)
     spark = z.sparkSession

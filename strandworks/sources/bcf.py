@@ -43,7 +43,7 @@ def _dictionaries(header: str) -> tuple[list[str], dict[int, str]]:
 
 def records(content: bytes):
     """(chromosome, position from 1, alleles per sample with -1 for missing, phased per sample) of every
-    biallelic record that has genotypes. Haploid calls fill the second place with -1."""
+    record that has genotypes; others than biallelic ones raise. Haploid calls fill the second place with -1."""
     data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
     if data[:4] != b"BCF\x02":
         raise ValueError("not a BCF2 file")
@@ -55,8 +55,10 @@ def records(content: bytes):
         start, at = at + 8, at + 8 + shared + individual
         chrom, pos, _, _, info, fmt = struct.unpack_from("<iiifII", data, start)
         samples = fmt & 0xFFFFFF
-        if info >> 16 != 2 or not samples:
+        if not samples:
             continue
+        if info >> 16 != 2:
+            raise ValueError(f"not biallelic: {contigs[chrom]}:{pos + 1}")
         place = start + shared
         for _ in range(fmt >> 24):
             kind, _, place = _typed(data, place)

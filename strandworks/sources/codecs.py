@@ -31,10 +31,11 @@ def vcf_lines(haplotypes: DataFrame) -> DataFrame:
 
 
 def parse_vcf(lines: DataFrame) -> DataFrame:
-    """(chrom, pos, sample, gt, phased) of text lines; headers and multi-allelic records are left out."""
+    """(chrom, pos, sample, gt, phased) of text lines without headers. Multi-allelic records raise: split or
+    filter them before, as dropping them would shift the windows."""
     df = lines.where("not startswith(value, '#')").select(F.split("value", "\t").alias("c"))
-    df = df.where("not contains(c[4], ',')")
-    df = df.select(F.expr("c[0]").alias("chrom"), F.expr("cast(c[1] as bigint)").alias("pos"), F.posexplode(F.expr("slice(c, 10, size(c) - 9)")).alias("sample", "gt"))
+    alt = F.expr("if(contains(c[4], ','), raise_error(concat('multi-allelic record at ', c[0], ':', c[1])), c[0])")
+    df = df.select(alt.alias("chrom"), F.expr("cast(c[1] as bigint)").alias("pos"), F.posexplode(F.expr("slice(c, 10, size(c) - 9)")).alias("sample", "gt"))
     gt = F.split("gt", ":")[0]
     return df.select("chrom", "pos", F.col("sample").cast("long").alias("sample"), gt.alias("gt"), F.contains(gt, F.lit("|")).alias("phased"))
 
@@ -203,6 +204,8 @@ def filelist_union(tables: list[DataFrame]) -> DataFrame:
     out = None
     for i, df in enumerate(tables):
         df = df.withColumn("file", F.lit(i).cast("long"))
+        if out is not None and not same_samples(tables[0], df):
+            raise ValueError(f"file {i} has other samples than the first one")
         out = df if out is None else out.unionByName(df)
     return out
 

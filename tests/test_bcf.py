@@ -1,6 +1,8 @@
 import gzip
 import struct
 
+import pytest
+
 from strandworks.sources import bcf
 
 HEADER = """##fileformat=VCFv4.2
@@ -31,7 +33,6 @@ def code(a, b, phased=True):
 
 def test_bcf_records(spark, tmp_path):
     body = record(0, 5, ["A", "C"], [code(0, 1), code(1, 1, False), code(-1, 0)])
-    body += record(0, 6, ["A", "C", "G"], [code(0, 2)] * 3)
     body += record(1, 9, ["A", "C"], [[4, 0x81], code(0, 0), code(0, 1)])
     data = b"BCF\x02\x02" + struct.pack("<I", len(HEADER)) + HEADER.encode() + body
     (tmp_path / "x.bcf").write_bytes(gzip.compress(data[:100]) + gzip.compress(data[100:]))
@@ -42,3 +43,5 @@ def test_bcf_records(spark, tmp_path):
         ("chr2", 9, 0): 1, ("chr2", 9, 1): None, ("chr2", 9, 2): 0, ("chr2", 9, 3): 0, ("chr2", 9, 4): 0, ("chr2", 9, 5): 1,
     }
     assert {(r["sample"], r.phased) for r in rows if r.pos == 5} == {(0, True), (1, False), (2, True)}
+    with pytest.raises(ValueError, match="chr1:6"):
+        list(bcf.records(data + record(0, 6, ["A", "C", "G"], [code(0, 2)] * 3)))

@@ -165,7 +165,12 @@ def test_grm_forms_agree_and_pca(spark):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
     full = linalg.allele_rows(z, f)
     s, v, m = linalg.svd(full, 6, 3)
-    x = np.concatenate([linalg._dense(full.toPandas(), 6, True)])
+    table = full.toPandas()
+    p = table["p"].to_numpy()[:, None]
+    x = np.repeat(-2 * p, 6, 1)
+    for i, (at, dosage) in enumerate(zip(table["samples"], table["zs"], strict=True)):
+        x[i, at] += dosage
+    x /= np.sqrt(2 * p * (1 - p))
     want = np.linalg.svd(x, full_matrices=False)
     assert np.allclose(s, want[1][:3]) and np.allclose(np.abs((v * want[2][:3].T).sum(0)), 1, atol=1e-6)
 

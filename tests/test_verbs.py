@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandworks.operators import admix, clustering, lai, linalg, stats
+from strandworks.operators import admix, chains, clustering, lai, linalg, stats, windows
 from strandworks.plans import verbs
 from strandworks.sources import codecs
 
@@ -45,7 +45,7 @@ def test_pca_projection_of_the_same_samples(spark):
 def test_als_start_is_a_distribution(spark):
     z, _, _ = _model(spark)
     p, q = linalg.als_init(linalg.allele_rows(z, stats.frequency(z)), 6, 3, iterations=5)
-    assert np.allclose(q.sum(1), 1) and np.allclose(p.groupby(["chrom", "window", "k"])["p"].sum(), 1)
+    assert np.allclose(q.sum(1), 1) and np.allclose(p.toPandas().groupby(["chrom", "window", "k"])["p"].sum(), 1)
 
 
 def test_length_filter_bounds(spark):
@@ -75,14 +75,107 @@ def test_bed_file_round_trip(spark, tmp_path):
 
 
 def test_vcf_text(spark):
-    text = ["##fileformat=VCFv4.2", "#CHROM\tPOS", "chr2\t5\t.\tA\tC\t.\t.\t.\tGT:DP\t0|1:3\t.|1:2", "chr2\t6\t.\tA\tC,G\t.\t.\t.\tGT\t0|2\t1|1"]
+    text = ["##fileformat=VCFv4.2", "#CHROM\tPOS", "chr2\t5\t.\tA\tC\t.\t.\t.\tGT:DP\t0|1:3\t.|1:2"]
     lines = spark.createDataFrame([(x,) for x in text], "value string")
     got = codecs.vcf_haplotypes(lines)
     assert sorted((r.pos, r.hap, r["sample"], r.allele) for r in got.collect() if r.allele is not None) == [(5, 0, 0, 0), (5, 1, 0, 1), (5, 3, 1, 1)]
     assert codecs.is_phased(lines).first().phased
+    more = lines.union(spark.createDataFrame([("chr2\t6\t.\tA\tC,G\t.\t.\t.\tGT\t0|2\t1|1",)], "value string"))
+    with pytest.raises(Exception, match="multi-allelic record at chr2:6"):
+        codecs.vcf_haplotypes(more).collect()
 
 
 def test_unused_limit_of_clusters():
     x = np.eye(6, dtype=np.int64)
     z, _ = clustering.dp_medians(x, np.full(6, 5), clustering.Settings(6, 0.1, min_mac=1, max_clusters=3))
     assert len(set(z)) <= 3
+
+
+def test_medians_of_the_last_window_take_all_its_snps(spark):
+    r = np.random.default_rng(2)
+    founders = r.integers(0, 2, (3, 20))
+    data = [("chr1", j, 100 + 7 * j, h, h // 2, int(founders[h % 3, j])) for h in range(24) for j in range(20)]
+    hap = spark.createDataFrame(data, "chrom string, snp long, pos long, hap long, sample long, allele long")
+    for options in ({"size": 8}, {"size": 8, "step": 4}, {"length": 60}):
+        c = verbs.cluster(hap, lmbda=0.1, min_mac=1, medians=True, **options)
+        size = {x["window"]: x["size"] for x in c.windows.collect()}
+        bits = {(x.window, x.cluster): x.bits for x in c.medians.collect()}
+        # three founders without noise: every allele of a cluster is its median's
+        for x in c.loglik.collect():
+            w = size[x.window]
+            apart = bin(bits[x.window, x.c1] ^ bits[x.window, x.c2]).count("1")
+            assert abs(x.ll - (apart * np.log(1e-5) + (w - apart) * np.log(1 - 1e-5))) < 1e-6
+    assert max(size.values()) < 20 and len(size) > 1
+    # the axis must be the reference's
+    w = windows.fixed(windows.snps_of(hap), 8)
+    c = verbs.cluster(hap, size=8, min_mac=1)
+    assert verbs.predict(hap, c.medians, w, reference=c.windows).count() == 48
+    moved = windows.fixed(windows.snps_of(hap.withColumn("pos", F.col("pos") + 1)), 8)
+    with pytest.raises(ValueError, match="open"):
+        verbs.predict(hap, c.medians, moved, reference=c.windows)
+    with pytest.raises(ValueError, match="end"):
+        verbs.predict(hap, c.medians, w, reference=c.windows.withColumn("end", F.col("end") + 1))
+
+
+def test_ways_to_start(spark):
+    z, p, _ = _model(spark)
+    labels = spark.createDataFrame([(i, i % 3) for i in range(6)], "sample long, pop long")
+    some = z.select("chrom", "window").where("window < 3").distinct()
+    for options in ({}, {"windows": some}, {"random": True}, {"labels": labels}, {"p": p}):
+        p0, q0 = verbs.admix_start(z, 2, **options)
+        assert q0.count() == 12 and all(abs(x.s - 1) < 1e-9 for x in q0.groupBy("sample").agg(F.sum("q").alias("s")).collect())
+        assert p0.count() == 2 * z.select("chrom", "window", "cluster").distinct().count()
+        assert p0.join(p, ["chrom", "window", "cluster", "k"]).count() == p.count()
+        assert em_check(p0)
+    assert q0.collect() == verbs.admix_start(z, 2, p=p)[1].collect()
+    with pytest.raises(ValueError):
+        verbs.admix_start(z, 2, p=p.withColumn("p", F.col("p") * 2))
+    with pytest.raises(ValueError):
+        verbs.admix_start(z, 1, labels=labels)
+
+
+def em_check(p):
+    return not admix.check_p(p).where("not ok").count()
+
+
+def test_chromosomes_have_their_own_proportions(spark):
+    z, p, q = _model(spark)
+    other = z.withColumn("chrom", F.lit("d")).withColumn("cluster", F.lit(0).cast("long"))
+    both, p2 = z.union(other), p.union(p.withColumn("chrom", F.lit("d")))
+    qh = z.select("hap", "sample").distinct().join(q, "sample").select("hap", "k", "q")
+    own = verbs.chromosome_q(both, p2, qh, iterations=1, batches=1)
+    assert own.count() == 2 * qh.count() and own.where("chrom = 'c'").join(own.where("chrom = 'd'").select("hap", "k", F.col("q").alias("r")), ["hap", "k"]).where("abs(q - r) > 1e-6").count() > 0
+    meta = spark.createDataFrame([(c, w, 10 + w) for c in "cd" for w in range(6)], "chrom string, window long, length long")
+    path = verbs.local_ancestry(both, p2, qh, meta, genome_wide=False, iterations=1, batches=1, alpha=0.5)
+    assert path.count() == 2 * 12 * 6
+
+
+def test_files_of_other_samples_raise(spark):
+    z, _, _ = _model(spark)
+    assert codecs.filelist_union([z, z]).count() == 2 * z.count()
+    with pytest.raises(ValueError, match="file 1"):
+        codecs.filelist_union([z, z.where("sample < 5")])
+
+
+def test_chain_kernels_on_many_blocks():
+    r = np.random.default_rng(5)
+    e, q, alpha = np.log(r.random((7, 2000, 3))), r.dirichlet([1, 1, 1], 7), r.random(7)
+    t = chains.moves(q, alpha, False)
+    assert np.allclose(np.exp(t).sum(1), 1)
+    post = chains.posteriors(e, q, alpha, False)
+    assert np.allclose(post.sum(2), 1)
+    path = chains.best_paths(e, q, alpha, False)
+    score = lambda p, c: e[c, 0, p[0]] + np.log(q[c, p[0]]) + sum(t[c, p[b], p[b - 1]] + e[c, b, p[b]] for b in range(1, len(p)))
+    for c in range(7):
+        other = path[c].copy()
+        other[r.integers(0, 2000, 3)] = r.integers(0, 3, 3)
+        assert score(path[c], c) >= score(other, c) - 1e-9
+
+
+def test_wide_windows_in_the_clustering_kernel():
+    r = np.random.default_rng(1)
+    founders = r.integers(0, 2, (3, 150))
+    x = np.unique(np.concatenate([founders, founders ^ (r.random((3, 150)) < 0.02)]), axis=0)
+    z, m = clustering.dp_medians(x, np.ones(len(x), np.int64), clustering.Settings(150, 0.1, min_mac=1))
+    near = (x[:, None, :] != m[None]).sum(2)
+    assert len(set(z)) == 3 and (near[np.arange(len(x)), z] == near.min(1)).all()
