@@ -16,8 +16,14 @@ the id; between blocks and triggers only packed arrays travel:
     windows with that id, if some document of the block comes later;
 5.  in the block, windows whose id is less than the document's own are cut out of the text.
 
-The hashes have 64 bits (five bytes of them travel in steps 1 and 2, where a chance match costs a
-search only); two windows are taken for equal only if trigger and bytes agree.
+A trigger that stands in very many phrases (in a sentence that every document has, say) is hot: step 2
+tells the blocks so, and its windows travel one by one, dealt by their own hash instead of the trigger's,
+so that no group holds more than HOT phrases of a trigger. Runs of one trigger (in periodic text) are
+cut into phrases of at most RUN windows.
+
+The hashes have 64 bits (36 of them travel in steps 1 and 2, where a chance match costs a search only);
+two windows are taken for equal only if trigger and bytes agree, those of hot triggers if trigger and a
+second hash do.
 """
 
 from __future__ import annotations
@@ -33,10 +39,13 @@ from pyspark.sql import functions as F
 from strandworks.llm.common import table
 
 LENGTH, GRAM = 50, 24
-#: Bytes of text in a block, and in a piece of it that is parsed at once.
-BLOCK, PIECE = 4 << 20, 1 << 20
+#: Bytes of text in a block, at first and at most, and in a piece of it that is parsed at once. Beyond
+#: 64 GB of text blocks grow with its square root, so that the packed arrays between blocks stay long.
+BLOCK, MOST, PIECE = 4 << 20, 32 << 20, 1 << 20
+#: Phrases of a trigger that one group orders at most, and windows of a phrase.
+HOT, RUN = 16384, 4096
 
-_LOW = (1 << 39) - 1
+_LOW = (1 << 36) - 1
 _BYTE = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
@@ -107,13 +116,30 @@ class Piece:
         stop = np.append(self.start[1:], n)
         self.windows = np.minimum(stop, self.border[self.doc + 1] - LENGTH + 1) - self.start
         self.trigger = least[self.start]
+        if len(self.windows) and self.windows.max() > RUN:
+            parts = -(-self.windows // RUN)
+            whole = np.repeat(np.arange(len(parts)), parts)
+            skip = (np.arange(len(whole)) - np.repeat(np.cumsum(parts) - parts, parts)) * RUN
+            self.start, self.doc, self.trigger = self.start[whole] + skip, self.doc[whole], self.trigger[whole]
+            self.windows = np.minimum(RUN, self.windows[whole] - skip)
+
+    def _sums(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Polynomials of the bytes from a to b, moved to one place."""
+        power, inverse = _powers(len(self.data) + 1)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[self.data] * power[:-1], dtype=np.uint64)))
+        return (total[b] - total[a]) * inverse[a]
+
+    def window_hashes(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the windows that start at the given places, other than those of phrases."""
+        h = self._sums(at, at + LENGTH) + np.uint64(0x2545F4914F6CDD1D)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
 
     def fingerprints(self, some: np.ndarray) -> np.ndarray:
         """Hashes of the bytes of the given phrases."""
-        power, inverse = _powers(len(self.data) + 1)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[self.data] * power[:-1], dtype=np.uint64)))
         a, b = self.start[some], self.start[some] + self.windows[some] + LENGTH - 1
-        h = (total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64)
+        h = self._sums(a, b) + (b - a).astype(np.uint64)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(32))
@@ -123,9 +149,8 @@ def _texts(group: pa.Table):
     """Pieces of a block's documents: (rows, ids, texts)."""
     ids = group.column("id").to_pylist()
     texts = group.column("text").to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: i)
     part, size = [], 0
-    for i in order:
+    for i in range(len(ids)):
         part.append(i)
         size += len(texts[i])
         if size >= PIECE:
@@ -152,9 +177,9 @@ def _unpack5(data: list[bytes]) -> np.ndarray:
 
 
 def _short(trigger: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    """39 bits of a trigger, and its bucket above them. Triggers of a bucket that agree in those bits
+    """36 bits of a trigger, and its bucket above them. Triggers of a bucket that agree in those bits
     are searched for needlessly, not taken for equal."""
-    return ((trigger >> np.uint64(1)) & np.uint64(_LOW)) | (bucket.astype(np.uint64) << np.uint64(39))
+    return ((trigger >> np.uint64(4)) & np.uint64(_LOW)) | (bucket.astype(np.uint64) << np.uint64(36))
 
 
 def _cuts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +205,8 @@ def _rows(rows: list[tuple], names: str) -> pa.Table:
 
 
 def _triggers(buckets: int):
-    """Step 1: (bucket, block, triggers); the low bit says that two of the block's documents have it."""
+    """Step 1: (bucket, block, triggers); the lowest bit says that two of the block's documents have it, the
+    next three how many phrases of the block, as a power of eight."""
 
     def run(key, group):
         block = key[0].as_py()
@@ -191,13 +217,14 @@ def _triggers(buckets: int):
             doc.append(np.array(ids, np.int64)[p.doc])
         trigger, doc = np.concatenate(trigger), np.concatenate(doc)
         order = np.argsort(trigger, kind="stable")
-        trigger, doc = trigger[order] & ~np.uint64(1), doc[order]
+        trigger, doc = trigger[order] & ~np.uint64(15), doc[order]
         a, b = _cuts(trigger)
         if not len(a):
             return _rows([], "bucket long, block long, trigger binary")
         several = np.minimum.reduceat(doc, a) != np.maximum.reduceat(doc, a)
         bucket = _bucket(trigger[a], buckets)
-        entry = (trigger[a] & np.uint64(2 * _LOW)) | several.astype(np.uint64)
+        many = np.minimum(np.log2(b - a) / 3, 7).astype(np.uint64)
+        entry = (trigger[a] & np.uint64(_LOW << 4)) | (many << np.uint64(1)) | several.astype(np.uint64)
         order = np.argsort(bucket, kind="stable")
         entry, bucket = entry[order], bucket[order]
         return _rows([(int(bucket[i]), block, _pack5(entry[i:j])) for i, j in zip(*_cuts(bucket), strict=True)], "bucket long, block long, trigger binary")
@@ -208,21 +235,29 @@ def _triggers(buckets: int):
 SHARED = "block long, bucket long, trigger binary"
 
 
-def _shared(key, group):
-    """Step 2: the triggers that another document has too, for every block."""
-    bucket = key[0].as_py()
-    packed = group.column("trigger").to_pylist()
-    entry = _unpack5(packed)
-    blocks = np.repeat(np.array(group.column("block").to_pylist(), np.int64), [len(x) // 5 for x in packed])
-    order = np.argsort(entry, kind="stable")
-    entry, blocks = entry[order], blocks[order]
-    a, b = _cuts(entry >> np.uint64(1))
-    shared = (b - a > 1) | ((entry[b - 1] & np.uint64(1)) > 0)
-    keep = np.repeat(shared, b - a)
-    entry, blocks = entry[keep] >> np.uint64(1), blocks[keep]
-    order = np.argsort(blocks, kind="stable")
-    entry, blocks = entry[order], blocks[order]
-    return _rows([(int(blocks[i]), bucket, _pack5(entry[i:j])) for i, j in zip(*_cuts(blocks), strict=True)], SHARED)
+def _shared(most: int):
+    """Step 2: the triggers that another document has too, for every block; the low bit marks hot ones."""
+
+    def run(key, group):
+        bucket = key[0].as_py()
+        packed = group.column("trigger").to_pylist()
+        entry = _unpack5(packed)
+        blocks = np.repeat(np.array(group.column("block").to_pylist(), np.int64), [len(x) // 5 for x in packed])
+        order = np.argsort(entry, kind="stable")
+        entry, blocks = entry[order], blocks[order]
+        a, b = _cuts(entry >> np.uint64(4))
+        if not len(a):
+            return _rows([], SHARED)
+        shared = (b - a > 1) | (np.bitwise_or.reduceat(entry & np.uint64(1), a) > 0)
+        phrases = np.add.reduceat(np.int64(8) << (3 * ((entry >> np.uint64(1)) & np.uint64(7)).astype(np.int64)), a)
+        keep = np.repeat(shared, b - a)
+        entry = ((entry >> np.uint64(4)) << np.uint64(1)) | np.repeat(phrases >= most, b - a).astype(np.uint64)
+        entry, blocks = entry[keep], blocks[keep]
+        order = np.argsort(blocks, kind="stable")
+        entry, blocks = entry[order], blocks[order]
+        return _rows([(int(blocks[i]), bucket, _pack5(entry[i:j])) for i, j in zip(*_cuts(blocks), strict=True)], SHARED)
+
+    return run
 
 
 def _among(x: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,6 +266,15 @@ def _among(x: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (ordered[at] == x if len(ordered) else np.zeros(len(x), bool)), at
 
 
+def _distinct(trigger: np.ndarray, window: np.ndarray, low: np.ndarray, high: np.ndarray | None = None):
+    """Each window once, with the least and the largest id."""
+    high = low if high is None else high
+    order = np.lexsort((window, trigger))
+    t, w = trigger[order], window[order]
+    a = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (w[1:] != w[:-1]))))
+    return t[a], w[a], np.minimum.reduceat(low[order], a), np.maximum.reduceat(high[order], a)
+
+
 def _pack_entries(trigger, phrase, low, high, texts: list[bytes]) -> bytes:
     """Phrases of a block: ids as places in a list of them, everything but the hashes compressed."""
     ids, at = np.unique(np.concatenate((low, high)), return_inverse=True)
@@ -257,14 +301,25 @@ def _dictionary(buckets: int):
         block = key[0].as_py()
         packed = replies.column("trigger").to_pylist()
         of = np.repeat(np.array(replies.column("bucket").to_pylist(), np.int64), [len(x) // 5 for x in packed])
-        shared = np.sort(_short(_unpack5(packed) << np.uint64(1), of))
+        reply = _unpack5(packed)
+        shared = _short((reply >> np.uint64(1)) << np.uint64(4), of)
+        order = np.argsort(shared, kind="stable")
+        shared, hot = shared[order], (reply[order] & np.uint64(1)) > 0
         got: list[list] = [[], [], [], [], []]
+        single: list[list] = [[], [], [], []]  # windows of hot triggers: trigger, hash, least and largest id
         for _, ids, texts in _texts(docs):
             p = Piece(texts)
-            some = np.flatnonzero(_among(_short(p.trigger, _bucket(p.trigger, buckets)), shared)[0])
+            hit, at = _among(_short(p.trigger, _bucket(p.trigger, buckets)), shared)
+            key_of = np.array(ids, np.int64)
+            if len(some := np.flatnonzero(hit & hot[at])):
+                starts = _expand(p.start[some], p.windows[some])
+                of_phrase = np.repeat(some, p.windows[some])
+                for x, y in zip(single, _distinct(p.trigger[of_phrase], p.window_hashes(starts), key_of[p.doc[of_phrase]]), strict=True):
+                    x.append(y)
+            some = np.flatnonzero(hit & ~hot[at])
             if not len(some):
                 continue
-            phrase, doc = p.fingerprints(some), np.array(ids, np.int64)[p.doc[some]]
+            phrase, doc = p.fingerprints(some), key_of[p.doc[some]]
             order = np.argsort(phrase, kind="stable")
             a, _ = _cuts(phrase[order])
             low, high = np.minimum.reduceat(doc[order], a), np.maximum.reduceat(doc[order], a)
@@ -273,8 +328,17 @@ def _dictionary(buckets: int):
             text = [data[s : s + n] for s, n in zip(p.start[one].tolist(), (p.windows[one] + LENGTH - 1).tolist(), strict=True)]
             for x, y in zip(got, (p.trigger[one], phrase[order[a]], low, high, text), strict=True):
                 x.append(y)
+        rows = []
+        if single[0]:
+            trigger, window, low, high = map(np.concatenate, single)
+            trigger, window, low, high = _distinct(trigger, window, low, high)
+            bucket = _bucket(window, buckets)
+            order = np.argsort(bucket, kind="stable")
+            for i, j in zip(*_cuts(bucket[order]), strict=True):
+                k = order[i:j]
+                rows.append((int(bucket[k[0]]), block, len(k), _pack_entries(trigger[k], window[k], low[k], high[k], [b""] * len(k))))
         if not got[0]:
-            return _rows([], ENTRY)
+            return _rows(rows, ENTRY)
         trigger, phrase, low, high = map(np.concatenate, got[:4])
         text = [t for part in got[4] for t in part]
         order = np.argsort(phrase, kind="stable")
@@ -284,7 +348,6 @@ def _dictionary(buckets: int):
         trigger, phrase = trigger[one], phrase[one]
         bucket = _bucket(trigger, buckets)
         order = np.argsort(bucket, kind="stable")
-        rows = []
         for i, j in zip(*_cuts(bucket[order]), strict=True):
             k = order[i:j]
             rows.append((int(bucket[k[0]]), block, len(k), _pack_entries(trigger[k], phrase[k], low[k], high[k], [text[one[x]] for x in k])))
@@ -313,7 +376,7 @@ def window_ranks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.unique(rank[starts] * (n + 1) + rank[starts + LENGTH - length], return_inverse=True)[1]
 
 
-RUNS = "block long, phrase binary, runs binary, windows binary, first binary"
+RUNS = "block long, phrase binary, runs binary, windows binary, first binary, hot binary"
 
 
 def _expand(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -329,6 +392,25 @@ def _order(key, group):
     data = np.frombuffer(b"".join(x[5] for x in parts), np.uint8)
     block = np.repeat(np.array(group.column("block").to_pylist(), np.int64), counts)
     del parts
+    rows = []
+    if len(single := np.flatnonzero(size == 0)):
+        # windows of hot triggers: those that come before one of the block's documents, each a run of its own
+        t, w = trigger[single], phrase[single]
+        order = np.lexsort((w, t))
+        a = np.flatnonzero(np.concatenate(([True], (t[order][1:] != t[order][:-1]) | (w[order][1:] != w[order][:-1]))))
+        least = np.empty(len(single), np.int64)
+        least[order] = np.repeat(np.minimum.reduceat(low[single][order], a), np.diff(np.append(a, len(single))))
+        ahead = np.flatnonzero(least < high[single])
+        ahead = ahead[np.argsort(block[single][ahead], kind="stable")]
+        for i, j in zip(*_cuts(block[single][ahead]), strict=True):
+            k = ahead[i:j]
+            k = k[np.argsort(w[k], kind="stable")]
+            one = np.ones(len(k), np.int32)
+            rows.append((int(block[single][k[0]]), _pack(w[k]), _pack(one), _pack(one), _pack(least[k]), _pack(np.unique(t[k]))))
+        rest = np.flatnonzero(size)
+        if not len(rest):
+            return _rows(rows, RUNS)
+        trigger, phrase, low, high, size, block = (x[rest] for x in (trigger, phrase, low, high, size, block))
     offset = np.cumsum(size) - size
     order = np.lexsort((phrase, trigger))
     # distinct phrases: trigger, least id, place of their bytes
@@ -357,7 +439,7 @@ def _order(key, group):
     ahead = np.minimum.reduceat(value, first)
     wanted = np.flatnonzero(ahead[owner] < high)
     if not len(wanted):
-        return _rows([], RUNS)
+        return _rows(rows, RUNS)
     wanted = wanted[np.argsort(block[wanted], kind="stable")]
     edge = np.ones(len(value), bool)
     edge[1:] = value[1:] != value[:-1]
@@ -366,12 +448,11 @@ def _order(key, group):
     run_size = np.diff(np.append(run_start, len(value)))
     run_of = np.searchsorted(run_start, first)
     runs = np.diff(np.append(run_of, len(run_start)))
-    rows = []
     for i, j in zip(*_cuts(block[wanted]), strict=True):
         k = wanted[i:j]
         k = k[np.argsort(phrase[k], kind="stable")]
         r = _expand(run_of[owner[k]], runs[owner[k]])
-        rows.append((int(block[k[0]]), _pack(phrase[k]), _pack(runs[owner[k]].astype(np.int32)), _pack(run_size[r].astype(np.int32)), _pack(value[run_start[r]])))
+        rows.append((int(block[k[0]]), _pack(phrase[k]), _pack(runs[owner[k]].astype(np.int32)), _pack(run_size[r].astype(np.int32)), _pack(value[run_start[r]]), b""))
     return _rows(rows, RUNS)
 
 
@@ -391,6 +472,7 @@ def _cut(keep_text: bool):
         order = np.argsort(phrase, kind="stable")
         ordered = phrase[order]
         shift = np.cumsum(windows) - windows
+        hot = np.unique(col("hot", np.uint64))
         rows = []
         for _, ids, texts in _texts(docs):
             p = Piece(texts)
@@ -404,6 +486,13 @@ def _cut(keep_text: bool):
                 cut = value[r] < np.array(ids, np.int64)[p.doc[occurrence]]
                 np.add.at(diff, start[cut], 1)
                 np.add.at(diff, (start + windows[r] + LENGTH - 1)[cut], -1)
+                if len(some := np.flatnonzero(_among(p.trigger, hot)[0])):
+                    start = _expand(p.start[some], p.windows[some])
+                    hit, at = _among(p.window_hashes(start), ordered)
+                    start, doc_of = start[hit], np.repeat(p.doc[some], p.windows[some])[hit]
+                    cut = value[run_of[order[at[hit]]]] < np.array(ids, np.int64)[doc_of]
+                    np.add.at(diff, start[cut], 1)
+                    np.add.at(diff, start[cut] + LENGTH, -1)
             gone = np.cumsum(diff[:-1]) > 0
             for i, (doc, text) in enumerate(zip(ids, texts, strict=True)):
                 mask = gone[p.border[i] : p.border[i + 1]]
@@ -418,24 +507,27 @@ def _cut(keep_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *, keep_text: bool = False, block: int = BLOCK) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *, keep_text: bool = False, block: int | None = None, hot: int = HOT) -> DataFrame:
     """One row (doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every input row.
 
     A byte goes if a window of LENGTH bytes over it also starts in a document with a smaller key. A
     null text is empty; a null key counts as larger than any other and comes back as null. Rows that
-    share a key do not count as earlier than each other. Texts below LENGTH bytes stay whole. An
-    empty table gives an empty result. ``kept``: the bytes left (a cut may split a character).
+    share a key do not count as earlier than each other. Texts below LENGTH bytes stay whole; a very long
+    one is parsed in one piece. Keys are integers: others are cast, and raise or become null as the session
+    says. An empty table gives an empty result. ``kept``: the bytes left (a cut may split a character).
     """
     base = docs.select(
         F.coalesce(docs[key].cast("long"), F.lit((1 << 63) - 1)).alias("id"),
         F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("text"),
     )
     total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    block = block or min(MOST, max(BLOCK, int(BLOCK * (total / (64 << 30)) ** 0.5)))
     blocks = max(1, -(-total // block))
-    base = base.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "text")
+    # by id and text, so that rows of one key, or without any, are dealt as others are
+    base = base.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"), "id", "text")
     by_block = base.groupBy("block")
     entries = by_block.applyInArrow(_triggers(blocks), "bucket long, block long, trigger binary")
-    shared = entries.groupBy("bucket").applyInArrow(_shared, SHARED)
+    shared = entries.groupBy("bucket").applyInArrow(_shared(hot), SHARED)
     phrases = by_block.cogroup(shared.groupBy("block")).applyInArrow(_dictionary(blocks), ENTRY)
     runs = phrases.groupBy("bucket").applyInArrow(_order, RUNS)
     out = by_block.cogroup(runs.groupBy("block")).applyInArrow(_cut(keep_text), RESULT + ", kept binary" * keep_text)

@@ -139,8 +139,8 @@ def brute_cut(data, k=50):
     return out
 
 
-@pytest.mark.parametrize("block", [4 << 20, 700])
-def test_substrings_against_brute_force(spark, block):
+@pytest.mark.parametrize("block, hot", [(4 << 20, 16384), (700, 16384), (700, 40), (4 << 20, 1)])
+def test_substrings_against_brute_force(spark, block, hot):
     r = random.Random(6)
     passage = ["".join(r.choice("abc é") for _ in range(r.choice([49, 50, 60, 300]))) for _ in range(6)]
     data = []
@@ -148,10 +148,27 @@ def test_substrings_against_brute_force(spark, block):
         parts = [r.choice(passage) if r.random() < 0.5 else "".join(r.choice("defgh ") for _ in range(r.randint(0, 80))) for _ in range(r.randint(0, 5))]
         data.append((i, "".join(parts)))
     data += [(100, None), (101, ""), (102, "a" * 200), (103, "a" * 49), (104, "a" * 120 + "b"), (105, "ab" * 90), (106, "x" + "ab" * 80)]
-    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in pfp_dedup.remove_repeats(spark.createDataFrame(data, SCHEMA), block=block).collect()}
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in pfp_dedup.remove_repeats(spark.createDataFrame(data, SCHEMA), block=block, hot=hot).collect()}
     assert got == brute_cut(data)
 
 
+def test_one_sentence_in_every_document(spark, monkeypatch):
+    r = random.Random(7)
+    sentence = "all rights are kept by the author of these pages and by no other body"
+    data = [(i, "".join(r.choice("abcdefgh ") for _ in range(r.randint(0, 70))) + sentence + "".join(r.choice("abcdefgh ") for _ in range(r.randint(0, 70)))) for i in range(250)]
+    data += [(300, "ab" * 6000), (301, "b" + "ab" * 6000), (302, "a" * 9000), (303, "x" + "a" * 9000)]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in pfp_dedup.remove_repeats(df, block=3000, hot=64).collect()}
+    assert got == brute_cut(data)
+
+
+def test_long_runs_are_cut_into_phrases():
+    p = pfp_dedup.Piece([b"a" * 50_000, b"ab" * 20_000])
+    assert p.windows.max() <= pfp_dedup.RUN and p.windows.sum() == 50_000 - 49 + 40_000 - 49
+    ends = p.start + p.windows
+    assert all(e == s or d != n for e, s, d, n in zip(ends, p.start[1:], p.doc, p.doc[1:], strict=False))
+
+
 def test_substrings_odd_rows(spark):
     t = "0123456789" * 6 + "abc"
     df = spark.createDataFrame([(1, t), (1, t), (None, t), (None, None)], SCHEMA)
