@@ -1,6 +1,7 @@
 """The pipeline on a small corpus with planted rows, each stage against brute force; guards of the entry module."""
 
 import random
+import shutil
 import subprocess
 import sys
 from collections import Counter, defaultdict
@@ -68,11 +69,20 @@ def test_stages(spark, tmp_path):
 
 def test_entry_works_without_the_llm_folders(tmp_path):
     root = Path(__file__).parents[2]
-    code = (
-        "import sys; sys.modules['strandworks.llm'] = None; sys.path.insert(0, sys.argv[1]); import __spark_entry__ as e; "
-        "q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); e.oracle_sql()"
-    )
-    subprocess.run([sys.executable, "-c", code, str(root)], check=True, cwd=tmp_path)
+    leave_out = shutil.ignore_patterns("llm", "corpus_pipeline.py", "__pycache__")
+    shutil.copytree(root / "strandworks", tmp_path / "strandworks", ignore=leave_out)
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+
+
+def test_a_broken_package_is_not_taken_for_an_absent_one(tmp_path):
+    root = Path(__file__).parents[2]
+    shutil.copytree(root / "strandworks", tmp_path / "strandworks", ignore=shutil.ignore_patterns("__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(root / name, tmp_path)
+    (tmp_path / "strandworks" / "llm" / "mixing.py").write_text("import no_such_module")
+    assert subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True).returncode
 
 
 def test_nothing_else_imports_the_package():
