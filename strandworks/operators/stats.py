@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandworks.functions.store import written
+
 ALLELE = ["chrom", "window", "cluster"]
 
 
@@ -47,42 +49,61 @@ def denominator(freqs: DataFrame) -> DataFrame:
     return freqs.agg(F.sum(F.col("p") * (1 - F.col("p"))).alias("d"))
 
 
-def grm(z: DataFrame, freqs: DataFrame) -> DataFrame:
+#: Alleles that a tile of the relationship matrix takes at a time.
+STEP = 1024
+
+
+def grm(z: DataFrame, freqs: DataFrame, *, tile: int = 512, entries: int = 1 << 20) -> DataFrame:
     """(i, j, g), i >= j: sum over alleles of centred products over 2D.
 
-    Sparse: products of non-zero dosages per allele, with the means' share in closed form, so absent
-    alleles cost nothing. One row per pair of samples; see ``grm_blocks`` for many alleles.
+    Samples are cut into stripes of ``tile``; a group holds the non-zero dosages of two stripes on some of
+    the alleles (about ``entries`` of them) and multiplies them as matrices, a few alleles at a time. So a
+    task holds tile x tile sums however many samples and alleles there are, and no row stands for a product.
+    The means' share is added in closed form. The result is dense by definition: a row per pair of samples.
     """
-    d = dosage(z).join(freqs, ALLELE)
+    d = written(dosage(z).join(freqs, ALLELE).select(*ALLELE, "sample", "z", "p"))
+    top, n = d.agg(F.max("sample"), F.count("*")).first()
+    stripes = (top or 0) // tile + 1
+    parts = max(1, -(-2 * n // (stripes * entries)))
+    # a row without allele brings every sample and its share of the means to each of its tiles once
     own = d.groupBy("sample").agg(F.sum(2 * F.col("p") * F.col("z")).alias("m"))
+    both = d.select(*ALLELE, "sample", "z", F.pmod(F.xxhash64(*ALLELE), F.lit(parts)).alias("part"), F.lit(None).cast("double").alias("m")).unionByName(
+        own.withColumn("part", F.lit(0).cast("long")), allowMissingColumns=True)
+    both = both.withColumn("s", F.expr(f"sample div {tile}")).withColumn("t", F.explode(F.expr(f"sequence(0L, {stripes - 1}L)")))
+    both = both.select(F.greatest("s", "t").alias("ti"), F.least("s", "t").alias("tj"), "part", *ALLELE, "sample", "z", "m")
+
+    def run(pdf):
+        ti, tj = int(pdf["ti"].iloc[0]) * tile, int(pdf["tj"].iloc[0]) * tile
+        share = np.full((2, tile), np.nan)
+        marks = pdf["m"].notna().to_numpy()
+        for side, first in enumerate((ti, tj)):
+            at = pdf["sample"].to_numpy()[marks] - first
+            mine = (at >= 0) & (at < tile)
+            share[side, at[mine]] = pdf["m"].to_numpy()[marks][mine]
+        pdf = pdf[~marks]
+        allele = pdf.groupby(ALLELE, sort=False).ngroup().to_numpy()
+        order = np.argsort(allele, kind="stable")
+        allele, sample, dose = allele[order], pdf["sample"].to_numpy()[order], pdf["z"].to_numpy(float)[order]
+        g = np.zeros((tile, tile))
+        for low in range(0, int(allele.max()) + 1 if len(allele) else 0, STEP):
+            a, b = np.searchsorted(allele, (low, low + STEP))
+            x = np.zeros((2, STEP, tile))
+            for side, first in enumerate((ti, tj)):
+                at = sample[a:b] - first
+                mine = (at >= 0) & (at < tile)
+                x[side, allele[a:b][mine] - low, at[mine]] = dose[a:b][mine]
+            g += x[0].T @ x[1]
+        pair = share[0][:, None] + share[1]
+        known = ~np.isnan(pair)
+        g[known] -= pair[known]
+        i, j = np.nonzero(known | (g != 0))
+        below = i + ti >= j + tj
+        i, j = i[below], j[below]
+        return pd.DataFrame({"i": i + ti, "j": j + tj, "g": g[i, j]})
+
+    sums = both.groupBy("ti", "tj", "part").applyInPandas(run, "i long, j long, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
     total = freqs.agg(F.sum(4 * F.col("p") * F.col("p")).alias("pp"), F.sum(F.col("p") * (1 - F.col("p"))).alias("dd"))
-    a, b = d.select(*ALLELE, F.col("sample").alias("i"), F.col("z").alias("zi")), d.select(*ALLELE, F.col("sample").alias("j"), F.col("z").alias("zj"))
-    cross = a.join(b, ALLELE).where("i >= j").groupBy("i", "j").agg(F.sum(F.col("zi") * F.col("zj")).alias("s"))
-    ids = own.select(F.col("sample").alias("i"), F.col("m").alias("mi"))
-    pairs = ids.crossJoin(own.select(F.col("sample").alias("j"), F.col("m").alias("mj"))).where("i >= j")
-    df = pairs.join(cross, ["i", "j"], "left").crossJoin(F.broadcast(total))  # one row
-    g = (F.coalesce("s", F.lit(0)) - F.col("mi") - F.col("mj") + F.col("pp")) / (2 * F.col("dd"))
-    return df.select("i", "j", g.alias("g"))
-
-
-def grm_blocks(z: DataFrame, freqs: DataFrame, n: int) -> DataFrame:
-    """The same by blocks of alleles: every partition sums X'X of its dense rows, then the sums are
-    added element by element. Samples must be 0..n-1; a task holds one n x n matrix."""
-    d = dosage(z).join(freqs, ALLELE).groupBy(*ALLELE, "p").agg(F.collect_list(F.struct("sample", "z")).alias("v"))
-
-    def run(it):
-        g = np.zeros((n, n))
-        for pdf in it:
-            x = np.repeat(-2 * pdf["p"].to_numpy()[:, None], n, 1)
-            for row, v in enumerate(pdf["v"]):
-                for e in v:
-                    x[row, e["sample"]] += e["z"]
-            g += x.T @ x
-        i, j = np.tril_indices(n)
-        yield pd.DataFrame({"i": i, "j": j, "g": g[i, j]})
-
-    total = freqs.agg((2 * F.sum(F.col("p") * (1 - F.col("p")))).alias("dd"))
-    return d.mapInPandas(run, "i long, j long, g double").groupBy("i", "j").agg(F.sum("g").alias("g")).crossJoin(F.broadcast(total)).select("i", "j", (F.col("g") / F.col("dd")).alias("g"))
+    return sums.crossJoin(F.broadcast(total)).select("i", "j", ((F.col("g") + F.col("pp")) / (2 * F.col("dd"))).alias("g"))  # one row
 
 
 def grm_centered(g: DataFrame) -> DataFrame:

@@ -385,7 +385,7 @@ def _(t):
 
 @query("grm_lower", "i long, j long, g double", GRM + ";; SELECT * FROM gr WHERE i >= j")
 def _(t):
-    return stats.grm_blocks(t.z, t.freqs, t.h.agg(F.max("sample") + 1).first()[0])
+    return stats.grm(t.z, t.freqs, tile=64)
 
 
 @query("grm_centered", "i long, j long, g double", GRM + """, mm AS (SELECT i, avg(g) AS m FROM gr GROUP BY i),
@@ -417,14 +417,25 @@ def _(t):
     return t.spark.createDataFrame([(i, k + 1, float(v[i, k])) for i in range(n) for k in range(v.shape[1])], "sample long, pc long, v double")
 
 
-@query("pca_project", "sample long, pc long, v double", OFF + DENSE.replace(", de", ", de") + f""", pcs AS (SELECT unnest(range(1, 3)) AS pc);;
+@query("pca_reconstruction", "i long, j long, g double", DENSE + f""", st AS (SELECT chrom, {W}, cluster, sample, {STD} AS x FROM de);;
+SELECT a.sample AS i, b.sample AS j, sum(a.x * b.x) / (SELECT count(*) FROM fr WHERE p > 0 AND p < 1) AS g FROM st a JOIN st b USING (chrom, {W}, cluster) WHERE a.sample >= b.sample GROUP BY ALL""")
+def _(t):
+    # all components together give back the matrix that they decompose
+    rows, n = _rows(t)
+    s, v, m = linalg.svd(rows, n, n, power=1)
+    g = (v * (s * s / m)) @ v.T
+    i, j = np.tril_indices(n)
+    return t.spark.createDataFrame(pd.DataFrame({"i": i, "j": j, "g": g[i, j]}))
+
+
+@query("pca_project", "sample long, pc long, v double",OFF + DENSE.replace(", de", ", de") + f""", pcs AS (SELECT unnest(range(1, 3)) AS pc);;
 SELECT sample, pc, sum({STD} * (((("offset" + cluster) * 19 + pc * 7) % 23 - 11) / 50.0::DOUBLE) / sqrt((4 - pc) * (SELECT count(*) FROM fr))) AS v FROM de JOIN os USING (chrom, {W}), pcs GROUP BY sample, pc""")
 def _(t):
     freqs = t.freqs
     ids = freqs.join(stats.allele_offsets(_k(t)), ["chrom", "window"])
     load = ids.withColumn("pc", F.explode(F.expr("array(1L, 2L)"))).withColumn("u", F.expr("(((offset + cluster) * 19 + pc * 7) % 23 - 11) / 50D"))
     val = t.spark.range(1, 3).select(F.col("id").alias("pc"), (4 - F.col("id")).alias("val"))
-    return linalg.project(stats.standardized(t.z, freqs), load.select("chrom", "window", "cluster", "pc", "u"), val, freqs.count())
+    return linalg.project(t.z, freqs, load.select("chrom", "window", "cluster", "pc", "u"), val, freqs.count())
 
 
 @query("admix_init", "sample long, k long, q double")

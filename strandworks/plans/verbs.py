@@ -107,7 +107,7 @@ def struct_pca(z: DataFrame, n: int, components: int, *, power: int = 11, seed:
 
 
 def struct_project(z: DataFrame, freqs: DataFrame, loadings: DataFrame, eigvals: DataFrame, alleles: int) -> DataFrame:
-    return linalg.project(stats.standardized(z, freqs), loadings, eigvals, alleles)
+    return linalg.project(z, freqs, loadings, eigvals, alleles)
 
 
 def em_iterations(z: DataFrame, p: DataFrame, q: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:

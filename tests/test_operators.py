@@ -157,12 +157,18 @@ def test_hmm_against_enumeration(spark):
         assert abs(post[b, k] - sum(np.exp(v - total) for s, v in paths.items() if s[b] == k)) < 1e-9
 
 
-def test_grm_forms_agree_and_pca(spark):
+def test_grm_in_tiles_and_pca(spark):
     z, _, _ = _model(spark)
     f = stats.frequency(z)
-    a = {(r.i, r.j): r.g for r in stats.grm(z, f).collect()}
-    b = {(r.i, r.j): r.g for r in stats.grm_blocks(z, f, 6).collect()}
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    dense = stats.centered(z, f).toPandas().pivot(index=["chrom", "window", "cluster"], columns="sample", values="x").to_numpy()
+    want = dense.T @ dense / (2 * stats.denominator(f).first().d)
+    for more in ({}, {"tile": 4, "entries": 8}, {"tile": 1}):
+        got = {(r.i, r.j): r.g for r in stats.grm(z, f, **more).collect()}
+        assert sorted(got) == [(i, j) for i in range(6) for j in range(i + 1)]
+        assert all(abs(g - want[k]) < 1e-9 for k, g in got.items())
+    # samples that share no window are a pair too
+    apart = z.where("(sample < 3 and window < 3) or (sample >= 3 and window >= 3)")
+    assert stats.grm(apart, f, tile=2, entries=4).count() == 21
     full = linalg.allele_rows(z, f)
     s, v, m = linalg.svd(full, 6, 3)
     table = full.toPandas()
