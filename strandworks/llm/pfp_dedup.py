@@ -44,6 +44,8 @@ LENGTH, GRAM = 50, 24
 BLOCK, MOST, PIECE = 4 << 20, 32 << 20, 1 << 20
 #: Phrases of a trigger that one group orders at most, and windows of a phrase.
 HOT, RUN = 16384, 4096
+#: Partitions that blocks, or triggers, are dealt to at most; one each below.
+PARTITIONS = 1 << 15
 
 _LOW = (1 << 36) - 1
 _BYTE = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -523,14 +525,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     block = block or min(MOST, max(BLOCK, int(BLOCK * (total / (64 << 30)) ** 0.5)))
     blocks = max(1, -(-total // block))
+    # partitions grow with the text, whatever the session's number of them; groups in one stream past each other
+    deal = lambda df, by: df.repartition(min(blocks, PARTITIONS), by).groupBy(by)
     # by id and text, so that rows of one key, or without any, are dealt as others are
     base = base.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"), "id", "text")
-    by_block = base.groupBy("block")
+    by_block = deal(base, "block")
     entries = by_block.applyInArrow(_triggers(blocks), "bucket long, block long, trigger binary")
-    shared = entries.groupBy("bucket").applyInArrow(_shared(hot), SHARED)
-    phrases = by_block.cogroup(shared.groupBy("block")).applyInArrow(_dictionary(blocks), ENTRY)
-    runs = phrases.groupBy("bucket").applyInArrow(_order, RUNS)
-    out = by_block.cogroup(runs.groupBy("block")).applyInArrow(_cut(keep_text), RESULT + ", kept binary" * keep_text)
+    shared = deal(entries, "bucket").applyInArrow(_shared(hot), SHARED)
+    phrases = by_block.cogroup(deal(shared, "block")).applyInArrow(_dictionary(blocks), ENTRY)
+    runs = deal(phrases, "bucket").applyInArrow(_order, RUNS)
+    out = by_block.cogroup(deal(runs, "block")).applyInArrow(_cut(keep_text), RESULT + ", kept binary" * keep_text)
     return out.withColumn("id", F.when(F.col("id") < (1 << 63) - 1, F.col("id"))).withColumnRenamed("id", key)
 
 
