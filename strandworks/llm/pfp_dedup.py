@@ -44,8 +44,8 @@ LENGTH, GRAM = 50, 24
 BLOCK, MOST, PIECE = 4 << 20, 32 << 20, 1 << 20
 #: Phrases of a trigger that one group orders at most, and windows of a phrase.
 HOT, RUN = 16384, 4096
-#: Partitions that blocks, or triggers, are dealt to at most; one each below.
-PARTITIONS = 1 << 15
+#: Blocks, or as much of the triggers, in a partition, and partitions at most.
+TOGETHER, PARTITIONS = 4, 1 << 15
 
 _LOW = (1 << 36) - 1
 _BYTE = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -526,7 +526,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     block = block or min(MOST, max(BLOCK, int(BLOCK * (total / (64 << 30)) ** 0.5)))
     blocks = max(1, -(-total // block))
     # partitions grow with the text, whatever the session's number of them; groups in one stream past each other
-    deal = lambda df, by: df.repartition(min(blocks, PARTITIONS), by).groupBy(by)
+    deal = lambda df, by: df.repartition(min(-(-blocks // TOGETHER), PARTITIONS), by).groupBy(by)
     # by id and text, so that rows of one key, or without any, are dealt as others are
     base = base.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"), "id", "text")
     by_block = deal(base, "block")
