@@ -19,19 +19,24 @@ ID_ROWS = 500_000
 WS_WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Temporary folders of local masters without the setting, by application.
+_FOLDERS: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Unset on a local master (as in tests) a fresh temporary folder becomes the setting; unset on a
+    Unset on a local master (as in tests) a temporary folder is made once per application; unset on a
     cluster the warehouse folder, which is shared too, is used. A machine-local folder never is.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        root = "file://" + tempfile.mkdtemp(prefix="strandworks-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        return root
+    if spark.sparkContext.master.split("[")[0] == "local":
+        app = spark.sparkContext.applicationId
+        if app not in _FOLDERS:
+            _FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="strandworks-")
+        return _FOLDERS[app]
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 

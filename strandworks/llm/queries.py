@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from strandworks.llm import decontaminate, html_extract, line_dedup, minhash, mixing, pfp_dedup, quality_classifier, quality_rules, sharding, token_counts
+from strandworks.llm import (
+    byte_bpe,
+    decontaminate,
+    filter_audit,
+    html_extract,
+    line_dedup,
+    minhash,
+    mixing,
+    pfp_dedup,
+    quality_classifier,
+    quality_rules,
+    ranked_search,
+    sharding,
+    token_counts,
+)
 
 QUERIES = {
     "op1_pareto_mixing": mixing.op1_pareto_mixing,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_minhash_dedup": minhash.op8_minhash_dedup,
     "op9_extendible_sharding": sharding.op9_extendible_sharding,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 
 ORACLES = {
@@ -25,4 +42,6 @@ ORACLES = {
     "op7_line_edit_join": line_dedup.OP7_SQL,
     "op8_minhash_dedup": minhash.OP8_SQL,
     "op9_extendible_sharding": sharding.OP9_SQL,
+    "op11_ranked_search": ranked_search.OP11_SQL,
+    "op12_filter_audit": filter_audit.OP12_SQL,
 }

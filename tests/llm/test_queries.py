@@ -18,7 +18,7 @@ here = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 @pytest.mark.parametrize("key", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, key):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = queries.QUERIES[key](spark, SF)
     rel = con.execute(queries.ORACLES[key])
