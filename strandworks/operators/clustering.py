@@ -20,7 +20,7 @@ def distances(unique: DataFrame, medians: DataFrame) -> DataFrame:
     """Distance of every distinct haplotype to every median of its window. The medians are joined on
     the window, never crossed; AQE broadcasts them where they are small."""
     m = medians.select(*KEY, "cluster", F.col("bits").alias("median"))
-    return unique.join(m, KEY).withColumn("d", B.hamming(F.col("bits"), F.col("median")))
+    return unique.join(m, KEY).withColumn("d", B.hamming(F.col("bits"), F.col("median"), B.is_wide(unique)))
 
 
 def assign_nearest(unique: DataFrame, medians: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def cluster_counts(assigned: DataFrame, size: int | None = None) -> DataFrame:
     ``size`` every window has its own, in a column of that name."""
     last = F.col("size").cast("int") - 1 if size is None else F.lit(size - 1)
     df = assigned.withColumn("j", F.explode(F.sequence(F.lit(0), last))).withColumn("j", F.col("j").cast("long"))
-    return df.groupBy(*KEY, "cluster", "j").agg(F.sum(F.col("n_u") * B.bit("bits", "j")).alias("count"), F.sum("n_u").alias("n"))
+    return df.groupBy(*KEY, "cluster", "j").agg(F.sum(F.col("n_u") * B.bit("bits", "j", B.is_wide(assigned))).alias("count"), F.sum("n_u").alias("n"))
 
 
 def cluster_sizes(assigned: DataFrame) -> DataFrame:
@@ -46,9 +46,9 @@ def marginal_median(counts: DataFrame) -> DataFrame:
     return counts.select(*KEY, "cluster", "j", F.expr("if(count > n div 2, 1L, 0L)").alias("allele"))
 
 
-def medians_of(assigned: DataFrame, size: int) -> DataFrame:
+def medians_of(assigned: DataFrame, size: int | None = None, words: int | None = None) -> DataFrame:
     m = marginal_median(cluster_counts(assigned, size))
-    return m.groupBy(*KEY, "cluster").agg(B.pack(F.col("allele"), F.col("j")).alias("bits"))
+    return m.groupBy(*KEY, "cluster").agg(B.pack(F.col("allele"), F.col("j"), words).alias("bits"))
 
 
 def farthest_point(assigned: DataFrame, limit: int | None = None) -> DataFrame:
@@ -85,7 +85,7 @@ def median_loglik(counts: DataFrame, medians: DataFrame) -> DataFrame:
     """(chrom, window, c1, c2, ll): log-likelihood of the median of c1 under the alleles of c2."""
     p = counts.select(*KEY, F.col("cluster").alias("c2"), "j", clamp(F.col("count") / F.col("n")).alias("p"))
     m = medians.select(*KEY, F.col("cluster").alias("c1"), F.col("bits").alias("median"))
-    term = F.when(B.bit("median", "j") == 1, F.ln("p")).otherwise(F.ln(1 - F.col("p")))
+    term = F.when(B.bit("median", "j", B.is_wide(medians)) == 1, F.ln("p")).otherwise(F.ln(1 - F.col("p")))
     return m.join(p, KEY).groupBy(*KEY, "c1", "c2").agg(F.sum(term).alias("ll"))
 
 
@@ -106,7 +106,23 @@ def _counts(x: np.ndarray, u: np.ndarray, z: np.ndarray, k: int) -> tuple[np.nda
 
 def _words(x: np.ndarray) -> list[np.ndarray]:
     """Rows of 0 and 1 as words of up to 62 bits, one array per word."""
-    return [(x[:, k : k + 62] << np.arange(min(62, x.shape[1] - k))).sum(1) for k in range(0, x.shape[1], 62)]
+    w = B.WORD
+    return [(x[:, k : k + w] << np.arange(min(w, x.shape[1] - k))).sum(1) for k in range(0, x.shape[1], w)]
+
+
+def _alleles(bits: pd.Series, size: int, wide: bool) -> np.ndarray:
+    """Rows of 0 and 1 of packed alleles."""
+    words = np.stack(bits.to_list()) if wide else bits.to_numpy(np.int64)[:, None]
+    j = np.arange(size)
+    return (words[:, j // B.WORD] >> (j % B.WORD)) & 1
+
+
+def _packed(x: np.ndarray, words: int | None) -> np.ndarray | list:
+    """The inverse: a bigint, or so many words, a row."""
+    got = _words(x)
+    if words is None:
+        return got[0]
+    return list(np.stack(got + [np.zeros(len(x), np.int64)] * (words - len(got)), 1))
 
 
 def dp_medians(x: np.ndarray, u: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -183,17 +199,23 @@ def dp_medians(x: np.ndarray, u: np.ndarray, s: Settings) -> tuple[np.ndarray, n
     return np.searchsorted(used, z), r[used]
 
 
-def cluster_windows(unique: DataFrame, settings: Settings) -> DataFrame:
-    """Run the loop in every window: (chrom, window, u_idx, bits, n_u, cluster, median)."""
+def cluster_windows(unique: DataFrame, settings: Settings | None = None, **options) -> DataFrame:
+    """Run the loop in every window: (chrom, window, u_idx, bits, n_u, cluster, median).
+
+    Without ``settings`` every window's size is in a column of that name, and ``options`` are those of ``Settings``.
+    """
+    wide = B.is_wide(unique)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bits", ignore_index=True)
-        bits = pdf["bits"].to_numpy(np.int64)
-        x = (bits[:, None] >> np.arange(settings.size)) & 1
-        z, r = dp_medians(x, pdf["n_u"].to_numpy(np.int64), settings)
+        own = settings or Settings(int(pdf["size"].iloc[0]), **options)
+        pdf = pdf.sort_values("u_idx", ignore_index=True)
+        z, r = dp_medians(_alleles(pdf["bits"], own.size, wide), pdf["n_u"].to_numpy(np.int64), own)
         pdf["cluster"] = z
-        pdf["median"] = (r << np.arange(settings.size)).sum(1)[z]
+        medians = _packed(r, len(pdf["bits"].iloc[0]) if wide else None)
+        pdf["median"] = [medians[k] for k in z]
         return pdf[["chrom", "window", "u_idx", "bits", "n_u", "cluster", "median"]]
 
-    schema = "chrom string, window long, u_idx long, bits long, n_u long, cluster long, median long"
-    return unique.select(*KEY, "u_idx", "bits", "n_u").groupBy(*KEY).applyInPandas(run, schema)
+    kind = "array<long>" if wide else "long"
+    schema = f"chrom string, window long, u_idx long, bits {kind}, n_u long, cluster long, median {kind}"
+    columns = [*KEY, "u_idx", "bits", "n_u"] + (["size"] if settings is None else [])
+    return unique.select(*columns).groupBy(*KEY).applyInPandas(run, schema)

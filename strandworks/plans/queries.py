@@ -336,6 +336,124 @@ def _(t):
     return predict.unphased(predict.geno_states(t.geno), t.md)
 
 
+# --- windows of more than 62 SNPs ---
+
+WB = "CASE WHEN ({f}*131 + j*17 + {f}*j*37 + {f}*{f}*j*11) % 23 < 9 THEN 1 ELSE 0 END"
+WIDE = f""", wa AS (SELECT j::BIGINT AS j, least(j // 128, 1)::BIGINT AS {W}, (j - 128 * least(j // 128, 1))::BIGINT AS o FROM (SELECT unnest(range(0, 320)) AS j)),
+w0 AS (SELECT vec_id AS hap, vec_id // 2 AS sample, (label % 4) * 2 + ((vec_id * 31 + (j // 16) * 17 + vec_id // 7) % 2) AS f, wa.* FROM embeddings, wa),
+w1 AS (SELECT *, {WB.format(f='f')} AS b FROM w0),
+wh AS (SELECT hap, sample, {W}, o, j, (CASE WHEN (hap * 53 + j * 29 + hap * j * 7) % 97 < 2 THEN 1 - b ELSE b END)::BIGINT AS allele FROM w1),
+wx AS (SELECT hap, sample, {W}, o, CASE WHEN (hap * 11 + j * 5) % 41 <> 0 THEN allele END AS allele FROM wh),
+wk AS (SELECT {W}, hap, sample, string_agg(allele::VARCHAR, '' ORDER BY o) AS alleles FROM wh GROUP BY ALL),
+wu AS (SELECT {W}, alleles, n_u, row_number() OVER (PARTITION BY {W} ORDER BY reverse(alleles)) - 1 AS u_idx FROM (SELECT {W}, alleles, count(*) AS n_u FROM wk GROUP BY ALL)),
+wf AS (SELECT {W}, f, string_agg(b::VARCHAR, '' ORDER BY o) AS alleles FROM (SELECT {W}, o, f, {WB.format(f='f')} AS b FROM wa, (SELECT DISTINCT (label % 4) * 2 + i AS f FROM embeddings, (SELECT unnest([0, 1]) AS i))) GROUP BY ALL),
+wm AS (SELECT {W}, alleles, row_number() OVER (PARTITION BY {W} ORDER BY f) - 1 AS cluster FROM (SELECT {W}, alleles, min(f) AS f FROM wf GROUP BY ALL)),
+wn AS (SELECT * FROM (SELECT wu.{W}, u_idx, wu.alleles, n_u, cluster, hamming(wu.alleles, wm.alleles) AS d, row_number() OVER (PARTITION BY wu.{W}, u_idx ORDER BY hamming(wu.alleles, wm.alleles), cluster DESC) AS r FROM wu JOIN wm USING ({W})) WHERE r = 1),
+wz AS (SELECT {W}, hap, sample, cluster FROM wk JOIN wn USING ({W}, alleles)),
+wc AS (SELECT wz.{W}, cluster, o, sum(allele)::BIGINT AS count, count(*) AS n FROM wz JOIN wh USING ({W}, hap) GROUP BY ALL),
+wr AS (SELECT {W}, cluster, o, n, CASE WHEN count > n // 2 THEN 1 ELSE 0 END AS r FROM wc)"""
+WW = "window long"
+
+
+class _Wide:
+    """The wide tables of a query."""
+
+    def __init__(self, t):
+        self.h = fx.haplotypes(t.spark, t.sf, wide=True)
+        self.axis = windows.fixed(windows.snps_of(self.h), fx.WIDE)
+        self.words = B.words_for(fx.WIDE_SNPS - fx.WIDE)
+        self.sizes = self.axis.groupBy("chrom", "window").agg(F.count("*").alias("size"))
+        self.md = fx.founder_medians(t.spark, t.sf, wide=True)
+        self.missing = fx.haplotypes(t.spark, t.sf, True, wide=True)
+
+    @property
+    def packed(self):
+        return dedup.packed(windows.attach(self.h, self.axis), self.words)
+
+    @property
+    def near(self):
+        return clustering.assign_nearest(dedup.unique(self.packed), self.md)
+
+    @property
+    def counts(self):
+        return clustering.cluster_counts(self.near.join(self.sizes, ["chrom", "window"]))
+
+    @property
+    def z(self):
+        return dedup.assign_haplotypes(self.packed, self.near)
+
+    def spelled(self, df):
+        text = F.array_join(F.transform(B.alleles("bits", F.col("size"), True), lambda a: a.cast("string")), "")
+        return df.join(self.sizes, ["chrom", "window"]).withColumn("alleles", text)
+
+
+@query("wide_unique", f"{WW}, u_idx long, alleles string, n_u long", WIDE + ";; SELECT * FROM wu")
+def _(t):
+    w = _Wide(t)
+    return w.spelled(dedup.unique(w.packed))
+
+
+@query("wide_nearest", f"{WW}, u_idx long, cluster long, d long", WIDE + ";; SELECT * FROM wn")
+def _(t):
+    return _Wide(t).near
+
+
+@query("wide_medians", f"{WW}, cluster long, alleles string, n long", WIDE + f";; SELECT {W}, cluster, string_agg(r::VARCHAR, '' ORDER BY o) AS alleles, max(n) AS n FROM wr GROUP BY {W}, cluster")
+def _(t):
+    w = _Wide(t)
+    medians = w.spelled(clustering.medians_of(w.near.join(w.sizes, ["chrom", "window"]), words=w.words))
+    return medians.join(clustering.cluster_sizes(w.near), ["chrom", "window", "cluster"])
+
+
+@query("wide_loglik", f"{WW}, c1 long, c2 long, ll double", WIDE + f"""
+;; SELECT wr.{W}, wr.cluster AS c1, wc.cluster AS c2, sum(CASE WHEN r = 1 THEN ln(greatest(1e-5::DOUBLE, least(count::DOUBLE / wc.n, 1 - 1e-5::DOUBLE))) ELSE ln(1 - greatest(1e-5::DOUBLE, least(count::DOUBLE / wc.n, 1 - 1e-5::DOUBLE))) END) AS ll
+FROM wr JOIN wc USING ({W}, o) GROUP BY ALL""")
+def _(t):
+    w = _Wide(t)
+    return clustering.median_loglik(w.counts, clustering.medians_of(w.near.join(w.sizes, ["chrom", "window"]), words=w.words))
+
+
+WMR = f", ws AS (SELECT {W}, cluster, (o - 1)::BIGINT AS o, alleles[o]::BIGINT AS r FROM wm, (SELECT unnest(range(1, 193)) AS o) WHERE o <= length(alleles))"
+
+
+@query("wide_predict_phased", f"{WW}, {H}, cluster long", WIDE + WMR + f"""
+;; SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {W}, hap ORDER BY d, cluster DESC) AS o FROM (
+SELECT wx.{W}, hap, sample, cluster, sum(CASE WHEN allele <> r THEN 1 ELSE 0 END) AS d FROM wx JOIN ws USING ({W}, o) GROUP BY ALL)) WHERE o = 1""")
+def _(t):
+    from strandworks.plans import verbs
+
+    w = _Wide(t)
+    return verbs.predict(w.missing, w.md, w.axis)
+
+
+@query("wide_predict_unphased", f"{WW}, sample long, c1 long, c2 long, t long", WIDE + WMR + f""", wg AS (SELECT {W}, sample, o, CASE WHEN count(allele) = 2 THEN sum(allele) END AS dosage FROM wx GROUP BY ALL),
+wp AS (SELECT wg.{W}, sample, a.cluster AS c1, b.cluster AS c2, sum(CASE dosage WHEN 1 THEN (a.r = b.r)::INT WHEN 0 THEN 2 * a.r + b.r WHEN 2 THEN 2 * (1 - a.r) + 1 - b.r ELSE 0 END)::BIGINT AS t
+FROM wg JOIN ws a ON a.{W} = wg.{W} AND a.o = wg.o JOIN ws b ON b.{W} = wg.{W} AND b.o = wg.o GROUP BY ALL);;
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {W}, sample ORDER BY t, c1, c2) AS o FROM wp) WHERE o = 1""")
+def _(t):
+    w = _Wide(t)
+    calls = windows.attach(codecs.genotypes(w.missing), w.axis)
+    return predict.unphased(predict.geno_states(calls, w.words), w.md)
+
+
+@query("wide_grm", "i long, j long, g double", WIDE + f""", wq AS (SELECT {W}, cluster, count(*) / sum(count(*)) OVER (PARTITION BY {W}) AS p FROM wz GROUP BY {W}, cluster),
+wy AS (SELECT wq.{W}, wq.cluster, p, s.sample, (SELECT count(*) FROM wz WHERE wz.{W} = wq.{W} AND wz.cluster = wq.cluster AND wz.sample = s.sample) AS z FROM wq, (SELECT DISTINCT sample FROM wz) s);;
+SELECT a.sample AS i, b.sample AS j, sum((a.z - 2 * a.p) * (b.z - 2 * b.p)) / (2 * (SELECT sum(p * (1 - p)) FROM wq)) AS g FROM wy a JOIN wy b USING ({W}, cluster) WHERE a.sample >= b.sample GROUP BY ALL""")
+def _(t):
+    z = written(_Wide(t).z)
+    return stats.grm(z, stats.frequency(z))
+
+
+@query("wide_cluster", f"{WW}, cluster long, alleles string, n long")
+def _(t):
+    from strandworks.plans import verbs
+
+    w = _Wide(t)
+    made = verbs.cluster(w.h, size=fx.WIDE)
+    n = made.assignments.groupBy("chrom", "window", "cluster").agg(F.count("*").alias("n"))
+    return w.spelled(made.medians).join(n, ["chrom", "window", "cluster"])
+
+
 # --- statistics ---
 
 @query("allele_dosage", f"{CWC}, sample long, z long", "SELECT * FROM dg")

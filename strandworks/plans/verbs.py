@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandworks.functions import bits
 from strandworks.functions.numeric import clamp
 from strandworks.functions.store import written
 from strandworks.operators import admix as em
@@ -23,14 +24,21 @@ class Clustered:
     loglik: DataFrame | None = None
 
 
+def _words(window_axis: DataFrame) -> int | None:
+    """Words of the widest window of the axis; None if all fit into one bigint."""
+    last = window_axis.agg(F.max("j")).first()[0]
+    return bits.words_for(0 if last is None else last + 1)
+
+
 def cluster(
     haplotypes: DataFrame, *, size: int | None = None, length: int | None = None, starts: DataFrame | None = None, step: int | None = None,
     lmbda: float = 0.1, min_freq: float = 0.005, min_mac: int | None = None, max_clusters: int = 256, max_iterations: int = 1000,
-    prune: bool = False, medians: bool = False, width: int = 62,
+    prune: bool = False, medians: bool = False,
 ) -> Clustered:
     """Cluster the haplotypes of every window. Exactly one of size, length and starts is given.
 
-    haplotypes: (chrom, snp, pos, hap, sample, allele), complete and biallelic; windows hold up to 62 SNPs.
+    haplotypes: (chrom, snp, pos, hap, sample, allele), complete and biallelic. Where a window has more than
+    62 SNPs, the alleles and medians of all are arrays of words.
     """
     if sum(x is not None for x in (size, length, starts)) != 1:
         raise ValueError("give one of size, length and starts")
@@ -44,24 +52,11 @@ def cluster(
         w = windows.fixed(sn, size) if step is None else windows.sliding(sn, size, step)
     else:
         w = windows.by_length(sn, length) if length is not None else windows.custom(sn, starts)
-    if w.where(F.col("j") >= width).limit(1).count():
-        raise ValueError(f"a window has more than {width} SNPs")
-    packed = dedup.packed(windows.attach(haplotypes, w))
+    packed = dedup.packed(windows.attach(haplotypes, w), _words(w))
     widths = w.groupBy("chrom", "window").agg(F.count("*").alias("size"))
     unique = dedup.unique(packed).join(widths, ["chrom", "window"])
-
-    def run(pdf):
-        pdf = pdf.sort_values("bits", ignore_index=True)
-        s = clustering.Settings(int(pdf["size"].iloc[0]), lmbda, min_freq, min_mac, max_clusters, max_iterations, prune)
-        import numpy as np
-
-        x = (pdf["bits"].to_numpy(np.int64)[:, None] >> np.arange(s.size)) & 1
-        z, r = clustering.dp_medians(x, pdf["n_u"].to_numpy(np.int64), s)
-        pdf["cluster"], pdf["median"] = z, (r << np.arange(s.size)).sum(1)[z]
-        return pdf[["chrom", "window", "u_idx", "bits", "n_u", "cluster", "median"]]
-
-    schema = "chrom string, window long, u_idx long, bits long, n_u long, cluster long, median long"
-    done = written(unique.groupBy("chrom", "window").applyInPandas(run, schema))
+    options = dict(lmbda=lmbda, min_freq=min_freq, min_mac=min_mac, max_clusters=max_clusters, max_iterations=max_iterations, prune=prune)
+    done = written(clustering.cluster_windows(unique, **options))
     md = done.groupBy("chrom", "window", "cluster").agg(F.first("median").alias("bits"))
     k = md.groupBy("chrom", "window").agg(F.count("*").alias("k"))
     ll = clustering.median_loglik(clustering.cluster_counts(done.join(widths, ["chrom", "window"])), md) if medians else None
@@ -86,9 +81,15 @@ def predict(
             if ends.where("end <> e").limit(1).count():
                 raise ValueError("the new data do not end where the reference does")
     df = windows.attach(calls, window_axis)
+    words = None
+    if bits.is_wide(medians):  # a median's array is as long as that of every other one
+        words = medians.select(F.size("bits").alias("n")).limit(1).first()
+        words = words.n if words else None
+    if (_words(window_axis) or 1) > (words or 1):
+        raise ValueError("a window has more SNPs than the medians hold")
     if phased:
-        return prediction.phased(dedup.packed(df), medians).drop("d")
-    pairs = prediction.unphased(prediction.geno_states(df), medians, compat)
+        return prediction.phased(dedup.packed(df, words), medians).drop("d")
+    pairs = prediction.unphased(prediction.geno_states(df, words), medians, compat)
     both = F.explode(F.array(F.struct((2 * F.col("sample")).alias("hap"), F.col("c1").alias("cluster")), F.struct((2 * F.col("sample") + 1).alias("hap"), F.col("c2").alias("cluster"))))
     return pairs.select("chrom", "window", "sample", both.alias("x")).select("chrom", "window", "x.hap", "sample", "x.cluster")
 

@@ -101,7 +101,7 @@ class Tables:
 
     @property
     def md(self) -> DataFrame:
-        return fx.founder_medians(self.spark)
+        return fx.founder_medians(self.spark, self.sf)
 
     @property
     def near(self) -> DataFrame:

@@ -12,25 +12,27 @@ from pyspark.sql import functions as F
 from strandworks.functions import bits as B
 
 N_SNPS, SIZE, K = 64, 8, 3
+#: SNPs and window of the wide tables: one chromosome, two windows of 128 and 192.
+WIDE_SNPS, WIDE = 320, 128
 
 
 def _founder_bit(founder: str) -> str:
     return f"if(({founder} * 131 + j * 17 + {founder} * j * 37 + {founder} * {founder} * j * 11) % 23 < 9, 1L, 0L)"
 
 
-def _axis(df: DataFrame) -> DataFrame:
-    df = df.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(N_SNPS - 1)))).withColumn("j", F.col("j").cast("long"))
+def _axis(df: DataFrame, wide: bool = False) -> DataFrame:
+    df = df.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit((WIDE_SNPS if wide else N_SNPS) - 1)))).withColumn("j", F.col("j").cast("long"))
     return df.withColumns({
-        "chrom": F.expr("if(j < 32, 'chr1', 'chr2')"),
-        "snp": F.expr("j % 32"),
+        "chrom": F.lit("chr3") if wide else F.expr("if(j < 32, 'chr1', 'chr2')"),
+        "snp": F.col("j") if wide else F.expr("j % 32"),
         "pos": F.expr("1000 + j * 137 + (j * j * 13) % 101"),
     })
 
 
-def haplotypes(spark: SparkSession, sf_dir: str, missing: bool = False) -> DataFrame:
-    """(chrom, snp, pos, hap, sample, allele); with ``missing`` some alleles are null."""
+def haplotypes(spark: SparkSession, sf_dir: str, missing: bool = False, wide: bool = False) -> DataFrame:
+    """(chrom, snp, pos, hap, sample, allele); with ``missing`` some alleles are null, ``wide`` is one long chromosome."""
     base = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("hap"), F.col("label").cast("long").alias("label"))
-    df = _axis(base.withColumn("sample", F.expr("hap div 2")))
+    df = _axis(base.withColumn("sample", F.expr("hap div 2")), wide)
     df = df.withColumn("founder", F.expr("(label % 4) * 2 + ((hap * 31 + (j div 16) * 17 + hap div 7) % 2)"))
     df = df.withColumn("f", F.expr(_founder_bit("founder")))
     allele = F.expr("if((hap * 53 + j * 29 + hap * j * 7) % 97 < 2, 1 - f, f)")
@@ -51,10 +53,16 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select(F.expr("vec_id div 2").alias("sample"), F.expr("if((vec_id div 2) % 3 = 0, cast(label as long) % 4 + 1, 0L)").alias("pop"))
 
 
-def founder_medians(spark: SparkSession) -> DataFrame:
-    """(chrom, window, cluster, bits): distinct founder strings of each window of SIZE SNPs."""
-    df = _axis(spark.range(8).select(F.col("id").alias("founder"))).withColumn("f", F.expr(_founder_bit("founder")))
-    df = df.withColumn("window", F.expr(f"snp div {SIZE}")).groupBy("chrom", "window", "founder").agg(B.pack(F.col("f"), F.expr(f"snp % {SIZE}")).alias("bits"))
+def founder_medians(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """(chrom, window, cluster, bits): distinct strings, in each window of SIZE (or WIDE) SNPs, of the founders that
+    the table's haplotypes descend from."""
+    own = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.explode(F.expr("array(0L, 1L)")).alias("i"), F.expr("cast(label as long) % 4").alias("pop"))
+    founders = own.select((F.col("pop") * 2 + F.col("i")).alias("founder")).distinct()
+    df = _axis(founders, wide).withColumn("f", F.expr(_founder_bit("founder")))
+    window = F.expr(f"least(snp div {WIDE}, {WIDE_SNPS // WIDE - 1})" if wide else f"snp div {SIZE}")
+    words = B.words_for(WIDE_SNPS - WIDE) if wide else None
+    df = df.withColumn("window", window.cast("long")).withColumn("o", F.expr(f"snp - window * {WIDE if wide else SIZE}"))
+    df = df.groupBy("chrom", "window", "founder").agg(B.pack(F.col("f"), F.col("o"), words).alias("bits"))
     first = df.groupBy("chrom", "window", "bits").agg(F.min("founder").alias("founder"))
     w = Window.partitionBy("chrom", "window").orderBy("founder")
     return first.select("chrom", "window", (F.row_number().over(w) - 1).cast("long").alias("cluster"), "bits")

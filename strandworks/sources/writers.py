@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandworks.functions import bits as B
 from strandworks.sources.codecs import MAGIC
 
 #: Fixed header of window files.
@@ -77,8 +78,9 @@ def write_windows(windows: DataFrame, prefix: str) -> list[str]:
 def write_medians(medians: DataFrame, windows: DataFrame, prefix: str) -> list[str]:
     """{prefix}.{chrom}.bcm: magic, then a byte per SNP of every median. medians: (chrom, window, cluster, bits)."""
     df = medians.join(windows.select("chrom", "window", "size"), ["chrom", "window"])
-    bits = F.expr("array_join(transform(sequence(0, cast(size as int) - 1), j -> concat('0', cast(shiftright(bits, j) & 1 as string))), '')")
-    return _each(df.select("chrom", "window", "cluster", F.unhex(bits).alias("content")), ["window", "cluster"], prefix, ".bcm", MAGIC)
+    alleles = B.alleles("bits", F.col("size"), B.is_wide(medians))
+    content = F.unhex(F.array_join(F.transform(alleles, lambda a: F.concat(F.lit("0"), a.cast("string"))), ""))
+    return _each(df.select("chrom", "window", "cluster", content.alias("content")), ["window", "cluster"], prefix, ".bcm", MAGIC)
 
 
 def _floats(df: DataFrame, keys: list[str], by: str, value: str) -> DataFrame:
