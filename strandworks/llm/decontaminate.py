@@ -4,10 +4,10 @@ Every piece of a partition (some MB of documents) is a shard. Its words become i
 vocabulary; stretches of known words that are shorter than the shortest window cannot hold one and
 are left out. The rest gets a suffix array by prefix doubling, and all suffixes of the benchmark are
 searched in it at once, one more word per round, each round a binary search inside the range that the
-words so far have left. A suffix's range at window length gives the hits. Every hit that no other one
-extends to the left is then followed to the right, word by word, which gives each document its own
-longest verbatim match, whatever else the shard holds. Shards are independent, so nothing is shuffled
-and a lost executor costs only its own tasks.
+words so far have left. A suffix's range at window length gives the hits, once for all suffixes that open with the same
+window. The ranges of later rounds nest inside; the deepest one that holds a place of a document gives
+the words that match verbatim from there, whatever else the shard holds. Shards are independent, so
+nothing is shuffled and a lost executor costs only its own tasks.
 """
 
 from __future__ import annotations
@@ -80,15 +80,26 @@ def suffix_array(a: np.ndarray, depth: int) -> np.ndarray:
 
 
 def search(a: np.ndarray, order: np.ndarray, bench: Benchmark):
-    """(wlo, whi) of every benchmark suffix: its window's range of the suffix array (empty if there is none)."""
+    """(wlo, whi, ranges): every benchmark suffix's window as a range of the suffix array (empty if it does not
+    occur), and (lo, hi, n) for each range of suffixes that share n words, a window at least, with the benchmark.
+
+    A range that more words leave as it is comes once, with all of them, so ranges nest but never repeat.
+    """
     m, n = len(bench.ids), len(order)
     padded = np.concatenate((a, np.zeros(1, a.dtype)))
     tests = np.concatenate((bench.ids, np.zeros(1, np.int64)))
     lo, hi = np.zeros(m, np.int64), np.full(m, n, np.int64)
     wlo, whi = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    ranges = [np.zeros((3, 0), np.int64)]
     active, d = np.flatnonzero(bench.ids), 0
+
+    def leave(suffix: np.ndarray, d: int) -> None:
+        suffix = suffix[bench.window[suffix] <= d]
+        ranges.append(np.stack((lo[suffix], hi[suffix], np.full(len(suffix), d))))
+
     while len(active):
         word = tests[active + d]
+        leave(active[word == 0], d)
         active, word = active[word > 0], word[word > 0]
 
         def bound(strict: bool, active=active, word=word, d=d):
@@ -103,24 +114,30 @@ def search(a: np.ndarray, order: np.ndarray, bench: Benchmark):
 
         x, y = bound(False), bound(True)
         found = x < y
+        leave(active[~found | (x != lo[active]) | (y != hi[active])], d)
         active, x, y = active[found], x[found], y[found]
         lo[active], hi[active] = x, y
         d += 1
-        at_window = bench.window[active] == d
-        done, active = active[at_window], active[~at_window]
+        done = active[bench.window[active] == d]
         wlo[done], whi[done] = lo[done], hi[done]
-    return wlo, whi
+    return wlo, whi, np.concatenate(ranges, 1)
 
 
-def match_lengths(a: np.ndarray, start: np.ndarray, bench: Benchmark, suffix: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Words that ``a`` from ``start`` and the item from ``suffix`` share, the first ``known`` of which are known to be equal."""
-    length = known.copy()
-    live = np.arange(len(length))
-    while len(live):
-        word = a[start[live] + length[live]]
-        live = live[(word > 0) & (word == bench.ids[suffix[live] + length[live]])]
-        length[live] += 1
-    return length
+#: Places of ranges that are expanded at a time.
+EXPANDED = 1 << 20
+
+
+def longest_matches(n: int, ranges: np.ndarray) -> np.ndarray:
+    """The words that each suffix of the array shares with the benchmark: those of the deepest range that holds it."""
+    out = np.zeros(n, np.int64)
+    ranges = np.unique(ranges, axis=1)
+    lo, hi, words = ranges[:, np.argsort(ranges[2], kind="stable")]  # deeper ranges come later and replace
+    part = np.cumsum(hi - lo) // EXPANDED
+    for k in np.unique(part):
+        some = part == k
+        row, at = _expand(lo[some], hi[some])
+        out[at] = words[some][row]
+    return out
 
 
 def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,34 +171,40 @@ def find(texts: list[bytes | None], bench: Benchmark) -> list[tuple[int, list[tu
     _, place = _expand(begin, end + 1)  # with the 0 after each stretch
     a = ids[place]
     order = suffix_array(a, bench.longest)
-    wlo, whi = search(a, order, bench)
+    wlo, whi, ranges = search(a, order, bench)
     hit = np.flatnonzero(whi > wlo)
     if not len(hit):
         return out
-    row, at = _expand(wlo[hit], whi[hit])
-    start, suffix = order[at], hit[row]
-    where = place[start]
-    doc = np.searchsorted(starts, where, "right") - 1
-    width = bench.window[suffix]
+    # suffixes of the benchmark that open with the same window have the same range: each window is expanded once
+    windows, of = np.unique(np.stack((wlo[hit], whi[hit], bench.window[hit])), axis=1, return_inverse=True)
+    row, at = _expand(windows[0], windows[1])
+    where = place[order[at]]
     diff = np.zeros(len(ids) + 1, np.int64)
     np.add.at(diff, where, 1)
-    np.add.at(diff, where + width, -1)
+    np.add.at(diff, where + windows[2][row], -1)
     covered = np.concatenate(([0], (np.cumsum(diff[:-1]) > 0).astype(np.int8), [0]))
     edge = np.flatnonzero(np.diff(covered))
-    pairs = np.unique(np.stack((doc, bench.item[suffix])), axis=1)
-    # a hit with an equal word before it is part of a longer one; both arrays end with 0, also read before their start
-    before = a[start - 1]
-    head = np.flatnonzero((before == 0) | (before != bench.ids[suffix - 1]))
-    best = np.zeros(len(counts), np.int64)
-    np.maximum.at(best, doc[head], match_lengths(a, start[head], bench, suffix[head], width[head]))
     spans: dict[int, list] = {}
     for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
         d = int(np.searchsorted(starts, s, "right") - 1)
         spans.setdefault(d, []).append((s - int(starts[d]), e - int(starts[d])))
+    best = np.zeros(len(counts), np.int64)
+    shared = longest_matches(len(order), ranges)
+    some = np.flatnonzero(shared)
+    np.maximum.at(best, np.searchsorted(starts, place[order[some]], "right") - 1, shared[some])
+    # the items of a window, and of every set of windows that a text holds, are listed once
+    own = np.unique(np.stack((of.ravel(), bench.item[hit])), axis=1)
+    items_of = np.split(own[1], np.searchsorted(own[0], np.arange(1, windows.shape[1])))
+    held = np.unique(np.stack((np.searchsorted(starts, where, "right") - 1, row)), axis=1)
+    docs, first = np.unique(held[0], return_index=True)
+    known: dict[bytes, list[str]] = {}
     items: dict[int, list] = {}
-    for d, i in pairs.T.tolist():
-        items.setdefault(d, []).append(bench.names[i])
-    return [(n, spans.get(d, []), sorted(set(items.get(d, []))), longest) for d, (n, longest) in enumerate(zip(counts, best.tolist(), strict=True))]
+    for d, mine in zip(docs.tolist(), np.split(held[1], first[1:]), strict=True):
+        key = mine.tobytes()
+        if key not in known:
+            known[key] = sorted({bench.names[i] for i in np.unique(np.concatenate([items_of[w] for w in mine])).tolist()})
+        items[d] = known[key]
+    return [(n, spans.get(d, []), items.get(d, []), longest) for d, (n, longest) in enumerate(zip(counts, best.tolist(), strict=True))]
 
 
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -208,8 +231,10 @@ def matches(docs: DataFrame, bench: DataFrame, text: str = "text", *, item: str
 
     A span counts words, end exclusive; spans that touch or overlap are merged. Null and empty texts
     have no words and no hits; null and empty items are ignored; a null item_id is the empty string;
-    rows of one item_id are one item. Columns with the names of the appended ones are replaced. A
-    benchmark beyond BLOCK_BYTES is searched block by block, the rows being written between passes.
+    rows of one item_id are one item. Every row is judged by itself: repeated rows get equal values, and
+    items that share a window are all hit by it. Very long texts are searched whole, in memory proportional to
+    them. Columns with the names of the appended ones are replaced. A benchmark beyond BLOCK_BYTES is searched
+    block by block, the rows being written between passes.
     """
     out = docs
     for k, (blocks, items) in enumerate(_blocks(bench, item, item_text)):
@@ -249,7 +274,8 @@ def _merged(spans: str):
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", **names) -> DataFrame:
-    """The rows without any benchmark window, with the columns of ``docs``."""
+    """The rows without any benchmark window, with the columns of ``docs``; nulls, empties and repeats as in ``matches``:
+    a text without words stays, repeated rows stay or go together, an empty benchmark removes nothing."""
     return matches(docs, bench, text, **names).where(F.size("hit_items") == 0).select(*docs.columns)
 
 

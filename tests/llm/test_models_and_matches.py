@@ -250,3 +250,30 @@ def test_stored_trees_take_batch_after_batch(spark, tmp_path, monkeypatch):
         assert {i: x.text for i, x in got.items()} == now
         assert all(x.n == len(count(now[i] or "")) and x.c0 == "own" for i, x in got.items())
         assert all(got[i].n_reencoded == 0 for i in now if i % 3 == batch)
+
+
+def test_items_that_open_alike_are_searched_once():
+    """Thousands of items and texts with one opening: work by window, not by pairs of items and places."""
+    import resource
+    import time
+
+    opening = " ".join(f"o{i}" for i in range(10))
+    items = [(f"i{i:04d}", f"{opening} a{i} b{i}".encode()) for i in range(3000)]
+    texts = [f"{opening} c{i} a{i}".encode() for i in range(3000)]
+    bench = decontaminate.Benchmark(items)
+    before, t = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.perf_counter()
+    got = decontaminate.find(texts, bench)
+    assert time.perf_counter() - t < 6 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+    names = [i for i, _ in items]
+    assert all(x == (12, [(0, 10)], names, 10) for x in got)
+    assert all(x[2] is got[0][2] for x in got)  # the list of a set of windows is made once
+
+
+def test_repeated_rows_and_a_very_long_text_get_their_own_hits(spark):
+    quoted = " ".join(f"q{i}" for i in range(12))
+    long = "word " * 1_000_000 + quoted + " tail" * 500_000
+    docs = spark.createDataFrame([(1, quoted), (1, quoted), (2, long), (3, "clean")], DOCS)
+    bench = spark.createDataFrame([(1, quoted), (1, quoted), (2, quoted + " more")], "item_id long, text string")
+    got = sorted((x.doc_id, x.n_words, [tuple(s) for s in x.hit_spans], x.hit_items, x.longest_match) for x in decontaminate.matches(docs, bench).collect())
+    one = (1, 12, [(0, 12)], ["1", "2"], 12)
+    assert got == [one, one, (2, 1_500_012, [(1_000_000, 1_000_012)], ["1", "2"], 12), (3, 1, [], [], 0)]
