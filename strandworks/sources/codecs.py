@@ -100,21 +100,6 @@ def plink_fam(samples: DataFrame, duplicate_fid: bool = False) -> DataFrame:
     return samples.select((F.col("iid") if duplicate_fid else F.lit("0")).alias("fid"), "iid", zero.alias("pat"), zero.alias("mat"), zero.alias("sex"), F.lit(-9).cast("long").alias("pheno"))
 
 
-def read_bed(spark: SparkSession, path: str, samples: int) -> DataFrame:
-    """(snp, byte_idx, byte) of a .bed file."""
-    width = -(-samples // 4)
-
-    def run(it):
-        for pdf in it:
-            for content in pdf["content"]:
-                if bytes(content[:3]) != PLINK_MAGIC:
-                    raise ValueError("not a SNP-major .bed file")
-                b = np.frombuffer(content, np.uint8, offset=3)
-                yield pd.DataFrame({"snp": np.arange(len(b)) // width, "byte_idx": np.arange(len(b)) % width, "byte": b.astype(np.int64)})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "snp long, byte_idx long, byte long")
-
-
 # --- packed files ---------------------------------------------------------------------------------
 
 def encode_assignments(z: DataFrame) -> DataFrame:
@@ -213,8 +198,3 @@ def filelist_union(tables: list[DataFrame]) -> DataFrame:
 def same_samples(a: DataFrame, b: DataFrame) -> bool:
     ids = [x.select("sample").distinct() for x in (a, b)]
     return ids[0].exceptAll(ids[1]).union(ids[1].exceptAll(ids[0])).limit(1).count() == 0
-
-
-def grm_files(grm: DataFrame, denominator: float, path: str) -> None:
-    """Write the lower triangle as rows in (i, j) order with the denominator beside it."""
-    grm.where("i >= j").withColumn("n", F.lit(denominator)).repartitionByRange("i", "j").sortWithinPartitions("i", "j").write.parquet(path)

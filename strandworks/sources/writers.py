@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandworks.functions import bits as B
-from strandworks.sources.codecs import MAGIC
+from strandworks.sources.codecs import MAGIC, PLINK_MAGIC
 
 #: Fixed header of window files.
 WIN_HEADER = ["#CHROM", "START", "END", "LENGTH", "SIZE", "K"]
@@ -63,6 +63,14 @@ def write_assignments(z: DataFrame, prefix: str) -> list[str]:
     return _each(rows, ["window"], prefix, ".bca", MAGIC)
 
 
+def write_bed(bed: DataFrame, row: list[str], path: str) -> str:
+    """One SNP-major .bed file of (row..., byte_idx, byte), in the order of ``row``."""
+    v = F.sort_array(F.collect_list(F.struct("byte_idx", "byte")))
+    content = F.unhex(F.array_join(F.transform(v, lambda x: F.lpad(F.hex(x["byte"]), 2, "0")), ""))
+    rows = bed.groupBy(*row).agg(content.alias("content")).orderBy(*row).select("content").toLocalIterator()
+    return put(bed.sparkSession, path, itertools.chain([PLINK_MAGIC], (bytes(r.content) for r in rows)))
+
+
 def write_samples(samples: DataFrame, path: str) -> str:
     """The ids, in the order of samples. samples: (sample, iid)."""
     return _lines(samples.select("sample", F.col("iid").alias("line")), ["sample"], path)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandworks.operators import admix, chains, clustering, lai, linalg, stats, windows
 from strandworks.plans import verbs
-from strandworks.sources import codecs
+from strandworks.sources import codecs, records
 
 from tests.test_operators import _model, rows
 
@@ -70,7 +70,7 @@ def test_bed_file_round_trip(spark, tmp_path):
         for k in range(0, 5, 4):
             body.append(sum(int(c) << (2 * i) for i, c in enumerate(row[k : k + 4])))
     (tmp_path / "x.bed").write_bytes(codecs.PLINK_MAGIC + bytes(body))
-    got = codecs.plink_decode(codecs.read_bed(spark, str(tmp_path / "x.bed"), 5), ["snp"], 5)
+    got = codecs.plink_decode(records.read_bed(spark, str(tmp_path / "x.bed"), 5), ["snp"], 5)
     assert {(r.snp, r["sample"]): r.dosage for r in got.collect()} == {(i, j): int(dosage[i, j]) for i in range(2) for j in range(5)}
 
 
