@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandworks.functions import bits as B
 from strandworks.functions.numeric import clamp, logsumexp
-from strandworks.functions.store import written
+from strandworks.functions.store import scratch, written
 from strandworks.operators import admix, clustering, dedup, lai, linalg, pheno, predict, stats, windows
 from strandworks.registry import CW, CWC, em, qn, query
-from strandworks.sources import codecs
+from strandworks.sources import bcf, codecs, records, writers
 from strandworks.sources import fixtures as fx
 
 W, H = '"window"', "hap long, sample long"
@@ -171,6 +172,49 @@ def _(t):
     return t.p.withColumn("file", F.concat(F.lit("out."), F.col("chrom")))
 
 
+# --- binary files by byte ranges: written, then read by several tasks ---
+
+@query("scan_assignments_ranges", Z, "SELECT * FROM z")
+def _(t):
+    folder = scratch(t.spark, "bca")
+    writers.write_assignments(t.z, f"{folder}/x")
+    return records.read_assignments(t.spark, folder, t.h.select("hap").distinct().count(), partition_bytes=256)
+
+
+@query("scan_bed_ranges", "chrom string, snp long, sample long, dosage long", GENO + ";; SELECT * FROM g")
+def _(t):
+    g = codecs.genotypes(fx.haplotypes(t.spark, t.sf, True))
+    path = writers.write_bed(codecs.plink_encode(g, ["chrom", "snp"]), ["chrom", "snp"], scratch(t.spark, "bed") + "/x.bed")
+    bed = records.read_bed(t.spark, path, n := g.select("sample").distinct().count(), partition_bytes=1024)
+    axis = t.sn.withColumn("row", F.row_number().over(Window.orderBy("chrom", "snp")) - 1)  # a row per SNP
+    return codecs.plink_decode(bed.withColumnRenamed("snp", "row"), ["row"], n).join(axis, "row")
+
+
+@query("scan_medians_ranges", f"{CWC}, j long, allele long", "SELECT *, (bits >> j) & 1 AS allele FROM md, (SELECT unnest(range(0, 8)) AS j)")
+def _(t):
+    w = _k(t).withColumn("size", F.lit(fx.SIZE).cast("long"))
+    paths = writers.write_medians(t.md, w, scratch(t.spark, "bcm") + "/x")
+    return records.read_medians(_files(t, paths), w, partition_bytes=100)
+
+
+@query("scan_loglik_ranges", f"{CW}, c1 long, c2 long, ll double", f"SELECT chrom, {W}, c1, c2, round(ll::FLOAT::DOUBLE, 4) AS ll FROM ll")
+def _(t):
+    ll = clustering.median_loglik(t.counts, clustering.medians_of(t.near, fx.SIZE))
+    paths = writers.write_loglik(ll, scratch(t.spark, "blk") + "/x")
+    k = t.near.groupBy("chrom", "window").agg(F.count_distinct("cluster").alias("k"))
+    return records.read_loglik(_files(t, paths), k, partition_bytes=300).withColumn("ll", F.round("ll", 4))
+
+
+def _files(t, paths):
+    return t.spark.createDataFrame([(p,) for p in paths], "file string").withColumn("chrom", records.chromosome_of("file"))
+
+
+@query("scan_bcf", HAPS, "SELECT * FROM hx")
+def _(t):
+    path = writers.write_bcf(fx.haplotypes(t.spark, t.sf, True), scratch(t.spark, "bcf") + "/x.bcf", block_bytes=3000)
+    return bcf.read_bcf(t.spark, path, partition_bytes=2048)
+
+
 # --- windows ---
 
 WT = f"{CW}, snp long, pos long, j long"

@@ -105,6 +105,16 @@ def test_bcf_by_ranges(spark, tmp_path, size, partition_bytes, samples):
     assert len(got) == len(want) and {(r.chrom, r.pos, r.hap): r.allele for r in got} == want
 
 
+def test_bcf_round_trip(spark, tmp_path):
+    r = random.Random(1)
+    rows = [(c, 10 + j, h, h // 2, r.choice([0, 1, None])) for c in ("chr1", "chr2") for j in range(30) for h in range(8)]
+    h = spark.createDataFrame(rows, "chrom string, pos long, hap long, sample long, allele long")
+    path = writers.write_bcf(h, str(tmp_path / "x.bcf"), block_bytes=150)
+    got = bcf.read_bcf(spark, path, partition_bytes=300)
+    assert got.rdd.getNumPartitions() >= 4 and gzip.decompress((tmp_path / "x.bcf").read_bytes())[:3] == b"BCF"
+    assert sorted(map(repr, ((x.chrom, x.pos, x.hap, x["sample"], x.allele) for x in got.where("phased").collect()))) == sorted(map(repr, rows))
+
+
 def test_bcf_that_is_not_in_blocks(spark, tmp_path):
     data, want = study(5, 2, 1)
     for name, content in (("plain", data), ("gzip", gzip.compress(data))):
