@@ -1,7 +1,8 @@
 """Ancestry proportions by expectation-maximisation: the steps as joins and aggregates.
 
-z: (chrom, window, hap, sample, cluster). p: (chrom, window, cluster, k, p). q: (unit, k, q), where the
-unit is ``sample`` for genome-wide runs and ``hap`` for local ancestry.
+z: (chrom, window, hap, sample, cluster), or its counts as ``seen`` gives them. p: (chrom, window, cluster, k, p).
+q: (unit, k, q), where the unit is ``sample`` for genome-wide runs, ``hap`` for local ancestry, and any other
+column of z, such as a pair of chromosome and haplotype, where a unit has proportions of its own.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandworks.functions.numeric import QN_HIGH, QN_LOW, clamp
+from strandworks.functions.store import release, written
 
 CELL = ["chrom", "window", "cluster"]
 
@@ -37,14 +39,18 @@ def check_p(p: DataFrame) -> DataFrame:
     return df.withColumn("ok", F.abs(F.col("total") - 1) <= 1e-3)
 
 
+def seen(z: DataFrame, unit: str = "sample") -> DataFrame:
+    """(chrom, window, cluster, unit, n): how often a unit has a cluster; steps over the same z need it once."""
+    return z if "n" in z.columns else z.groupBy(*CELL, unit).agg(F.count("*").alias("n"))
+
+
 def joint(z: DataFrame, p: DataFrame, q: DataFrame, unit: str = "sample") -> DataFrame:
     """(chrom, window, cluster, hap, unit, n, f, v): one row for each haplotype with f = sum of p*q and the
     array v of (k, p, q). Haplotypes of one unit with the same cluster are counted once, n times."""
     pa = p.groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("k", "p"))).alias("pa"))
     qa = q.groupBy(unit).agg(F.sort_array(F.collect_list(F.struct("k", "q"))).alias("qa"))
-    seen = z.groupBy(*CELL, unit).agg(F.count("*").alias("n"))
     v = F.expr("zip_with(pa, qa, (a, b) -> named_struct('k', a.k, 'p', a.p, 'q', b.q))")
-    df = seen.join(pa, CELL).join(qa, unit).withColumn("v", v)
+    df = seen(z, unit).join(pa, CELL).join(qa, unit).withColumn("v", v)
     return df.withColumn("f", F.expr("aggregate(v, 0D, (s, x) -> s + x.p * x.q)")).select(*CELL, unit, "n", "f", "v")
 
 
@@ -86,8 +92,36 @@ def q_step(z, p, q, unit="sample") -> DataFrame:
     return project_q(df.select(unit, "k", (F.col("q") * F.coalesce("acc", F.lit(0.0)) / F.col("w")).alias("q")), unit)
 
 
-def em_step(z, p, q) -> tuple[DataFrame, DataFrame]:
-    return p_step(z, p, q), q_step(z, p, q)
+def em_sums(z, p, q, unit="sample", fixed_p: bool = False) -> DataFrame:
+    """(cell, unit, k, n, ap, aq): sums of q / f by cell and source (unit null) and of p / f by unit and source (cell
+    null), with the number of haplotypes of each, from one pass over ``joint``. fixed_p: the second kind only."""
+    df = joint(z, p, q, unit).select(*CELL, unit, "n", "f", F.inline("v"))
+    sets = [[unit, "k"]] if fixed_p else [[F.col(c) for c in CELL] + [F.col("k")], [F.col(unit), F.col("k")]]
+    what = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("q") / F.col("f")).alias("ap"), F.sum(F.col("n") * F.col("p") / F.col("f")).alias("aq")]
+    if fixed_p:
+        return df.groupBy(*sets[0]).agg(*what)
+    return df.groupingSets(sets, *CELL, unit, "k").agg(*what)
+
+
+def em_step(z, p, q, unit="sample", fixed_p: bool = False, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """New p and q as written tables: each times its sums over the haplotypes they were taken from, clamped, normalised.
+
+    A window's haplotypes are those of all of its cells, a unit's alleles those that it has in z, so the same
+    step serves batches of windows and units with windows of their own.
+    """
+    both = sums = written(em_sums(z, p, q, unit, fixed_p))
+    own = both if fixed_p else both.where("cluster is null")
+    q1 = q.join(own.select(unit, "k", "n", "aq"), [unit, "k"], "left").select(unit, "k", (F.col("q") * F.coalesce("aq", F.lit(0.0)) / F.coalesce("n", F.lit(1))).alias("q"))
+    q1 = project_q(q1, unit)
+    q1 = written(q1 if labels is None else supervised_q(q1, labels))
+    p1 = p
+    if not fixed_p:
+        cells = both.where("cluster is not null").select(*CELL, "k", "n", "ap")
+        haps = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("chrom", "window", "k"))
+        df = p.join(cells, [*CELL, "k"], "left").withColumn("h", haps)
+        p1 = written(project_p(df.select(*CELL, "k", (F.col("p") * F.coalesce("ap", F.lit(0.0)) / F.col("h")).alias("p"))))
+    release(sums)
+    return p1, q1
 
 
 def qn_factor(x0: DataFrame, x1: DataFrame, x2: DataFrame, key: list[str], value: str) -> DataFrame:
@@ -103,14 +137,35 @@ def jump(x1: DataFrame, x2: DataFrame, c: DataFrame, key: list[str], value: str)
     return df.select(*key, ((1 - F.col("c")) * F.col("a") + F.col("c") * F.col("b")).alias(value))
 
 
-def quasi_step(z, p, q, fixed_p: bool = False, unit: str = "sample", labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Two steps and an accelerated jump, clamped and normalised. fixed_p: only q moves."""
-    super_ = (lambda x: supervised_q(x, labels)) if labels is not None else (lambda x: x)
-    pk, qk = [*CELL, "k"], [unit, "k"]
-    p1, q1 = (p, super_(q_step(z, p, q, unit))) if fixed_p else (p_step(z, p, q, unit), super_(q_step(z, p, q, unit)))
-    p2, q2 = (p, super_(q_step(z, p, q1, unit))) if fixed_p else (p_step(z, p1, q1, unit), super_(q_step(z, p1, q1, unit)))
-    new_q = super_(project_q(jump(q1, q2, qn_factor(q, q1, q2, qk, "q"), qk, "q"), unit))
-    new_p = p if fixed_p else project_p(jump(p1, p2, qn_factor(p, p1, p2, pk, "p"), pk, "p"))
+def _accelerated(x0: DataFrame, x1: DataFrame, x2: DataFrame, key: list[str], value: str, finish, by: str | None = None) -> DataFrame:
+    """finish(the accelerated value of every key from three steps), written; one table holds the three. by: a field of
+    the key (chrom, of a pair) that tells problems apart, each with a factor of its own."""
+    df = x0.select(*key, F.col(value).alias("a")).join(x1.select(*key, F.col(value).alias("b")), key).join(x2.select(*key, F.col(value).alias("c")), key)
+    df = written(df.withColumn("problem", F.lit(0) if by is None else F.col(by)))
+    u, v = F.col("b") - F.col("a"), (F.col("c") - F.col("b")) - (F.col("b") - F.col("a"))
+    s = df.groupBy("problem").agg(F.sum(u * u).alias("uu"), F.sum(u * v).alias("uv"))
+    c = F.when(F.col("uv") == 0, F.lit(QN_LOW)).otherwise(clamp(-F.col("uu") / F.when(F.col("uv") != 0, F.col("uv")), QN_LOW, QN_HIGH))
+    factor = s.select("problem", c.alias("factor"))  # a row per problem
+    out = df.join(F.broadcast(factor), "problem").select(*key, ((1 - F.col("factor")) * F.col("b") + F.col("factor") * F.col("c")).alias(value))
+    out = written(finish(out))
+    release(df)
+    return out
+
+
+def quasi_step(z, p, q, fixed_p: bool = False, unit: str = "sample", labels: DataFrame | None = None, by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Two steps and an accelerated jump, clamped and normalised, as written tables. fixed_p: only q moves. by: a
+    field of the unit (``unit.chrom``) that tells problems apart, each of which jumps by a factor of its own.
+
+    Each step is one pass over z; the tables between are deleted.
+    """
+    counts = z if "n" in z.columns else written(seen(z, unit))
+    p1, q1 = em_step(counts, p, q, unit, fixed_p, labels)
+    p2, q2 = em_step(counts, p1, q1, unit, fixed_p, labels)
+    super_ = (lambda x: x) if labels is None else (lambda x: supervised_q(x, labels))
+    new_q = _accelerated(q, q1, q2, [unit, "k"], "q", lambda x: super_(project_q(x, unit)), by)
+    new_p = p if fixed_p else _accelerated(p, p1, p2, [*CELL, "k"], "p", project_p)
+    for df in (q1, q2) if fixed_p else (q1, q2, p1, p2):
+        release(df)
     return new_p, new_q
 
 

@@ -759,6 +759,34 @@ def _(t):
     return admix.check_p(t.p.withColumn("p", F.expr("if(k = 1 and window = 2, p * 1.01D, p)")))
 
 
+_UNIT = ', zu AS (SELECT *, chrom || \':\' || hap AS u FROM z), qu AS (SELECT u, k, q FROM (SELECT DISTINCT u, sample FROM zu) JOIN qf USING (sample))'
+_own = lambda n, q: em(n, "pf", q, "zu", "u", f"(SELECT count(DISTINCT {W}) FROM z WHERE chrom = 'chr1')")
+CHROMOSOME = _UNIT + _own("a", "qu") + _own("b", "aq") + _own("c", "bq") + """,
+fc AS (SELECT split_part(a.u, ':', 1) AS chrom, greatest(1.0::DOUBLE, least(-sum((b.q - a.q) * (b.q - a.q)) / sum((b.q - a.q) * ((c.q - b.q) - (b.q - a.q))), 96.0::DOUBLE)) AS c
+  FROM aq a JOIN bq b USING (u, k) JOIN cq c USING (u, k) GROUP BY ALL),
+j0 AS (SELECT u, k, greatest(1e-5::DOUBLE, least((1 - fc.c) * b.q + fc.c * c.q, 1 - 1e-5::DOUBLE)) AS q FROM bq b JOIN cq c USING (u, k) JOIN fc ON fc.chrom = split_part(u, ':', 1)),
+jq AS (SELECT u, k, q / sum(q) OVER (PARTITION BY u) AS q FROM j0)""" + _own("d", "jq")
+
+
+@query("chromosome_q", "chrom string, hap long, k long, q double", CHROMOSOME + ";; SELECT split_part(u, ':', 1) AS chrom, split_part(u, ':', 2)::BIGINT AS hap, k, q FROM dq")
+def _(t):
+    from strandworks.plans import verbs
+
+    return verbs.chromosome_q(written(t.z), t.p, t.qh, iterations=0)
+
+
+@query("em_joint_step", Q, TWO + ";; SELECT * FROM bq")
+def _(t):
+    counts = written(admix.seen(t.z))
+    return admix.em_step(counts, *admix.em_step(counts, t.p, t.q))[1]
+
+
+@query("em_joint_step_p", P, TWO + ";; SELECT * FROM bp")
+def _(t):
+    counts = written(admix.seen(t.z))
+    return admix.em_step(counts, *admix.em_step(counts, t.p, t.q))[0]
+
+
 # --- local ancestry ---
 
 E = "chrom string, hap long, block long, k long, e double"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandworks.functions import bits
 from strandworks.functions.numeric import clamp
-from strandworks.functions.store import written
+from strandworks.functions.store import release, written
 from strandworks.operators import admix as em
 from strandworks.operators import clustering, dedup, lai, linalg, predict as prediction, stats, windows
 
@@ -163,69 +163,148 @@ def admix(
     log-likelihood gains less than the tolerance. Everything is one row per parameter; a step's tables
     are cut from their lineage before the next.
     """
-    value = lambda p, q: em.loglik(z, p, q, unit).first()[0]
-    super_ = (lambda x: em.supervised_q(x, labels)) if labels is not None else (lambda x: x)
-
-    def step(p, q):
-        return (p if projection else written(em.p_step(z, p, q, unit))), written(super_(em.q_step(z, p, q, unit)))
+    counts = written(em.seen(z, unit))
+    value = lambda p, q: _loglik(counts, p, q, unit)
 
     def quasi(p, q, part=None):
+        if part is None or projection:
+            return em.quasi_step(counts if part is None else part, p, q, projection, unit, labels)
         # the factor of a batch, like its steps, is of the batch's windows alone
-        new_p, new_q = em.quasi_step(z if part is None else part, p if part is None or projection else em.of_windows(p, part), q, projection, unit, labels)
-        if part is not None and not projection:
-            key = ["chrom", "window"]
-            new_p = new_p.unionByName(p.join(part.select(*key).distinct(), key, "left_anti"))
-        return (new_p if projection else written(new_p)), written(new_q)
+        new_p, new_q = em.quasi_step(part, em.of_windows(p, part), q, projection, unit, labels)
+        key = ["chrom", "window"]
+        whole = written(new_p.unionByName(p.join(part.select(*key).distinct(), key, "left_anti")))
+        release(new_p)
+        return whole, new_q
+
+    step = lambda p, q: em.em_step(counts, p, q, unit, projection, labels)
+    given = p, q
+
+    def move(how, *more):
+        """The next p and q; those before are deleted, unless the caller gave them."""
+        nonlocal p, q
+        old = p, q
+        p, q = how(p, q, *more)
+        for df in old:
+            if all(df is not x for x in (*given, p, q)):
+                release(df)
 
     n_windows = z.select("chrom", "window").distinct().count()
     batches = max(1, min(batches, n_windows))
-    p, q = step(p, q)
-    p, q = quasi(p, q)
-    p, q = step(p, q)
-    before = float("-inf")
+    before = best = value(p, q)  # of full steps, and of the batches of this size
+    for how in (step, quasi, step):
+        move(how)
     for it in range(1, iterations + 1):
         if batches > 1:
             for b in range(batches):
-                part = em.batch_of(z, b, batches, it)
+                part = em.batch_of(counts, b, batches, it)
                 if part.limit(1).count():
-                    p, q = quasi(p, q, part)
-            p, q = quasi(p, q)
+                    move(quasi, part)
+            move(quasi)
         else:
-            p, q = quasi(p, q)
-            p, q = step(p, q)
+            for how in (step, quasi) if projection else (quasi, step):
+                move(how)
         if it % check == 0:
             now = value(p, q)
-            if now < before + tolerance:
-                if batches == 1:
-                    break
-                batches, before = batches // 2, float("-inf")
-                p, q = quasi(p, q)
+            if batches > 1:
+                if now < best + tolerance:
+                    batches, best, before = batches // 2, float("-inf"), now
+                    move(quasi)
+                else:
+                    best = now
+            elif now < before + tolerance:
+                break
             else:
                 before = now
     return p, q, value(p, q)
 
 
-def chromosome_q(z: DataFrame, p: DataFrame, q: DataFrame, **options) -> DataFrame:
-    """(chrom, hap, k, q): proportions of every haplotype on each chromosome, by projection on p from q."""
-    out = None
-    for row in z.select("chrom").distinct().orderBy("chrom").collect():  # a row per chromosome
-        on = F.col("chrom") == row.chrom
-        _, own, _ = admix(z.where(on), p.where(on), q, projection=True, unit="hap", **options)
-        own = own.select(F.lit(row.chrom).alias("chrom"), "hap", "k", "q")
-        out = own if out is None else out.unionByName(own)
-    return out
+def _loglik(counts: DataFrame, p: DataFrame, q: DataFrame, unit: str) -> float:
+    """Log-likelihood over cluster alleles and haplotypes, of counted z."""
+    alleles = p.select("chrom", "window", "cluster").distinct().count()
+    total, haps = em.joint(counts, p, q, unit).groupBy("chrom", "window").agg(F.sum(F.col("n") * F.ln("f")).alias("l"), F.sum("n").alias("h")).agg(F.sum("l"), F.max("h")).first()
+    return total / (alleles * haps)
+
+
+def chromosome_q(
+    z: DataFrame, p: DataFrame, q: DataFrame, *, iterations: int = 1000, tolerance: float = 1e-9, batches: int = 8, check: int = 5,
+) -> DataFrame:
+    """(chrom, hap, k, q): proportions of every haplotype on each chromosome, by projection on p from q: (hap, k, q).
+
+    Every chromosome is a problem of its own, with its own factor, batches and end, but all of them move in the
+    same passes: the unit is the pair of chromosome and haplotype, and a chromosome that is done is masked. What
+    the driver holds is a row per chromosome.
+    """
+    unit = F.struct("chrom", "hap").alias("unit")
+    counts = written(em.seen(z.select("chrom", "window", "cluster", unit), "unit"))
+    own = z.select("chrom", "hap").distinct().join(q, "hap").select(unit, "k", "q")
+    now = written(own)
+    windows_of = {r.chrom: r.n for r in counts.groupBy("chrom").agg(F.count_distinct("window").alias("n")).collect()}  # a row per chromosome
+    if not windows_of:
+        return own.select("unit.chrom", "unit.hap", "k", "q")
+    alleles = {r.chrom: r.n for r in p.select("chrom", "window", "cluster").distinct().groupBy("chrom").agg(F.count("*").alias("n")).collect()}
+
+    def value(chroms):
+        got = em.joint(counts.where(F.col("chrom").isin(chroms)), p, now, "unit").groupBy("chrom", "window").agg(F.sum(F.col("n") * F.ln("f")).alias("l"), F.sum("n").alias("h"))
+        return {r.chrom: r.l / (alleles[r.chrom] * r.h) for r in got.groupBy("chrom").agg(F.sum("l").alias("l"), F.max("h").alias("h")).collect()}
+
+    def moved(chroms, how, part=None):
+        """q after a step of these chromosomes; that of others stays."""
+        here, mine = F.col("chrom").isin(chroms), F.col("unit.chrom").isin(chroms)
+        new = how((counts if part is None else part).where(here), now.where(mine))
+        out = written(new.unionByName(now.where(~mine)))
+        release(new)
+        release(now)
+        return out
+
+    quasi = lambda z, q: em.quasi_step(z, p, q, True, "unit", by="unit.chrom")[1]
+    step = lambda z, q: em.em_step(z, p, q, "unit", True)[1]
+    live = {c: max(1, min(batches, n)) for c, n in windows_of.items()}
+    best = value(list(live))
+    before = dict(best)
+    for how in (step, quasi, step):
+        now = moved(list(live), how)
+    for it in range(1, iterations + 1):
+        several = {c: n for c, n in live.items() if n > 1}
+        for b in range(max(several.values(), default=0)):
+            chroms = [c for c, n in several.items() if b < n]
+            of = F.create_map(*[F.lit(x) for c in chroms for x in (c, several[c])])
+            part = counts.where(F.col("chrom").isin(chroms)).where(F.pmod(F.xxhash64("chrom", "window", F.lit(it)), of[F.col("chrom")]) == b)
+            filled = [r.chrom for r in part.select("chrom").distinct().collect()]
+            if filled:
+                now = moved(filled, quasi, part)
+        now = moved(list(live), quasi)
+        if single := [c for c, n in live.items() if n == 1]:
+            now = moved(single, step)
+        if it % check == 0:
+            halved = []
+            for c, got in value(list(live)).items():
+                if live[c] > 1:
+                    if got < best[c] + tolerance:
+                        live[c], best[c], before[c] = live[c] // 2, float("-inf"), got
+                        halved.append(c)
+                    else:
+                        best[c] = got
+                elif got < before[c] + tolerance:
+                    del live[c]
+                else:
+                    before[c] = got
+            if halved:
+                now = moved(halved, quasi)
+            if not live:
+                break
+    return now.select("unit.chrom", "unit.hap", "k", "q")
 
 
 def local_ancestry(
     z: DataFrame, p: DataFrame, q: DataFrame, meta: DataFrame, *, block: int = 1, min_length: float | None = None, max_length: float | None = None,
     quantile: float | None = None, alpha: float | None = None, alpha_min: float = 4, alpha_max: float = 9, alpha_num: int = 5,
     loglik: DataFrame | None = None, use_viterbi: bool = False, simple: bool = False, posteriors: bool = False,
-    genome_wide: bool = True, **admix_options,
+    genome_wide: bool = False, **admix_options,
 ) -> DataFrame:
     """(chrom, window, hap, k[, prob]): the ancestry of every haplotype along the windows. q: (hap, k, q).
 
-    genome_wide=False: every chromosome's own proportions are estimated first, from its windows, with p
-    fixed and q as the start; admix_options (iterations, tolerance, batches, check) are for that.
+    Every chromosome's own proportions are estimated first, from its windows, with p fixed and q as the
+    start; admix_options (iterations, tolerance, batches, check) are for that. genome_wide: q stays as it is.
     """
     if not genome_wide:
         q = chromosome_q(z, p, q, **admix_options)

@@ -25,7 +25,7 @@ def test_admix_and_local_ancestry(spark):
     meta = spark.createDataFrame([("c", w, 10 + w) for w in range(6)], "chrom string, window long, length long")
     qh = z.select("hap", "sample").distinct().join(q, "sample").select("hap", "k", "q")
     for more in ({"alpha": 0.5, "use_viterbi": True}, {"posteriors": True, "block": 4}, {"quantile": 0.5, "simple": True}):
-        path = verbs.local_ancestry(z, p, qh, meta, **more)
+        path = verbs.local_ancestry(z, p, qh, meta, genome_wide=True, **more)
         assert path.count() == 12 * 6 and path.where("k not in (0, 1)").count() == 0
 
 
@@ -146,7 +146,7 @@ def test_chromosomes_have_their_own_proportions(spark):
     own = verbs.chromosome_q(both, p2, qh, iterations=1, batches=1)
     assert own.count() == 2 * qh.count() and own.where("chrom = 'c'").join(own.where("chrom = 'd'").select("hap", "k", F.col("q").alias("r")), ["hap", "k"]).where("abs(q - r) > 1e-6").count() > 0
     meta = spark.createDataFrame([(c, w, 10 + w) for c in "cd" for w in range(6)], "chrom string, window long, length long")
-    path = verbs.local_ancestry(both, p2, qh, meta, genome_wide=False, iterations=1, batches=1, alpha=0.5)
+    path = verbs.local_ancestry(both, p2, qh, meta, iterations=1, batches=1, alpha=0.5)
     assert path.count() == 2 * 12 * 6
 
 
@@ -179,3 +179,39 @@ def test_wide_windows_in_the_clustering_kernel():
     z, m = clustering.dp_medians(x, np.ones(len(x), np.int64), clustering.Settings(150, 0.1, min_mac=1))
     near = (x[:, None, :] != m[None]).sum(2)
     assert len(set(z)) == 3 and (near[np.arange(len(x)), z] == near.min(1)).all()
+
+
+@pytest.mark.parametrize("batches, iterations", [(2, 2), (1, 0)])
+def test_chromosomes_move_together_as_they_would_alone(spark, batches, iterations):
+    z, p, q = _model(spark)
+    z = z.unionByName(z.withColumn("chrom", F.lit("d")).withColumn("cluster", (F.col("cluster") + F.col("hap") % 2) % 2).where("window < 4"))
+    p = p.unionByName(p.withColumn("chrom", F.lit("d")).where("window < 4"))
+    qh = z.select("hap", "sample").distinct().join(q, "sample").select("hap", "k", "q")
+    got = verbs.chromosome_q(z, p, qh, iterations=iterations, batches=batches, check=99)
+    for chrom in ("c", "d"):
+        on = F.col("chrom") == chrom
+        _, alone, _ = verbs.admix(z.where(on), p.where(on), qh, iterations=iterations, batches=batches, check=99, projection=True, unit="hap")
+        want = {(r.hap, r.k): r.q for r in alone.collect()}
+        have = {(r.hap, r.k): r.q for r in got.where(on).collect()}
+        assert have.keys() == want.keys() and all(abs(have[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_chromosomes_end_by_themselves(spark):
+    z, p, q = _model(spark)
+    z = z.unionByName(z.withColumn("chrom", F.lit("d")).where("window < 2"))
+    p = p.unionByName(p.withColumn("chrom", F.lit("d")).where("window < 2"))
+    qh = z.select("hap", "sample").distinct().join(q, "sample").select("hap", "k", "q")
+    got = verbs.chromosome_q(z, p, qh, iterations=6, batches=2, check=1, tolerance=1e-2)
+    assert got.groupBy("chrom").count().orderBy("chrom").collect() == [("c", 24), ("d", 24)]
+    assert all(abs(r.s - 1) < 1e-6 for r in got.groupBy("chrom", "hap").agg(F.sum("q").alias("s")).collect())
+
+
+def test_quasi_step_plan_and_files(spark):
+    """A step is one pass over z: the plan of the result reads written tables only."""
+    z, p, q = _model(spark)
+    new_p, new_q = admix.quasi_step(z, p, q)
+    for df in (new_p, new_q):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+    sums = admix.em_sums(admix.seen(z), p, q)._jdf.queryExecution().executedPlan().toString()
+    assert sums.count("Join") <= 2
