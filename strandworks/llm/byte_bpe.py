@@ -1,12 +1,8 @@
-"""Byte-level byte-pair encoding: pre-tokens found by scans over arrays, merged once per distinct one, decoded back.
-
-Every code point has a class (letter, number, white space, other). With up to two code points of
-lookahead it becomes a symbol, and a symbol is a function on the few states of the splitting pattern.
-Composition of such functions is associative: the code points of a piece are cut into blocks, the
-functions of all blocks are composed side by side, a doubling scan over the blocks gives the state in
-front of each, and a last pass flags the code points that open a pre-token. No pattern is matched
-against a text. The slices between the flags go through a cache of merged ids; the end of every token
-in bytes is kept, so that any stretch of a text can be decoded from the ids that cover it.
+"""Byte-level byte-pair encoding: pre-tokens found by scans over arrays (``pretokens``), merged once per distinct
+one, decoded back.
+
+The slices that the scans cut go through a cache of merged ids; the end of every token in bytes is kept, so
+that any stretch of a text can be decoded from the ids that cover it.
 """
 
 from __future__ import annotations
@@ -16,7 +12,7 @@ import functools
 import hashlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,120 +23,12 @@ from pyspark.sql import types as T
 
 from strandworks.llm.arrow_map import append_columns
 from strandworks.llm.common import free_name, staying, table
+from strandworks.llm.pretokens import sliced, windows
 from strandworks.llm.token_counts import PATTERN, VOCABULARY, VOCABULARY_BYTES
 
-#: Code points that are split at once, and those of a block.
-WINDOW, BLOCK = 1 << 20, 128
 #: Pre-tokens whose ids a worker remembers, and the longest of them in bytes.
 CACHE, CACHED_BYTES = 1 << 18, 64
 
-#: Classes of code points; GAP stands between the texts of a piece.
-LETTER, NUMBER, OTHER, BLANK, SPACE, GAP = range(6)
-#: Symbols: the first three classes, a space before a word, other white space before a word, white space before
-#: white space, apostrophes that open a contraction of one or two letters, and the gap.
-S_LETTER, S_NUMBER, S_OTHER, S_PREFIX, S_BLANK, S_RUN, S_SHORT, S_LONG, S_GAP = range(9)
-#: States: what a code point continues, if it can.
-FREE, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_PREFIX, IN_RUN, LAST_OF_SHORT, FIRST_OF_LONG = range(8)
-#: The letters of contractions (fixed values of the pattern).
-SHORT, LONG = "stmd", ("re", "ve", "ll")
-_GAP_CHAR = "\ud800"  # no text that was decoded holds a surrogate
-
-
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """(next state, opens a pre-token) by symbol and state."""
-    after, opens = np.zeros((9, 8), np.uint8), np.ones((9, 8), bool)
-    run = {S_LETTER: IN_LETTERS, S_NUMBER: IN_NUMBERS, S_OTHER: IN_OTHERS, S_PREFIX: AFTER_PREFIX, S_BLANK: FREE, S_RUN: IN_RUN, S_SHORT: LAST_OF_SHORT, S_LONG: FIRST_OF_LONG, S_GAP: FREE}
-    for symbol, state in run.items():
-        after[symbol] = state
-
-    def stays(symbol: int, states: dict[int, int]) -> None:
-        for state, then in states.items():
-            after[symbol, state], opens[symbol, state] = then, False
-
-    stays(S_LETTER, {IN_LETTERS: IN_LETTERS, AFTER_PREFIX: IN_LETTERS, FIRST_OF_LONG: LAST_OF_SHORT, LAST_OF_SHORT: FREE})
-    stays(S_NUMBER, {IN_NUMBERS: IN_NUMBERS, AFTER_PREFIX: IN_NUMBERS})
-    for symbol in (S_OTHER, S_SHORT, S_LONG):
-        stays(symbol, {IN_OTHERS: IN_OTHERS, AFTER_PREFIX: IN_OTHERS})
-    stays(S_RUN, {IN_RUN: IN_RUN})
-    return after, opens
-
-
-AFTER, OPENS = _tables()
-
-
-@functools.cache
-def classes() -> np.ndarray:
-    """The class of every code point, by the character tables of the library that the ids must agree with."""
-    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
-    out = np.full(0x110000, OTHER, np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (BLANK, r"\s")):
-        single = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
-        out[_points(bytes(single.encode_ordinary(every)).decode())] = kind
-    out[0x20], out[ord(_GAP_CHAR)] = SPACE, GAP
-    return out
-
-
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def _symbols(points: np.ndarray) -> np.ndarray:
-    kind = classes()[points]
-    nxt = np.append(kind[1:], GAP)
-    white, before_word = kind >= BLANK, nxt < BLANK
-    out = np.where(white, np.where(before_word, np.where(kind == SPACE, S_PREFIX, S_BLANK), S_RUN), kind).astype(np.uint8)
-    out[kind == GAP] = S_GAP
-    at = np.flatnonzero(points == ord("'"))
-    if len(at):
-        behind = np.append(points, np.zeros(2, np.uint32))
-        a, b = behind[at + 1], behind[at + 2]
-        out[at[np.isin(a, _points(SHORT))]] = S_SHORT
-        for x, y in LONG:
-            out[at[(a == ord(x)) & (b == ord(y))]] = S_LONG
-    return out
-
-
-def starts(points: np.ndarray) -> np.ndarray:
-    """Places of the code points that open a pre-token (and of the gaps)."""
-    n = len(points)
-    blocks = -(-n // BLOCK)
-    symbols = np.full(blocks * BLOCK, S_GAP, np.intp)
-    symbols[:n] = _symbols(points)
-    steps = np.ascontiguousarray(symbols.reshape(blocks, BLOCK).T) * 8
-    after, opens = AFTER.ravel(), OPENS.ravel()
-    # the function of every block, then of all up to it
-    f = np.tile(np.arange(8, dtype=np.uint8), (blocks, 1))
-    for row in steps:
-        f = after[row[:, None] + f]
-    reach = 1
-    while reach < blocks:
-        f[reach:] = np.take_along_axis(f[reach:], f[:-reach], 1)
-        reach *= 2
-    state = np.append(np.uint8(FREE), f[:-1, FREE])
-    flags = np.empty((BLOCK, blocks), bool)
-    for k, row in enumerate(steps):
-        at = row + state
-        flags[k], state = opens[at], after[at]
-    return np.flatnonzero(flags.T.ravel()[:n])
-
-
-def _cuts(text: str) -> Iterator[tuple[str, np.ndarray]]:
-    """(part, places in it that open a pre-token) of a long text. A part ends where a pre-token does: at the last
-    place that a window shows for certain, two code points before its end."""
-    at, size = 0, WINDOW
-    while at < len(text):
-        window = text[at : at + size]
-        found = starts(_points(window))
-        if at + size < len(text):
-            found = found[found <= len(window) - 3]
-            if len(found) < 2:  # a pre-token longer than the window
-                size *= 2
-                continue
-            window, found = window[: found[-1]], found[:-1]
-        yield window, found
-        at, size = at + len(window), WINDOW
-
-
 class Codec:
     """Ids of pre-tokens by the merges of a vocabulary of ranks, and bytes of ids."""
 
@@ -174,44 +62,18 @@ class Codec:
         """(ids of all texts, number of ids of each)."""
         strings = [(t or b"").decode("utf-8", "replace") for t in texts]
         ids, counts = [], np.zeros(len(strings), np.int64)
-        # texts that fit into a window are split together, longer ones by themselves
-        batch: list[int] = []
-        room = WINDOW
-
-        def flush() -> None:
-            if batch:
-                got, counts[batch] = self._together([strings[k] for k in batch])
+        for places, parts in windows(strings):
+            for part, found in parts:
+                got, n = self._together(part, found)
                 ids.append(got)
-                batch.clear()
-
-        for i, s in enumerate(strings):
-            if len(s) > room:
-                flush()
-                room = WINDOW
-            if len(s) > WINDOW:
-                parts = [self._together([part], found)[0] for part, found in _cuts(s)]
-                ids += parts
-                counts[i] = sum(map(len, parts))
-            else:
-                batch.append(i)
-                room -= len(s) + 1
-        flush()
+                counts[places] += n
         return np.concatenate(ids) if ids else np.zeros(0, np.int32), counts
 
     def _together(self, strings: list[str], found: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        points = _points(_GAP_CHAR.join(strings))
-        found = starts(points) if found is None and len(points) else found if found is not None else np.zeros(0, np.int64)
-        gap = points == ord(_GAP_CHAR)
-        width = (~gap).view(np.uint8) + (points >= 0x80).view(np.uint8) + (points >= 0x800).view(np.uint8) + (points >= 0x10000).view(np.uint8)
-        width[gap] = 0
-        offset = np.append(0, np.cumsum(width, dtype=np.int64))
-        first = np.cumsum([0, *[len(s) + 1 for s in strings]])[:-1]
-        found = found[~gap[found]]
-        data = "".join(strings).encode()
-        tokens = self.of([data[a:b] for a, b in pairwise([*offset[found].tolist(), len(data)])])
+        _, slices, until = sliced(strings, found)
+        tokens = self.of(slices)
         flat, sizes = np.frombuffer(b"".join(tokens), np.int32), np.fromiter(map(len, tokens), np.int64, len(tokens)) // 4
-        until = np.append(0, np.cumsum(sizes))[np.append(np.searchsorted(found, first), len(found))]
-        return flat, np.diff(until)
+        return flat, np.diff(np.append(0, np.cumsum(sizes))[until])
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))

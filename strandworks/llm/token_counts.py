@@ -15,8 +15,10 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from strandworks.llm import pretokens
 from strandworks.llm.arrow_map import PIECE_BYTES, append_columns
 from strandworks.llm.common import materialize, numbered, staying, table
 
@@ -39,6 +42,23 @@ VOCABULARY_BYTES, CACHE = 64 << 20, 1 << 18
 _SPLIT = regex.compile(PATTERN)
 
 
+@functools.cache
+def _odd() -> frozenset[str]:
+    """Code points of which the pattern's engine has another idea than the classes of ``pretokens``."""
+    every = "".join(map(chr, itertools.chain(range(0xD800), range(0xE000, 0x110000))))
+    own = {kind: set(regex.findall(pattern, every)) for kind, pattern in ((pretokens.LETTER, r"\p{L}"), (pretokens.NUMBER, r"\p{N}"))}
+    table_ = pretokens.classes()
+    return frozenset().union(*(own[kind] ^ {chr(c) for c in np.flatnonzero(table_ == kind)} for kind in own))
+
+
+def split(text: str) -> list[str]:
+    """The pre-tokens of a short text: by the pattern, unless a code point of it is in doubt."""
+    if text.isascii() or _odd().isdisjoint(text):
+        return _SPLIT.findall(text)
+    at = pretokens.starts(np.frombuffer(text.encode("utf-32-le"), np.uint32)).tolist()
+    return [text[a:b] for a, b in itertools.pairwise([*at, len(text)])]
+
+
 class Counter:
     """Tokens of a pre-token, remembered up to CACHE entries."""
 
@@ -46,6 +66,16 @@ class Counter:
         pairs = (line.split() for line in ranks.splitlines() if line)
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
         self.known: dict[str, int] = {}
+        self.known_bytes: dict[bytes, int] = {}
+
+    def all_bytes(self, pieces: list[bytes]) -> np.ndarray:
+        known = self.known_bytes
+        if len(known) > CACHE:
+            known.clear()
+        single = self.bpe._encode_single_piece
+        for p in set(pieces).difference(known):
+            known[p] = len(single(p))
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
     def all(self, pieces: list[str]) -> list[int]:
         known = self.known
@@ -76,7 +106,7 @@ class PieceTree:
         self.count = count
         self.encoded = 0  # pre-tokens encoded after the first build
         if leaves is None:
-            parts = self._dealt(_SPLIT.findall(text))
+            parts = self._dealt(split(text))
         else:
             parts, at = [], 0
             for chars, tokens, pieces in leaves:
@@ -112,7 +142,7 @@ class PieceTree:
             if len(after) > 1:
                 break
         out, at = [], 0
-        for p in _SPLIT.findall(text + after[:2]):
+        for p in split(text + after[:2]):
             if at >= len(text):
                 break
             out.append(p)
@@ -189,7 +219,7 @@ class PieceTree:
             whole = last == len(self.parts) - 1
             if begin + length > end or whole:
                 joined = "".join(old)
-                made = _SPLIT.findall(joined[: start - begin] + new + joined[end - begin :])
+                made = split(joined[: start - begin] + new + joined[end - begin :])
                 step = self._step(old, made, begin, end, len(new) - (end - start), length, whole)
                 if step is not None:
                     break
@@ -248,10 +278,34 @@ def trees(docs: DataFrame, text: str = "text", *, vocabulary: str = VOCABULARY)
     proportional to it.
     """
     shared = _shared(docs, vocabulary)
-    kernel = lambda texts: {"tree": [_rows(PieceTree((t or b"").decode("utf-8", "replace"), counter(shared.value))) for t in texts]}
+    kernel = lambda texts: {"tree": _leaves([(t or b"").decode("utf-8", "replace") for t in texts], counter(shared.value))}
     return append_columns(docs, text, [T.StructField("tree", LEAVES)], kernel)
 
 
+def _leaves(strings: list[str], count: Counter) -> pa.Array:
+    """The leaves of every text's new tree, those of all texts of a window in one go."""
+    made: list = [None] * len(strings)
+    for places, parts in pretokens.windows(strings):
+        done = [(length, count.all_bytes(slices), until) for length, slices, until in (pretokens.sliced(*part) for part in parts)]
+        if len(parts) > 1:  # a long text
+            done = [(np.concatenate([x[0] for x in done]), np.concatenate([x[1] for x in done]), np.array([0, sum(len(x[0]) for x in done)]))]
+        length, tokens, until = done[0]
+        for i, a, b in zip(places, until[:-1].tolist(), until[1:].tolist(), strict=True):
+            made[i] = (length[a:b], tokens[a:b])
+    sizes, columns = [], [[], [], []]
+    for length, tokens in made:
+        at = np.arange(0, len(length), LEAF)
+        sizes.append(len(at))
+        if len(at):
+            columns[0].append(np.add.reduceat(length, at))
+            columns[1].append(np.add.reduceat(tokens, at))
+            columns[2].append(np.minimum(LEAF, len(length) - at))
+    flat = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()).cast(pa.int32()) for c in columns]
+    struct = _ARROW_LEAVES.value_type
+    values = pa.StructArray.from_arrays(flat, fields=[struct.field(i) for i in range(3)])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values, type=_ARROW_LEAVES)
+
+
 def edited(store: DataFrame, edits: str = "edits", text: str = "text", *, vocabulary: str = VOCABULARY) -> DataFrame:
     """The store after the edits: text and tree replaced, n_reencoded (pre-tokens encoded) appended, the
     edits left out; all other columns and all rows stay.

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandworks.llm import byte_bpe, filter_audit, queries, ranked_search
+from strandworks.llm import byte_bpe, filter_audit, pretokens, queries, ranked_search, token_counts
 from strandworks.llm.token_counts import PATTERN, VOCABULARY
 
 DOCS = "doc_id long, text string"
@@ -194,8 +194,8 @@ def test_ids_are_the_library_s(texts):
 
 @pytest.mark.parametrize("window, block", [(5, 2), (64, 8), (1000, 128)])
 def test_windows_and_blocks(monkeypatch, window, block):
-    monkeypatch.setattr(byte_bpe, "WINDOW", window)
-    monkeypatch.setattr(byte_bpe, "BLOCK", block)
+    monkeypatch.setattr(pretokens, "WINDOW", window)
+    monkeypatch.setattr(pretokens, "BLOCK", block)
     r = random.Random(window)
     for _ in range(60):
         text = "".join(r.choice(["'s", "'ll", "'", " ", "  ", "\n", "a" * r.randint(1, 9), "12", "!!", "é", " " * 20, "x'"]) for _ in range(r.randint(0, 120)))
@@ -233,3 +233,22 @@ def test_query_equals_the_library(spark):
         ids = LIBRARY.encode_ordinary(d.text or "")
         sha = lambda b: hashlib.sha256(b).hexdigest()
         assert tuple(got[d.doc_id])[1:] == (len(ids), sha(" ".join(map(str, ids)).encode()), sha((d.text or "").encode()))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(ODD, min_size=1, max_size=5))
+def test_new_trees_are_those_of_the_split_text(texts):
+    count = token_counts.counter(RANKS)
+    got = token_counts._leaves(texts, count).to_pylist()
+    assert got == [token_counts._rows(token_counts.PieceTree(t, count)) for t in texts]
+    assert [sum(x["tokens"] for x in tree) for tree in got] == [len(LIBRARY.encode_ordinary(t)) for t in texts]
+
+
+def test_long_texts_and_doubtful_letters_in_trees(monkeypatch):
+    count = token_counts.counter(RANKS)
+    odd = sorted(token_counts._odd())
+    text = "".join(f"it's {c}x{c}9 " for c in odd[::500]) + "plain words " * 50
+    monkeypatch.setattr(pretokens, "WINDOW", 90)
+    got = token_counts._leaves([text, "", text], count).to_pylist()
+    assert got[0] == got[2] == token_counts._rows(token_counts.PieceTree(text, count)) and got[1] == []
+    assert sum(x["tokens"] for x in got[0]) == len(LIBRARY.encode_ordinary(text))
