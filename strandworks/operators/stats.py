@@ -58,8 +58,9 @@ def grm(z: DataFrame, freqs: DataFrame, *, tile: int = 512, entries: int = 1 <<
 
     Samples are cut into stripes of ``tile``; a group holds the non-zero dosages of two stripes on some of
     the alleles (about ``entries`` of them) and multiplies them as matrices, a few alleles at a time. So a
-    task holds tile x tile sums however many samples and alleles there are, and no row stands for a product.
-    The means' share is added in closed form. The result is dense by definition: a row per pair of samples.
+    task holds tile x tile sums however many samples and alleles there are. What is shuffled behind it are
+    the rows of tiles, as arrays, which are added up over the parts; pairs of samples are rows only in the
+    result, which is dense by definition. The means' share is added in closed form.
     """
     d = written(dosage(z).join(freqs, ALLELE).select(*ALLELE, "sample", "z", "p"))
     top, n = d.agg(F.max("sample"), F.count("*")).first()
@@ -93,15 +94,17 @@ def grm(z: DataFrame, freqs: DataFrame, *, tile: int = 512, entries: int = 1 <<
                 mine = (at >= 0) & (at < tile)
                 x[side, allele[a:b][mine] - low, at[mine]] = dose[a:b][mine]
             g += x[0].T @ x[1]
-        pair = share[0][:, None] + share[1]
-        known = ~np.isnan(pair)
-        g[known] -= pair[known]
-        i, j = np.nonzero(known | (g != 0))
-        below = i + ti >= j + tj
-        i, j = i[below], j[below]
-        return pd.DataFrame({"i": i + ti, "j": j + tj, "g": g[i, j]})
-
-    sums = both.groupBy("ti", "tj", "part").applyInPandas(run, "i long, j long, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
+        # the part with the marks says which pairs there are: others become NaN or null, whatever is added to them
+        if marks.any():
+            g -= share[0][:, None] + share[1]
+        some = np.flatnonzero((~np.isnan(g) & (g != 0)).any(1) | (marks.any() & ~np.isnan(share[0])))
+        return pd.DataFrame({"i": some + ti, "tj": tj, "v": pd.Series(list(g[some]), dtype=object)})
+
+    rows = both.groupBy("ti", "tj", "part").applyInPandas(run, "i long, tj long, v array<double>")
+    if parts > 1:
+        v = F.aggregate("vs", F.array_repeat(F.lit(0.0), tile), lambda a, x: F.zip_with(a, x, lambda p, q: p + F.coalesce(q, F.lit(float("nan")))))
+        rows = rows.groupBy("i", "tj").agg(F.collect_list("v").alias("vs")).select("i", "tj", v.alias("v"))
+    sums = rows.select("i", "tj", F.posexplode("v").alias("c", "g")).select("i", (F.col("tj") + F.col("c")).alias("j"), "g").where("j <= i and not isnan(coalesce(g, double('NaN')))")
     total = freqs.agg(F.sum(4 * F.col("p") * F.col("p")).alias("pp"), F.sum(F.col("p") * (1 - F.col("p"))).alias("dd"))
     return sums.crossJoin(F.broadcast(total)).select("i", "j", ((F.col("g") + F.col("pp")) / (2 * F.col("dd"))).alias("g"))  # one row
 

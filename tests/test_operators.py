@@ -196,3 +196,19 @@ def test_verbs_end_to_end(spark):
         verbs.cluster(hap, size=8, length=100)
     packed = dedup.packed(windows.attach(hap, w))
     assert dedup.unique(packed).agg(F.sum("n_u")).first()[0] == 48
+
+
+@pytest.mark.parametrize("tile, entries", [(512, 1 << 20), (4, 30), (3, 1 << 20), (16, 7)])
+def test_relationship_tiles_of_any_size(spark, tile, entries):
+    """Tiles, and parts of their alleles, change nothing; ids may have gaps."""
+    r = np.random.default_rng(tile)
+    ids = [0, 1, 2, 5, 6, 11, 12]
+    c = r.integers(0, 3, (9, 14))
+    z = spark.createDataFrame([("c", w, h, ids[h // 2], int(c[w, h])) for w in range(9) for h in range(14)], "chrom string, window long, hap long, sample long, cluster long")
+    got = {(x.i, x.j): x.g for x in stats.grm(z, stats.frequency(z), tile=tile, entries=entries).collect()}
+    dose = np.array([[(c[w, 2 * s] == k).astype(int) + (c[w, 2 * s + 1] == k) for s in range(7)] for w in range(9) for k in range(3)])
+    p = dose.mean(1) / 2
+    x = dose - 2 * p[:, None]
+    want = x.T @ x / (2 * (p * (1 - p)).sum())
+    assert got.keys() == {(a, b) for a in ids for b in ids if a >= b}
+    assert all(abs(g - want[ids.index(a), ids.index(b)]) < 1e-9 for (a, b), g in got.items())
