@@ -120,11 +120,13 @@ def em_iterations(z: DataFrame, p: DataFrame, q: DataFrame, n: int) -> tuple[Dat
 
 def admix_start(
     z: DataFrame, k: int, *, labels: DataFrame | None = None, p: DataFrame | None = None, random: bool = False, windows: DataFrame | None = None,
-    seed: int = 42, iterations: int = 1000, tolerance: float = 1e-4, power: int = 11,
+    seed: int = 42, iterations: int = 1000, tolerance: float = 1e-4, power: int = 11, subsampling: int = 4,
 ) -> tuple[DataFrame, DataFrame]:
     """(p, q) to start from: p as given (projection, its sums checked), from labelled samples (supervised), at
     random, or else by least squares on the principal components, at the driver for ``windows`` only.
 
+    Without ``windows`` these are those of one chromosome in ``subsampling`` (the first ones by name, one at least),
+    of all where there is but one chromosome.
     Random numbers come from a hash of the cell and the seed, so they are the same on every run.
     """
     noise = lambda *c: clamp((F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30))
@@ -146,6 +148,12 @@ def admix_start(
     ids = written(z.select("sample").distinct())
     n = ids.agg(F.max("sample") + 1).first()[0]
     rows = written(linalg.allele_rows(z, stats.frequency(z)))
+    if windows is None:
+        if subsampling < 2:
+            raise ValueError("subsampling must be at least 2")
+        chroms = [r.chrom for r in z.select("chrom").distinct().orderBy("chrom").collect()]  # a row per chromosome
+        if len(chroms) > 1:
+            windows = rows.where(F.col("chrom").isin(chroms[: -(-len(chroms) // subsampling)])).select("chrom", "window").distinct()
     start, own = linalg.als_init(rows, n, k, iterations=iterations, tolerance=tolerance, power=power, seed=seed, windows=windows)
     # alleles that do not vary have no row of their own: they keep their frequency in every source
     fixed = cells().join(start, ["chrom", "window", "cluster", "k"], "left").withColumn("p", F.coalesce("p", F.lit(1.0)))

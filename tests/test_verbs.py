@@ -215,3 +215,19 @@ def test_quasi_step_plan_and_files(spark):
         assert "Join" not in plan and "Exchange" not in plan
     sums = admix.em_sums(admix.seen(z), p, q)._jdf.queryExecution().executedPlan().toString()
     assert sums.count("Join") <= 2
+
+
+def test_start_takes_one_chromosome_in_four(spark, monkeypatch):
+    z, _, _ = _model(spark)
+    five = z
+    for c in "defg":
+        five = five.unionByName(z.withColumn("chrom", F.lit(c)).where("window < 2"))
+    seen = []
+    inner = linalg.als_init
+    monkeypatch.setattr(linalg, "als_init", lambda *a, **more: (seen.append(sorted({r.chrom for r in more["windows"].collect()}) if more["windows"] is not None else None), inner(*a, **more))[1])
+    p, q = verbs.admix_start(five, 2)
+    assert p.select("chrom").distinct().count() == 5 and q.count() == 12 and em_check(p)
+    verbs.admix_start(z, 2)
+    assert seen == [["c", "d"], None]
+    with pytest.raises(ValueError, match="subsampling"):
+        verbs.admix_start(five, 2, subsampling=1)
