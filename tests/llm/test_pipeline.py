@@ -93,5 +93,5 @@ def test_nothing_else_imports_the_package():
 def test_every_operator_is_registered():
     from strandworks.llm import queries
 
-    assert {int(k[2:].split("_")[0]) for k in queries.QUERIES} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in queries.QUERIES} == set(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
