@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -575,8 +573,9 @@ def _(t):
 def _(t):
     rows, n = _rows(t)
     _, v, _ = linalg.svd(rows, n, 4)
-    v = v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1, 1)
-    return t.spark.createDataFrame([(i, k + 1, float(v[i, k])) for i in range(n) for k in range(v.shape[1])], "sample long, pc long, v double")
+    # the largest of a component, the first sample's of equals, is positive
+    sign = v.groupBy("pc").agg(F.signum(F.max_by("v", F.struct(F.abs("v"), -F.col("sample")))).alias("sign"))
+    return v.join(F.broadcast(sign), "pc").select("sample", "pc", (F.col("v") * F.col("sign")).alias("v"))  # a row per component
 
 
 @query("pca_reconstruction", "i long, j long, g double", DENSE + f""", st AS (SELECT chrom, {W}, cluster, sample, {STD} AS x FROM de);;
@@ -585,9 +584,10 @@ def _(t):
     # all components together give back the matrix that they decompose
     rows, n = _rows(t)
     s, v, m = linalg.svd(rows, n, n, power=1)
-    g = (v * (s * s / m)) @ v.T
-    i, j = np.tril_indices(n)
-    return t.spark.createDataFrame(pd.DataFrame({"i": i, "j": j, "g": g[i, j]}))
+    val = F.element_at(F.lit([float(x * x / m) for x in s]), F.col("pc").cast("int"))
+    left = v.select("pc", F.col("sample").alias("i"), (F.col("v") * val).alias("a"))
+    both = left.join(v.select("pc", F.col("sample").alias("j"), F.col("v").alias("b")), "pc").where("j <= i")
+    return both.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g"))
 
 
 @query("pca_project", "sample long, pc long, v double",OFF + DENSE.replace(", de", ", de") + f""", pcs AS (SELECT unnest(range(1, 3)) AS pc);;
@@ -603,8 +603,7 @@ def _(t):
 @query("admix_init", "sample long, k long, q double")
 def _(t):
     rows, n = _rows(t)
-    _, q = linalg.als_init(rows, n, fx.K)
-    return t.spark.createDataFrame(pd.DataFrame({"sample": np.repeat(np.arange(n), fx.K), "k": np.tile(np.arange(fx.K), n), "q": q.ravel()}))
+    return linalg.als_init(rows, n, fx.K)[1]
 
 
 # --- expectation-maximisation ---

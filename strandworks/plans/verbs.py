@@ -100,7 +100,7 @@ def struct_grm(z: DataFrame, *, centering: bool = True) -> DataFrame:
 
 
 def struct_pca(z: DataFrame, n: int, components: int, *, power: int = 11, seed: int = 42):
-    """(eigenvalues, eigenvectors as arrays, loadings, frequencies)."""
+    """(eigenvalues, eigenvectors (sample, pc, v), loadings, frequencies)."""
     freqs = stats.frequency(z)
     rows = written(linalg.allele_rows(z, freqs))
     s, v, m = linalg.svd(rows, n, components, power=power, seed=seed)
@@ -123,7 +123,7 @@ def admix_start(
     seed: int = 42, iterations: int = 1000, tolerance: float = 1e-4, power: int = 11, subsampling: int = 4,
 ) -> tuple[DataFrame, DataFrame]:
     """(p, q) to start from: p as given (projection, its sums checked), from labelled samples (supervised), at
-    random, or else by least squares on the principal components, at the driver for ``windows`` only.
+    random, or else by least squares on the principal components of ``windows``.
 
     Without ``windows`` these are those of one chromosome in ``subsampling`` (the first ones by name, one at least),
     of all where there is but one chromosome.
@@ -157,8 +157,7 @@ def admix_start(
     start, own = linalg.als_init(rows, n, k, iterations=iterations, tolerance=tolerance, power=power, seed=seed, windows=windows)
     # alleles that do not vary have no row of their own: they keep their frequency in every source
     fixed = cells().join(start, ["chrom", "window", "cluster", "k"], "left").withColumn("p", F.coalesce("p", F.lit(1.0)))
-    q = z.sparkSession.createDataFrame([(i, j, float(own[i, j])) for i in range(n) for j in range(k)], "sample long, k long, q double")
-    return written(em.project_p(fixed)), written(q.join(ids, "sample", "left_semi"))
+    return written(em.project_p(fixed)), written(own.join(ids, "sample", "left_semi"))
 
 
 def admix(

@@ -171,6 +171,7 @@ def test_grm_in_tiles_and_pca(spark):
     assert stats.grm(apart, f, tile=2, entries=4).count() == 21
     full = linalg.allele_rows(z, f)
     s, v, m = linalg.svd(full, 6, 3)
+    v = v.toPandas().pivot(index="sample", columns="pc", values="v").to_numpy()
     table = full.toPandas()
     p = table["p"].to_numpy()[:, None]
     x = np.repeat(-2 * p, 6, 1)

@@ -44,8 +44,8 @@ def test_matrices_and_text(spark, tmp_path):
     assert np.allclose(np.fromfile(at + ".grm.bin", "<f4"), [m[i, j] for i in range(6) for j in range(i + 1)], atol=1e-6)
     assert np.fromfile(at + ".grm.N.bin", "<f4").tolist() == [2.5] * 21
     assert (tmp_path / "o.grm.id").read_text().splitlines()[1] == "0\ts1"
-    val, v, load, freqs = verbs.struct_pca(z, 6, 2)
-    vectors = spark.createDataFrame([(i, j + 1, float(v[i, j])) for i in range(6) for j in range(2)], "sample long, pc long, v double")
+    val, vectors, load, freqs = verbs.struct_pca(z, 6, 2)
+    v = vectors.toPandas().pivot(index="sample", columns="pc", values="v").to_numpy()
     values = spark.createDataFrame([(j + 1, float(val[j])) for j in range(2)], "pc long, val double")
     writers.write_components(vectors, values, samples, at, duplicate_fid=True)
     lines = (tmp_path / "o.eigenvecs").read_text().splitlines()
