@@ -24,14 +24,16 @@ UPPER = bytes(range(65, 91))
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: Weight of the quartiles one level up, in documents.
 PRIOR = 50
-#: Fence: median +- FENCE times the larger of the quartile distance and the slack.
-FENCE = 6
+#: Fence: the median and FENCE times the distance of the quartile on that side, which counts as half the distance of
+#: the two quartiles at least (the median may coincide with one), and as the slack at least.
+#: The slack is for measures that most documents of a group share, whose quartiles coincide.
+FENCE = 12
 #: Measure: numerator, denominator, scale, slack, also a lower fence.
 MEASURES = {
-    "symbols": ("n_symbols", "n_words", 1000, 50, False),
-    "word_length": ("word_chars", "n_words", 100, 50, True),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 100, False),
-    "upper": ("n_upper", "word_chars", 1000, 30, False),
+    "symbols": ("n_symbols", "n_words", 1000, 25, False),
+    "word_length": ("word_chars", "n_words", 100, 5, True),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 50, False),
+    "upper": ("n_upper", "word_chars", 1000, 1, False),
 }
 FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 
@@ -136,8 +138,9 @@ def fences(sketch: DataFrame) -> DataFrame:
         drawn(F.col("n"), F.col(q), drawn(F.col("__l.n"), F.col(f"__l.{q}"), F.col(f"__a.{q}"))).alias(q) for q in ("q1", "q2", "q3")
     ]))
     slack = F.create_map(*[F.lit(x) for k, v in MEASURES.items() for x in (k, v[3])])[F.col("measure")]
-    df = df.withColumn("hi", F.col("q.q2") + FENCE * F.greatest(F.col("q.q2") - F.col("q.q1"), slack))
-    df = df.withColumn("lo", F.col("q.q2") - FENCE * F.greatest(F.col("q.q3") - F.col("q.q2"), slack))
+    half = (F.col("q.q3") - F.col("q.q1")) / 2
+    df = df.withColumn("hi", F.col("q.q2") + FENCE * F.greatest(F.col("q.q3") - F.col("q.q2"), half, slack))
+    df = df.withColumn("lo", F.col("q.q2") - FENCE * F.greatest(F.col("q.q2") - F.col("q.q1"), half, slack))
     return df.groupBy("__lang", "__source").agg(
         *[F.max(F.when(F.col("measure") == k, F.struct("lo", "hi"))).alias(f"__f_{k}") for k in MEASURES]
     )
@@ -212,8 +215,8 @@ own AS {quart("lang, source,")}, lg AS {quart("lang,")}, al AS {quart("")},
 q AS (SELECT o.lang, o.source, o.measure,
              [{", ".join(f"(o.n * o.q{i} + {PRIOR} * ((lg.n * lg.q{i} + {PRIOR} * al.q{i}) / (lg.n + {PRIOR}))) / (o.n + {PRIOR})" for i in (1, 2, 3))}] AS q
       FROM own o JOIN lg ON o.lang IS NOT DISTINCT FROM lg.lang AND o.measure = lg.measure JOIN al ON al.measure = o.measure),
-f AS (SELECT lang, source, measure, q[2] + {FENCE} * greatest(q[2] - q[1], CASE measure {slack} END) AS hi,
-             q[2] - {FENCE} * greatest(q[3] - q[2], CASE measure {slack} END) AS lo FROM q)
+f AS (SELECT lang, source, measure, q[2] + {FENCE} * greatest(q[3] - q[2], (q[3] - q[1]) / 2, CASE measure {slack} END) AS hi,
+             q[2] - {FENCE} * greatest(q[2] - q[1], (q[3] - q[1]) / 2, CASE measure {slack} END) AS lo FROM q)
 SELECT {cols}, NOT base_failed AND {tests} AS kept
 FROM base LEFT JOIN f ON base.lang IS NOT DISTINCT FROM f.lang AND base.source IS NOT DISTINCT FROM f.source
 GROUP BY {cols}

@@ -170,6 +170,30 @@ def test_rules_leave_the_caller_s_columns(spark):
     assert {r.lang for r in got} == {"en"} and all(isinstance(r.kept, bool) for r in got)
 
 
+def test_fences_come_from_the_groups(spark):
+    """Groups of unlike spread get unlike fences on the side where they differ; the slack decides only without spread."""
+    r = random.Random(8)
+    sizes = {"narrow": (5, 5), "wide": (2, 12), "long": (8, 11), "short": (2, 4)}
+    data = []
+    for i in range(1200):
+        source = list(sizes)[i % 4]
+        word = lambda: ("A" if r.random() < 0.02 * (i % 4) else "a") + "".join(r.choices("bcdefgh", k=r.randint(*sizes[source]) - 1))  # noqa: B023, E731
+        data.append((i, " ".join(word() for _ in range(40 + r.randint(0, 40))), "en", source))
+    df = spark.createDataFrame(data, SCHEMA)
+    own = quality_rules.measured(df).withColumns({"__lang": F.col("lang"), "__source": F.col("source")})
+    sketch = quality_rules.sketches(own)
+    made = {r["__source"]: r for r in quality_rules.fences(sketch).collect()}
+    quart = {(q["__source"], q.measure): q for q in quality_rules.quartiles(sketch, ["__lang", "__source"]).collect()}
+    for k in ("word_length", "upper"):
+        assert len({made[s][f"__f_{k}"].hi for s in sizes}) == 4
+    for k in ("symbols", "dup_lines"):
+        assert {made[s][f"__f_{k}"].hi for s in sizes} == {quality_rules.FENCE * quality_rules.MEASURES[k][3]}
+    slack = quality_rules.MEASURES["word_length"][3]
+    spread = [s for s in sizes if quart[s, "word_length"].q3 - quart[s, "word_length"].q2 > slack]
+    assert "wide" in spread and "narrow" not in spread
+    assert made["wide"]["__f_word_length"].hi - quart["wide", "word_length"].q2 > made["narrow"]["__f_word_length"].hi - quart["narrow", "word_length"].q2
+
+
 def test_small_groups_lean_on_larger_ones(spark):
     # symbols in a tenth of the words are usual for this language, so a new source with them stays
     data = [(i, " ".join("ab*" if k % 5 == i % 5 else f"w{i}x{k}" for k in range(60)), "de", "big") for i in range(200)]
