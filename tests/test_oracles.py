@@ -45,6 +45,6 @@ def test_entry_and_keys(spark):
 
 def test_als_query_runs_to_the_default_limit(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(linalg, "als_init", lambda rows, n, k, **more: seen.append(more) or (None, rows.limit(1)))
+    monkeypatch.setattr(linalg, "als_init", lambda rows, n, k, **more: seen.append(more) or (None, rows.selectExpr("0L AS sample", "0L AS k", "1D AS q").limit(1)))
     assert registry.QUERIES["admix_init"](spark, SF).count() > 0
     assert seen == [{}]
