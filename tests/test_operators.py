@@ -213,3 +213,21 @@ def test_relationship_tiles_of_any_size(spark, tile, entries):
     want = x.T @ x / (2 * (p * (1 - p)).sum())
     assert got.keys() == {(a, b) for a in ids for b in ids if a >= b}
     assert all(abs(g - want[ids.index(a), ids.index(b)]) < 1e-9 for (a, b), g in got.items())
+
+
+@pytest.mark.parametrize("tile, entries, span", [(512, 1 << 20, 1024), (2, 8, 4), (3, 6, 3)])
+def test_centred_relations_of_dosages(spark, tile, entries, span, monkeypatch):
+    """The centred matrix by groups of several tiles: the means leave the dosages, so no pair is joined or read again."""
+    monkeypatch.setattr(stats, "SPAN", span)
+    r = np.random.default_rng(3)
+    ids, c = [0, 1, 3, 4, 7, 8, 11], r.integers(0, 3, (5, 14))
+    z = spark.createDataFrame([("c", w, h, ids[h // 2], int(c[w, h])) for w in range(5) for h in range(14) if (w, h) != (2, 5)], "chrom string, window long, hap long, sample long, cluster long")
+    got = stats.grm_centered(z, tile=tile, entries=entries)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Join") <= 1
+    assert got.groupBy().count().first()[0] == 28
+    dose = np.array([[(c[w, 2 * s] == k).astype(int) * ((w, 2 * s) != (2, 5)) + (c[w, 2 * s + 1] == k) * ((w, 2 * s + 1) != (2, 5)) for s in range(7)] for w in range(5) for k in range(3)])
+    x = dose - dose.sum(1, keepdims=True) / 14
+    g = x.T @ x
+    g = g - g.mean(0) - g.mean(1)[:, None] + g.mean()
+    g *= 6 / np.trace(g)
+    assert all(abs(row.g - g[ids.index(row.i), ids.index(row.j)]) < 1e-9 for row in got.collect())
