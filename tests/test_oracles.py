@@ -48,3 +48,20 @@ def test_als_query_runs_to_the_default_limit(spark, monkeypatch):
     monkeypatch.setattr(linalg, "als_init", lambda rows, n, k, **more: seen.append(more) or (None, rows.selectExpr("0L AS sample", "0L AS k", "1D AS q").limit(1)))
     assert registry.QUERIES["admix_init"](spark, SF).count() > 0
     assert seen == [{}]
+
+
+def test_six_decimals_as_the_sql_rounds(spark):
+    """Halves go away from 0 by the nearest millionth, in a plan without decimals."""
+    import math
+
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from strandworks.functions.numeric import round6
+
+    values = [0.0, -0.0, 5e-7, -5e-7, 1.0000005, -2.5000005, 0.1234565, 3.3333333, -7e8 / 3, 1e9 + 1 / 3, -1e15 / 7, float("nan"), float("inf"), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double").select("i", round6(F.col("v")).alias("v"))
+    got = [r.v for r in df.orderBy("i").collect()]
+    for v, x in zip(values, got):
+        want = v if v is None or not math.isfinite(v) else duckdb.connect().execute(f"SELECT round({v!r}::DOUBLE, 6) + 0.0").fetchone()[0]
+        assert repr(x) == repr(want), v
