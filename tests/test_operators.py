@@ -231,3 +231,13 @@ def test_centred_relations_of_dosages(spark, tile, entries, span, monkeypatch):
     g = g - g.mean(0) - g.mean(1)[:, None] + g.mean()
     g *= 6 / np.trace(g)
     assert all(abs(row.g - g[ids.index(row.i), ids.index(row.j)]) < 1e-9 for row in got.collect())
+
+
+def test_no_proportions_through_the_driver(spark, tmp_path):
+    """A step's joins by units shuffle both sides, however small the files are, and z is never the side that is sent."""
+    z, p, q = _model(spark)
+    for name, df in (("z", admix.seen(z)), ("q", q)):
+        df.write.parquet(str(tmp_path / name))
+    read = lambda name: spark.read.parquet(str(tmp_path / name))
+    plan = admix.joint(read("z"), p, read("q"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 2
