@@ -241,3 +241,65 @@ def test_no_proportions_through_the_driver(spark, tmp_path):
     read = lambda name: spark.read.parquet(str(tmp_path / name))
     plan = admix.joint(read("z"), p, read("q"))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 2
+
+
+def _pairs_model(spark, n: int, tile: int = 2):
+    """z of n samples with gaps in their ids, several alike."""
+    r = np.random.default_rng(n)
+    ids, kinds = [s + s // 3 for s in range(n)], r.integers(0, 3, (6, 10))
+    c = kinds[:, r.integers(0, 10, 2 * n)]
+    z = [("c", w, h, ids[h // 2], int(c[w, h])) for w in range(6) for h in range(2 * n)]
+    dose = np.array([[(c[w, 2 * s] == k).astype(int) + (c[w, 2 * s + 1] == k) for s in range(n)] for w in range(6) for k in range(3)])
+    return spark.createDataFrame(z, "chrom string, window long, hap long, sample long, cluster long"), ids, dose
+
+
+@pytest.mark.parametrize("entries", [1 << 20, 12])
+def test_pairs_of_several_runs_of_blocks(spark, entries, monkeypatch):
+    """Each pair once, whether its samples lie in one block, one run of ids or two."""
+    monkeypatch.setattr(stats, "SPAN", 4)
+    monkeypatch.setattr(stats, "CHUNK", 8)
+    z, ids, dose = _pairs_model(spark, 17)
+    got = [(r.i, r.j, r.g) for r in stats.grm(z, stats.frequency(z), tile=2, entries=entries).collect()]
+    p = dose.mean(1) / 2
+    x = dose - 2 * p[:, None]
+    want = x.T @ x / (2 * (p * (1 - p)).sum())
+    assert sorted(g[:2] for g in got) == [(a, b) for a in ids for b in ids if a >= b]
+    assert all(abs(g - want[ids.index(i), ids.index(j)]) < 1e-9 for i, j, g in got)
+
+
+def test_like_samples_lie_side_by_side(spark):
+    """Blocks of a later run of ids hold the greater ids; inside a run equal samples follow each other."""
+    marks = spark.createDataFrame([(s, 0.0, s % 5) for s in range(0, 9000, 3)], "sample long, m double, like long")
+    placed = stats._placed(marks, 1024).orderBy("b", "at").collect()
+    assert [r["at"] for r in placed if r.b == 0] == list(range(1024))
+    for late in (False, True):
+        own = [r["sample"] for r in placed if (r["sample"] >= stats.CHUNK) == late]
+        assert own == sorted(own, key=lambda s: (s % 5, s))
+    assert max(r.b for r in placed if r["sample"] < stats.CHUNK) < min(r.b for r in placed if r["sample"] >= stats.CHUNK)
+
+
+def shuffled(spark, df) -> int:
+    """Bytes that a run of df leaves on the executors' disks for other tasks."""
+    sc = spark.sparkContext._jsc.sc()
+    total = []
+    for run in (False, True):
+        if run:
+            df.write.format("noop").mode("overwrite").save()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        every = sc.statusStore().executorList(False)
+        total.append(sum(every.apply(k).totalShuffleWrite() for k in range(every.size())))
+    return total[1] - total[0]
+
+
+PAIRS = {
+    "grm_lower": lambda z: stats.grm(z, stats.frequency(z), tile=2),
+}
+
+
+@pytest.mark.parametrize("key", PAIRS)
+def test_disk_of_pairs_grows_with_the_samples(spark, key, monkeypatch):
+    """Four times the samples, 16 times the pairs of blocks: no packed row is copied for each block that it meets."""
+    monkeypatch.setattr(stats, "SPAN", 2)
+    monkeypatch.setattr(stats, "CHUNK", 8)
+    few, many = (shuffled(spark, PAIRS[key](_pairs_model(spark, n)[0])) for n in (16, 64))
+    assert 0 < many < 6 * few
