@@ -293,6 +293,7 @@ def shuffled(spark, df) -> int:
 
 PAIRS = {
     "grm_lower": lambda z: stats.grm(z, stats.frequency(z), tile=2),
+    "grm_centered": lambda z: stats.grm_centered(z, tile=2),
 }
 
 
