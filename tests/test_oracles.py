@@ -65,3 +65,10 @@ def test_six_decimals_as_the_sql_rounds(spark):
     for v, x in zip(values, got):
         want = v if v is None or not math.isfinite(v) else duckdb.connect().execute(f"SELECT round({v!r}::DOUBLE, 6) + 0.0").fetchone()[0]
         assert repr(x) == repr(want), v
+
+
+@pytest.mark.parametrize("key", ["grm_raw"])
+def test_no_packed_samples_are_copied_for_each_block(spark, key):
+    """Partitions of packed samples meet in tasks; none is repeated for the blocks that it meets and shuffled."""
+    plan = registry.QUERIES[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "sequence(" not in plan
