@@ -67,7 +67,7 @@ def test_six_decimals_as_the_sql_rounds(spark):
         assert repr(x) == repr(want), v
 
 
-@pytest.mark.parametrize("key", ["grm_raw"])
+@pytest.mark.parametrize("key", ["grm_raw", "wide_grm"])
 def test_no_packed_samples_are_copied_for_each_block(spark, key):
     """Partitions of packed samples meet in tasks; none is repeated for the blocks that it meets and shuffled."""
     plan = registry.QUERIES[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
